@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .langid import op1_langid
+from .licenses import op7_licenses
+from .media import op6_media
+from .quality import op3_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op6_media": op6_media,
+    "op7_licenses": op7_licenses,
 }
 ORACLE_SQL: dict[str, str] = {}
