@@ -11,6 +11,8 @@ from .langid import op1_langid
 from .licenses import op7_licenses
 from .media import op6_media
 from .quality import op3_quality
+from .topk import SQL as TOPK_SQL
+from .topk import op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
@@ -18,5 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op6_media": op6_media,
     "op7_licenses": op7_licenses,
+    "op10_topk": op10_topk,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_topk": TOPK_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
