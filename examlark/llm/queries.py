@@ -10,6 +10,7 @@ from .bpe import op2_bpe
 from .langid import op1_langid
 from .licenses import op7_licenses
 from .media import op6_media
+from .ngram_join import op5_ngram_join
 from .quality import op3_quality
 from .topk import SQL as TOPK_SQL
 from .topk import op10_topk
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op5_ngram_join": op5_ngram_join,
     "op6_media": op6_media,
     "op7_licenses": op7_licenses,
     "op10_topk": op10_topk,
