@@ -12,6 +12,7 @@ from .licenses import op7_licenses
 from .media import op6_media
 from .ngram_join import op5_ngram_join
 from .quality import op3_quality
+from .substring import op8_substring
 from .topk import SQL as TOPK_SQL
 from .topk import op10_topk
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_media": op6_media,
     "op7_licenses": op7_licenses,
+    "op8_substring": op8_substring,
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
