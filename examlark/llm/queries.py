@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .langid import op1_langid
 from .licenses import op7_licenses
+from .lines import op9_lines
 from .media import op6_media
 from .ngram_join import op5_ngram_join
 from .quality import op3_quality
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op7_licenses": op7_licenses,
     "op8_substring": op8_substring,
+    "op9_lines": op9_lines,
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
