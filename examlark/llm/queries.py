@@ -11,6 +11,8 @@ from .langid import op1_langid
 from .licenses import op7_licenses
 from .lines import op9_lines
 from .media import op6_media
+from .mixing import SQL as MIXING_SQL
+from .mixing import op4_mixing
 from .ngram_join import op5_ngram_join
 from .quality import op3_quality
 from .substring import op8_substring
@@ -21,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
     "op6_media": op6_media,
     "op7_licenses": op7_licenses,
@@ -29,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": MIXING_SQL,
     "op10_topk": TOPK_SQL,
 }
