@@ -7,7 +7,7 @@ together cannot take was never given to their parent, so that shortages are sett
 they reach ancestors. A leaf takes whole epochs while its budget lasts, and of the next one the documents
 that come first in that epoch's seeded order, as long as their tokens fit.
 
-Everything is DataFrame functions. Documents are read once for the leaves' totals and once for the choice;
+Everything is DataFrame functions. Documents are read once for their token counts and once for the choice;
 budgets are windows over one row per leaf. A leaf's order is the MD5 of seed, epoch and doc_id. The place
 where its prefix ends is found by first summing tokens in slices of that order, about ``SLICE`` documents
 each, and then within the one slice where the budget ends, so that no leaf's documents meet in one task.
@@ -55,7 +55,7 @@ def _share(df: DataFrame, parent: list[str], budget: str, weight: str, cap: str,
     df = df.withColumn("_left", F.sum(F.greatest(weight, F.lit(0))).over(by) - F.coalesce(F.sum(F.greatest(F.col(weight), F.lit(0))).over(up), F.lit(0)))
     level = F.when(F.col("_left") > 0, (F.col(budget) - F.col("_before")).cast("double") / F.col("_left")).otherwise(F.lit(0.0))
     df = df.withColumn("_level", level)
-    open_ = F.min(F.when(F.col("_fill") > F.col("_level"), F.col("_level"))).over(by)
+    open_ = F.max(F.when(F.col("_fill") > F.col("_level"), F.col("_level"))).over(by)
     df = df.withColumn("_water", open_)
     got = F.when(F.col(weight) <= 0, F.lit(0)).when(F.col("_water").isNull() | (F.col("_fill") <= F.col("_water")), F.col(cap)).otherwise(F.least(F.col(cap), F.floor(F.greatest(F.col("_water"), F.lit(0.0)) * F.col(weight))))
     return df.withColumn(out, got.cast("bigint")).drop("_fill", "_before", "_left", "_level", "_water")
@@ -87,20 +87,23 @@ def mix(
         F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("n_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
     ).filter("n_tokens > 0")
-    leaves = base.groupBy("domain", "lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+    light = common.materialize(base.drop("_row"), "token-counts")  # a few bytes for a document, without its text
+    leaves = light.groupBy("domain", "lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     leaves = common.materialize(leaves, "leaves")
     given = budgets(leaves, F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(share)), max_epochs, weights)
     given = given.select("domain", "lang", "source", "docs", F.floor(F.col("budget") / F.col("tokens")).cast("bigint").alias("whole"), F.pmod("budget", "tokens").alias("rest"))
     given = common.materialize(given, "budgets")
     small = given.limit(MAX_LEAVES + 1).count() <= MAX_LEAVES
     key = ["domain", "lang", "source"]
-    planned = base.join(F.broadcast(given) if small else given, key)
-    planned = planned.withColumn("_at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("_id")).cast("binary")))
-    unit = F.conv(F.substring("_at", 1, 8), 16, 10).cast("bigint")
-    planned = planned.withColumn("_slice", F.shiftright(unit * F.ceil(F.col("docs") / SLICE), 32).cast("bigint"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(given) if small else given, key)
+        rows = rows.withColumn("_at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("_id")).cast("binary")))
+        unit = F.conv(F.substring("_at", 1, 8), 16, 10).cast("bigint")
+        return rows.withColumn("_slice", F.shiftright(unit * F.ceil(F.col("docs") / SLICE), 32).cast("bigint"))
 
     # where each leaf's prefix ends: the slice, then the place in it
-    slim = planned.filter("rest > 0").select(*key, "rest", "_slice", "_at", "n_tokens")
+    slim = placed(light).filter("rest > 0").select(*key, "rest", "_slice", "_at", "n_tokens")
     slices = slim.groupBy(*key, "_slice").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
     before = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("b", F.coalesce(F.sum("t").over(before), F.lit(0)))
@@ -110,7 +113,7 @@ def mix(
     inside = Window.partitionBy(*key, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("run", F.sum("n_tokens").over(inside)).filter("run <= room").groupBy(*key).agg(F.max("_at").alias("_last"))
     ends = common.materialize(cut.select(*key, "_cut").join(edge, key, "left"), "ends")
-    chosen = planned.join(hint(ends), key, "left")
+    chosen = placed(base).join(hint(ends), key, "left")
     part = (F.col("rest") > 0) & (F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut")) | ((F.col("_slice") == F.col("_cut")) & F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False))))
     chosen = chosen.withColumn("copies", F.col("whole") + F.when(part, 1).otherwise(0)).filter("copies > 0")
     return chosen.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols], *[F.col(c) for c in new])
@@ -133,7 +136,7 @@ def _sql_share(src: str, parent: str, budget: str, out: str, keep: str) -> str:
     up = f"OVER ({by}ORDER BY fill, {keep} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
     SELECT {keep}, CAST(CASE WHEN water IS NULL OR fill <= water THEN cap ELSE least(cap, floor(greatest(water, 0.0) * w)) END AS BIGINT) AS {out}
-    FROM (SELECT *, min(CASE WHEN fill > level THEN level END) OVER ({by}) AS water
+    FROM (SELECT *, max(CASE WHEN fill > level THEN level END) OVER ({by}) AS water
       FROM (SELECT *, CAST({budget} - coalesce(sum(cap) {up}, 0) AS DOUBLE) / (sum(w) OVER ({by}) - coalesce(sum(w) {up}, 0)) AS level
         FROM (SELECT *, CAST(cap AS DOUBLE) / w AS fill FROM ({src}))))"""
 
