@@ -8,6 +8,10 @@ other m; of the partitions that agree, the one that comes first in this order is
 linked sets always share a signature, while empty and nearly empty partitions, which many sets share, sign
 for hardly any set. Signatures only propose pairs; every link is verified on the whole sets.
 
+Before that, a parity sketch of 1024 bits of each set bounds the Hamming distance of a pair from below (every
+differing bit needs a differing shingle), so that pairs that are similar, but not enough, are dropped inside the
+join that would make them.
+
 Equal sets become one vertex first. In a bucket of sets with one signature no pairs are enumerated: every
 set meets the bucket's smallest id (its best such pivot first), and only sets of a bucket that are still in
 different components after that meet each other. The result is each document's component.
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 RATIO = 1.3
+SKETCH = 16  # words of 64 bits
 _INST = np.uint64(0xA24BAED4963EE407)
 
 
@@ -121,9 +126,12 @@ class Join:
                 if len(at):
                     h[has] = np.add.reduceat(common.mix(g ^ np.uint64(salt)), at)
                 out[name] = pa.array(h.view(np.int64))
-            return out
+            bit = np.repeat(np.arange(len(c)), c) * (64 * SKETCH) + (g >> np.uint64(64 - 10)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(c) * 64 * SKETCH) & 1).astype(np.uint8)
+            words = np.packbits(odd.reshape(len(c), -1), axis=1).view(np.int64)
+            return out | {f"k{i}": pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)}
 
-        return common.map_appending(self.docs, ["id"], "text", "n bigint, h1 bigint, h2 bigint", fn)
+        return common.map_appending(self.docs, ["id"], "text", "n bigint, h1 bigint, h2 bigint, " + ", ".join(f"k{i} bigint" for i in range(SKETCH)), fn)
 
     def signed(self, ids: DataFrame) -> DataFrame:
         size, num, den = self.n, self.num, self.den
@@ -165,8 +173,13 @@ class Join:
         multi = common.materialize(s.join(full.hint("shuffle_hash"), "sig").select("sig", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "buckets")
 
         fits = lambda a, b: _sizes(F.col(a), F.col(b), self.num, self.den)
+        sketch = lambda key, n, c: meta.filter("n > 0").select(F.col("id").alias(key), F.col("n").alias(n), *[F.col(f"k{i}").alias(f"{c}{i}") for i in range(SKETCH)])
+        near = lambda a, b, na, nb: (
+            sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH)), F.lit(0)) * (self.den + self.num) <= (F.col(na) + F.col(nb)) * (self.den - self.num)
+        )
         stars = multi.filter((F.col("id") != F.col("pivot")) & fits("n", "pn")).groupBy("id", "pivot").count()
-        stars = common.materialize(stars, "stars")
+        stars = stars.join(sketch("id", "n", "x"), "id").join(sketch("pivot", "pn", "y"), "pivot").filter(near("x", "y", "n", "pn"))
+        stars = common.materialize(stars.select("id", "pivot", "count").dropDuplicates(["id", "pivot"]), "stars")
         best = stars.groupBy("id").agg(F.max(F.struct("count", F.negative("pivot").alias("p"))).alias("m")).select(F.col("id").alias("a"), F.negative(F.col("m.p")).alias("b"))
         links = self.verified(best)
         found = common.materialize(graph.components(links, "a", "b"), "components")
@@ -183,9 +196,11 @@ class Join:
         left = of(multi, "id", "c")
         split = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
         left = common.materialize(left.join(split, "sig", "left_semi").select("sig", "id", "n", "c", "pivot"), "open")
-        x = left.filter("id <> pivot").select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        y = left.filter("id <> pivot").select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        cross = x.join(y, (x["sig"] == y["sig"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
+        left = left.filter("id <> pivot")
+        x = left.join(sketch("id", "_n", "x"), "id").select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[f"x{i}" for i in range(SKETCH)])
+        y = left.join(sketch("id", "_n", "y"), "id").select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[f"y{i}" for i in range(SKETCH)])
+        apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb") & near("x", "y", "na", "nb")
+        cross = x.join(y, (x["sig"] == y["sig"]) & apart).select("a", "b").distinct()
         links = links.union(self.verified(cross))
         found = common.materialize(graph.components(links, "a", "b"), "components")
         return meta.join(vertices, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("vertex", "id").alias("vertex")), found
