@@ -6,15 +6,15 @@ num / den, whether or not that one goes itself.
 
 Equal sets meet first: only the first line of each goes on. Words are ordered by rarity (counts of all words of
 all documents in a table of hash slots, whose size is fixed; ties by hash), and two similar sets share a word of
-their prefixes. Pairs must pass the length filter, the positional filter and a filter on 64-bit maps of the sets,
-and are verified on the whole sets. A line needs only one earlier match: it first meets the earliest line of each
-of its prefix words, and only lines that found no match there meet all earlier ones, so that groups of copies
-are never spread out into all their pairs.
+their prefixes. In the bucket of a prefix word, pairs must pass the length filter, the positional filter and a
+parity sketch (each differing bit needs a differing word). A line needs only one earlier match, so a bucket gives
+each line its nearest earlier candidate alone, and says if there were more. Candidates are verified on the whole
+sets; only lines whose candidate failed and that had more meet all others that pass. Groups of copies are so
+never spread out into all their pairs, and no candidate is lost.
 
 Cases: null texts stay null; empty texts, empty lines and white space are no lines to compare and stay; line
-ends are \\n; a document may become empty; rows that repeat a doc_id are told apart by their text, and of
-equal rows both lose what is repeated within them, but their lines are the same lines: equal rows are one
-document; a null doc_id comes before all others. Columns other than the text pass through.
+ends are \\n; a document may become empty; rows that repeat a doc_id are told apart by their text, and equal
+rows are one document; a null doc_id comes before all others. Columns other than the text pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,9 @@ from .substring import NULL_ID
 
 MIN_TOKENS = 5
 #: Slots of the table of word counts: its size does not depend on the data.
-SLOT_BITS = 18
+SLOT_BITS = 20
+#: Sets of more words carry a sketch of 256 bits, others one of 64, which is the same folded.
+LONG = 96
 
 
 def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,10 +53,10 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all words of all texts, by slot."""
-    width = 1 << 12
+    width = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.int64)  # saturates at 2^31 - 1, which no longer tells common words apart
         salt = 0
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -62,44 +64,44 @@ def word_counts(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(_slot(h), minlength=1 << SLOT_BITS)
                 salt = (salt + len(h)) % 61
         if total.any():
-            rows = total.reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(list(rows), pa.list_(pa.int64()))], names=["g", "salt", "n"])
+            rows = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(list(rows), pa.list_(pa.int32()))], names=["g", "salt", "n"])
 
     def add(t: pa.Table) -> pa.Table:
-        n = t["n"].combine_chunks().flatten().to_numpy().reshape(-1, width).sum(axis=0)
-        return pa.table([pa.array([t["g"][0].as_py()], pa.int32()), pa.array([t["salt"][0].as_py()], pa.int32()), pa.array([n], pa.list_(pa.int64()))], names=["g", "salt", "n"])
+        n = np.minimum(t["n"].combine_chunks().flatten().to_numpy().reshape(-1, width).sum(axis=0, dtype=np.int64), (1 << 31) - 1)
+        return pa.table([pa.array([t["g"][0].as_py()], pa.int32()), pa.array([t["salt"][0].as_py()], pa.int32()), pa.array([n.astype(np.int32)], pa.list_(pa.int32()))], names=["g", "salt", "n"])
 
-    kind = "g int, salt int, n array<bigint>"
+    kind = "g int, salt int, n array<int>"
     parts = docs.select("text").mapInArrow(count, kind).groupBy("g", "salt").applyInArrow(add, kind)
     out = np.zeros((1 << SLOT_BITS) // width * width, np.int64).reshape(-1, width)
-    for r in parts.groupBy("g").applyInArrow(add, kind).collect():  # 64 rows
+    for r in parts.groupBy("g").applyInArrow(add, kind).toLocalIterator():  # 64 rows
         out[r["g"]] = r["n"]
-    return out.ravel()
+    return np.minimum(np.log2(1 + out.ravel()) * 128, 4095).astype(np.uint16)
 
 
 class Lines:
     def __init__(self, docs: DataFrame, num: int, den: int, min_tokens: int) -> None:
         self.docs, self.num, self.den, self.min = docs, num, den, min_tokens  # id, th, text
 
-    def described(self, counts: np.ndarray) -> DataFrame:
-        """A row for each line that is compared: its place (id, k), set (h1, h2, s), map and prefix."""
+    def described(self, rarity: np.ndarray) -> DataFrame:
+        """A row for each line that is compared: its place (id, k), set (h, s, sketch) and prefix, rarest first."""
         num, den, least = self.num, self.den, self.min
-        shared = self.docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+        shared = self.docs.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rarity = shared.value
+            rare = shared.value
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     text, line, h = line_words(common.column(part, "text"))
                     if not len(h):
                         continue
                     group = np.cumsum(np.r_[False, (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
-                    order = np.lexsort((h, rarity[_slot(h)], group))
+                    place = (group.astype(np.uint64) << np.uint64(44)) | (rare[_slot(h)].astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+                    order = np.argsort(place) if group[-1] < 1 << 20 else np.lexsort((place, group))
                     h, group = h[order], group[order]
                     new = np.r_[True, (h[1:] != h[:-1]) | (group[1:] != group[:-1])]
                     h, group, order = h[new], group[new], order[new]
-                    size = np.bincount(group)
-                    good = size[group] >= least
+                    good = np.bincount(group)[group] >= least
                     h, group, order = h[good], group[good], order[good]
                     if not len(h):
                         continue
@@ -108,18 +110,81 @@ class Lines:
                     word = order[head]
                     prefix = s - (num * s + den - 1) // den + 1
                     at = np.arange(len(h)) - np.repeat(head, s)
-                    bits = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), head)
+                    bit, one = (h >> np.uint64(40)) & np.uint64(255), np.uint64(1)
+                    sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one << (bit & np.uint64(63)), np.uint64(0)), head).view(np.int64) for w in range(4)]
                     ids, th = (common.column(part, c).to_numpy()[text[word]] for c in ("id", "th"))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids), pa.array((th << 32) | line[word]), pa.array(np.add.reduceat(common.mix(h ^ np.uint64(0x1B873593)), head).view(np.int64)),
-                            pa.array(np.add.reduceat(common.mix(h ^ np.uint64(0x85EBCA6B2)), head).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(bits.view(np.int64)),
-                            common.lists(h[at < np.repeat(prefix, s)].view(np.int64), prefix, pa.int64()),
-                        ],
-                        names=["id", "k", "h1", "h2", "s", "bits", "prefix"],
-                    )
+                    key = ((h[at < np.repeat(prefix, s)] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                    cols = [ids, (th << 32) | line[word], np.add.reduceat(common.mix(h ^ np.uint64(0x1B873593)), head).view(np.int64), s.astype(np.int32), *sketch]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(key, prefix, pa.int32())], names=["id", "k", "h", "s", "b0", "b1", "b2", "b3", "prefix"])
+
+        return self.docs.mapInArrow(run, "id bigint, k bigint, h bigint, s int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, prefix array<int>")
+
+    def candidates(self, words: DataFrame, every: bool) -> DataFrame:
+        """From (w, id, k, s, p, b0..b3[, probe]), dealt and sorted by word and place: each line's nearest earlier candidate
+        of the bucket and whether there are more, or (every) all candidates of the lines to probe. A bucket is a stream of
+        blocks; what is open of it is a few numbers for each of its lines."""
+        num, den = self.num, self.den
+
+        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            w, ids, k = (t[c].to_numpy() for c in ("w", "id", "k"))
+            s, p = t["s"].to_numpy().astype(np.int64), t["p"].to_numpy().astype(np.int64)
+            b = np.stack([t[f"b{i}"].to_numpy() for i in range(4)]).view(np.uint64)
+            fold = b[0] ^ b[1] ^ b[2] ^ b[3]
+            long = s > LONG if not every else np.ones(len(s), bool)
+            probe = t["probe"].to_numpy(zero_copy_only=False) if every else None
+            head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            rank = np.arange(len(w)) - np.repeat(head, np.diff(np.r_[head, len(w)]))  # earlier lines in the bucket
+            todo = rank if probe is None else np.where(probe, rank, 0)
+            done, total = 0, np.cumsum(todo)
+            while done < len(w):
+                base = total[done - 1] if done else 0
+                to = max(done + 1, int(np.searchsorted(total, base + 2_000_000, side="right")))
+                n = todo[done:to]
+                x = np.repeat(np.arange(done, to), n)
+                y = x - rank[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                done = to
+                ok = np.minimum(s[x], s[y]) * den >= np.maximum(s[x], s[y]) * num
+                x, y = x[ok], y[ok]
+                both = s[x] + s[y]
+                need = (both * num + den + num - 1) // (den + num)
+                ok = np.minimum(s[x] - p[x], s[y] - p[y]) >= need
+                x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
+                apart = np.bitwise_count(fold[x] ^ fold[y]).astype(np.int64)
+                wide = np.flatnonzero(long[x] & long[y])
+                if len(wide):
+                    apart[wide] = sum(np.bitwise_count(b[i][x[wide]] ^ b[i][y[wide]]).astype(np.int64) for i in range(4))
+                ok = (apart <= most) & ((ids[x] != ids[y]) | (k[x] != k[y]))
+                x, y, apart = x[ok], y[ok], apart[ok]
+                if not len(x):
+                    continue
+                more = np.zeros(len(x), bool)
+                if not every:
+                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                    best = np.minimum.reduceat((apart << 40) | (y - x[0] + (1 << 39)), first)
+                    more, y, x = np.diff(np.r_[first, len(x)]) > 1, (best & ((1 << 40) - 1)) - (1 << 39) + x[0], x[first]
+                    apart = best >> 40
+                for at in range(0, len(x), 100_000):
+                    i, j = x[at : at + 100_000], y[at : at + 100_000]
+                    cols = [ids[i], k[i], ids[j], k[j], apart[at : at + 100_000].astype(np.int32), more[at : at + 100_000]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["xi", "xk", "yi", "yk", "apart", "more"])
 
-        return self.docs.mapInArrow(run, "id bigint, k bigint, h1 bigint, h2 bigint, s int, bits bigint, prefix array<bigint>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                w = common.column(batch, "w").to_numpy()
+                cut = int(np.searchsorted(w, w[-1], side="left"))
+                if cut == 0 and rest and common.column(rest[-1], "w")[-1].as_py() == w[-1]:
+                    rest.append(batch)
+                    continue
+                if ready := [*rest, batch.slice(0, cut)]:
+                    yield from pairs(pa.Table.from_batches(ready).combine_chunks())
+                rest = [batch.slice(cut)]
+            if rest:
+                yield from pairs(pa.Table.from_batches(rest).combine_chunks())
+
+        return words.repartition("w").sortWithinPartitions("w", "id", "k").mapInArrow(run, "xi bigint, xk bigint, yi bigint, yk bigint, apart int, more boolean")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(id, k, words) of wanted lines."""
@@ -158,38 +223,39 @@ class Lines:
         i, t = F.size(F.array_intersect("x", "y")).cast("bigint"), (F.size("x") + F.size("y")).cast("bigint")
         return common.materialize(both.filter(i * self.den >= (t - i) * self.num).select(F.col("xi").alias("id"), F.col("xk").alias("k")).distinct(), "matched")
 
-    def _may_match(self, xs: Column, ys: Column, xp: Column, yp: Column, xb: Column, yb: Column) -> Column:
-        total = (xs + ys).cast("bigint")
-        need = F.ceil(total * self.num / (self.den + self.num) - F.lit(1e-9))
-        return (
-            (F.least(xs, ys) * self.den >= F.greatest(xs, ys) * self.num)
-            & (F.least(xs - xp, ys - yp) >= need)
-            & (F.bit_count(xb.bitwiseXOR(yb)) <= total - need * 2)
-        )
-
     def removed(self) -> DataFrame:
         """(id, th32, lines): the numbers of the lines that go, of each document that loses any."""
-        lines = common.materialize(self.described(word_counts(self.docs)), "lines")
-        firsts = lines.groupBy("h1", "h2", "s").agg(F.min(F.struct("id", "k")).alias("f"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-        words = firsts.select(F.col("f.id").alias("id"), F.col("f.k").alias("k"), "s", "bits", F.posexplode("prefix").alias("p", "w")).repartition("w")
-        earliest = words.groupBy("w").agg(F.min(F.struct("id", "k", "s", "bits", "p")).alias("y"), F.max(F.struct("id", "k")).alias("z"))
-        earliest = earliest.filter("y.id <> z.id OR y.k <> z.k").select("w", "y")
-        shared = common.materialize(words.join(earliest.hint("shuffle_hash"), "w").select("w", "id", "k", "s", "bits", "p", "y"), "shared-words")
-
         c = F.col
-        stars = shared.filter(((c("id") != c("y.id")) | (c("k") != c("y.k"))) & self._may_match(c("s"), c("y.s"), c("p"), c("y.p"), c("bits"), c("y.bits")))
-        gone = self.matched(stars.select(c("id").alias("xi"), c("k").alias("xk"), c("y.id").alias("yi"), c("y.k").alias("yk")).distinct())
-
-        slim = shared.select("w", "id", "k", "s", "bits", "p", ((c("id") == c("y.id")) & (c("k") == c("y.k"))).alias("first"))
-        x = slim.filter("NOT first").join(gone, ["id", "k"], "left_anti").select("w", c("id").alias("xi"), c("k").alias("xk"), c("s").alias("xs"), c("bits").alias("xb"), c("p").alias("xp"))
-        y = slim.filter("NOT first").select("w", c("id").alias("yi"), c("k").alias("yk"), c("s").alias("ys"), c("bits").alias("yb"), c("p").alias("yp"))
-        earlier = (c("yi") < c("xi")) | ((c("yi") == c("xi")) & (c("yk") < c("xk")))
-        cross = x.join(y, (x["w"] == y["w"]) & earlier & self._may_match(c("xs"), c("ys"), c("xp"), c("yp"), c("xb"), c("yb")))
-        gone = gone.union(self.matched(cross.select("xi", "xk", "yi", "yk").distinct()))
-
-        first = lines.groupBy("h1", "h2", "s").agg(F.min(F.struct("id", "k")).alias("f"))
-        first = first.join(gone.select(F.struct("id", "k").alias("f"), F.lit(True).alias("similar")), "f", "left")
-        later = lines.select("id", "k", "h1", "h2", "s").join(first, ["h1", "h2", "s"]).filter("similar OR f.id <> id OR f.k <> k")
+        lines = common.materialize(self.described(word_counts(self.docs)), "lines")
+        same = ["h", "s", "b0", "b1", "b2", "b3"]
+        first = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"))
+
+        def words(rows: DataFrame, *more: str) -> DataFrame:
+            return rows.select("id", "k", "s", "b0", "b1", "b2", "b3", *more, F.posexplode("prefix").alias("p", "w"))
+
+        firsts = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"), F.first("prefix").alias("prefix"))
+        firsts = firsts.select(c("f.id").alias("id"), c("f.k").alias("k"), *same[1:], "prefix")
+        short, zero = c("s") <= LONG, F.lit(0).cast("bigint")
+        slim = firsts.withColumns({"b0": F.when(short, c("b0").bitwiseXOR(c("b1")).bitwiseXOR(c("b2")).bitwiseXOR(c("b3"))).otherwise(c("b0"))} | {f"b{i}": F.when(short, zero).otherwise(c(f"b{i}")) for i in (1, 2, 3)})
+        near = self.candidates(words(slim), False).groupBy("xi", "xk").agg(F.min(F.struct("apart", "yi", "yk")).alias("m"), F.max("more").alias("more"), F.min(F.struct("yi", "yk")).alias("lo"), F.max(F.struct("yi", "yk")).alias("hi"))
+        near = common.materialize(near.select("xi", "xk", c("m.yi").alias("yi"), c("m.yk").alias("yk"), (c("more") | (c("lo") != c("hi"))).alias("more")), "nearest")
+        gone = self.matched(near.select("xi", "xk", "yi", "yk"))
+
+        open_ = near.filter("more").join(gone.select(c("id").alias("xi"), c("k").alias("xk")), ["xi", "xk"], "left_anti").select(c("xi").alias("id"), c("xk").alias("k"))
+        open_ = common.materialize(open_, "open-lines")
+        n = open_.count()
+        if n:
+            hint = F.broadcast if n <= common.BROADCAST_KEYS else (lambda x: x)  # counted
+            probes = lines.join(hint(open_), ["id", "k"], "left_semi")
+            keys = common.materialize(words(probes).select("w").distinct(), "open-words")
+            small = keys.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
+            marked = firsts.join(hint(open_.withColumn("probe", F.lit(True))), ["id", "k"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+            some = words(marked, "probe").join(F.broadcast(keys) if small else keys, "w", "left_semi")
+            all_ = self.candidates(some.select("w", "id", "k", "s", "p", "b0", "b1", "b2", "b3", "probe"), True).select("xi", "xk", "yi", "yk").distinct()
+            gone = gone.union(self.matched(all_.join(near.select("xi", "xk", "yi", "yk"), ["xi", "xk", "yi", "yk"], "left_anti")))
+
+        first = first.join(gone.distinct().select(F.struct("id", "k").alias("f"), F.lit(True).alias("similar")), "f", "left")
+        later = lines.select("id", "k", *same).join(first, same).filter("similar OR f.id <> id OR f.k <> k")
         return later.groupBy("id", F.shiftright("k", 32).cast("int").alias("th32")).agg(F.collect_list((c("k").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("lines"))
 
 
