@@ -55,7 +55,7 @@ def _share(df: DataFrame, parent: list[str], budget: str, weight: str, cap: str,
     df = df.withColumn("_left", F.sum(F.greatest(weight, F.lit(0))).over(by) - F.coalesce(F.sum(F.greatest(F.col(weight), F.lit(0))).over(up), F.lit(0)))
     level = F.when(F.col("_left") > 0, (F.col(budget) - F.col("_before")).cast("double") / F.col("_left")).otherwise(F.lit(0.0))
     df = df.withColumn("_level", level)
-    open_ = F.max(F.when(F.col("_fill") > F.col("_level"), F.col("_level"))).over(by)
+    open_ = F.max(F.when((F.col(weight) > 0) & (F.col("_fill") > F.col("_level")), F.col("_level"))).over(by)
     df = df.withColumn("_water", open_)
     got = F.when(F.col(weight) <= 0, F.lit(0)).when(F.col("_water").isNull() | (F.col("_fill") <= F.col("_water")), F.col(cap)).otherwise(F.least(F.col(cap), F.floor(F.greatest(F.col("_water"), F.lit(0.0)) * F.col(weight))))
     return df.withColumn(out, got.cast("bigint")).drop("_fill", "_before", "_left", "_level", "_water")
