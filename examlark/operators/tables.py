@@ -80,3 +80,25 @@ def comment_ddl(table: str, comment: str, columns: dict[str, str]) -> list[str]:
 def write_summary(df: DataFrame, path: str) -> None:
     """JSON lines; the summary of a run is small."""
     df.write.mode("overwrite").json(path)
+
+
+def create_ddl(table: str, schema, if_absent: bool = True) -> str:  # noqa: ANN001
+    """CREATE TABLE from a StructType; a field's metadata may hold its comment."""
+    q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}{' COMMENT ' + q(f.metadata['comment']) if f.metadata.get('comment') else ''}" for f in schema.fields)
+    return f"CREATE TABLE {'IF NOT EXISTS ' if if_absent else ''}`{table}` ({cols}) USING parquet"
+
+
+def drop_ddl(table: str) -> str:
+    return f"DROP TABLE IF EXISTS `{table}`"
+
+
+def create_order(references: dict[str, list[str]]) -> list[str]:
+    """Tables in an order in which those that they reference come first, as far as there are no cycles."""
+    done: list[str] = []
+    rest = dict(references)
+    while rest:
+        ready = sorted(t for t, r in rest.items() if all(x in done or x == t or x not in references for x in r)) or [min(rest)]
+        done += ready
+        rest = {t: r for t, r in rest.items() if t not in done}
+    return done

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from examlark.functions import contracts as C
 from examlark.functions import scalars as S
 from examlark.operators import analytics as A
-from examlark.operators import assets, bindings, matching, tables, versions
+from examlark.operators import assets, bindings, matching, prompts, tables, versions
 from examlark.sources import files
 from examlark.sources.config import scan
 from examlark.streaming import events as stream
@@ -513,3 +513,82 @@ def element_profile(s: SparkSession, d: str) -> DataFrame:
 def formula_node_count(s: SparkSession, d: str) -> DataFrame:
     block = F.when(F.col("event_id") % 2 == 0, F.lit('{"type": "p", "items": [{"type": "formula", "x": {"type":"formula"}}, {"type" : "formula"}]}')).otherwise(F.lit('{"type": "text"}'))
     return scan(s, d, "events", ["event_id", "user_id"]).groupBy("user_id").agg(F.sum(C.count_nodes(block)).alias("formulas"))
+
+
+# steps, end to end --------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS step_key, c_custkey % 60 AS prompt_key, CASE c_custkey % 3 WHEN 0 THEN 'v2' WHEN 1 THEN 'latest' ELSE '9' END AS sel FROM customer WHERE c_acctbal > 0),
+q AS (SELECT step_key, prompt_key, CASE sel WHEN 'v2' THEN 2 WHEN '9' THEN 9 END AS req FROM s)
+SELECT q.step_key, q.prompt_key, q.req AS requested_version, v.version AS resolved_version, CASE WHEN v.version = q.req THEN 'requested' WHEN v.status = 'published' THEN 'highest_published' ELSE 'highest_version' END AS version_source,
+CASE WHEN q.req IS NULL THEN 'latest' ELSE 'step_config' END AS config_source, 'step ' || q.step_key || ': ' || substr(v.text, 1, 40) AS prompt_text
+FROM q JOIN {V} v ON v.conv_id = q.prompt_key
+QUALIFY row_number() OVER (PARTITION BY q.step_key ORDER BY coalesce(v.version = q.req, false) DESC, v.status = 'published' DESC, v.version DESC) = 1""")
+def step_prompt_resolve(s: SparkSession, d: str) -> DataFrame:
+    c = scan(s, d, "customer")
+    sel = F.when(F.col("c_custkey") % 3 == 0, "v2").when(F.col("c_custkey") % 3 == 1, "latest").otherwise("9")
+    steps = c.select(F.col("c_custkey").alias("step_key"), (F.col("c_custkey") % 60).alias("prompt_key"), sel.alias("selected_version"), (F.col("c_acctbal") > 0).alias("is_active"))
+    v = _versions(s, d).select(F.col("conv_id").alias("prompt_key"), "version", "status", F.concat(F.lit("step {{ key }}: "), F.substring("text", 1, 40)).alias("prompt_text"))
+    return prompts.resolve_steps(steps, v, F.create_map(F.lit("key"), F.col("step_key").cast("string")))
+
+
+@query("SELECT c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_name, c_custkey) AS step_keys FROM customer GROUP BY c_nationkey")
+def steps_of_template(s: SparkSession, d: str) -> DataFrame:
+    return prompts.bound_to(scan(s, d, "customer"), "c_nationkey", "c_custkey", "c_name").select("c_nationkey", F.concat_ws(",", F.col("step_keys").cast("array<string>")).alias("step_keys"))
+
+
+@query("""SELECT p_brand, p_size AS version, 'Seed ' || p_name AS text FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size = 20 DESC, p_size DESC, p_name DESC) AS rn FROM part) WHERE rn = 1""")
+def seed_text(s: SparkSession, d: str) -> DataFrame:
+    seeds = scan(s, d, "part").select("p_brand", F.col("p_size").alias("version"), F.concat(F.lit("{{ word }} "), F.col("p_name")).alias("text"))
+    return prompts.seed_text(seeds, "p_brand", "version", "text", F.lit(20), F.create_map(F.lit("word"), F.lit("Seed")))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'extract.exam' WHEN 1 THEN 'extract.answer' WHEN 2 THEN 'extract.mixed' ELSE 'classify' END AS template FROM pages""")
+def page_routing(s: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["exam_paper", "answer_sheet", "mixed", "other"])), (F.col("page_id") % 4 + 1).cast("int"))
+    return scan(s, d, "pages", ["page_id"]).select("page_id", prompts.route_page(kind, "extract.exam", "extract.answer", "extract.mixed", "classify").alias("template"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f, l_returnflag) AS INTEGER) AS set_no, CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS INTEGER) AS sheet_no
+FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag) AS f FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2))""")
+def set_numbering(s: SparkSession, d: str) -> DataFrame:
+    one = scan(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    return prompts.number_sets(one, "l_orderkey", "l_returnflag", "l_linenumber").select("l_orderkey", "l_linenumber", "set_no", "sheet_no")
+
+
+@query(f"""SELECT source, count(*) AS n, round_even(CAST(count(*) AS DOUBLE) / 50, 4) AS coverage_ratio, count(DISTINCT hash) AS distinct_hashes, round(sum(n_chars / 1000.0::DOUBLE), 2) AS elapsed_seconds FROM {E_SQL} GROUP BY source""")
+def strategy_compare(s: SparkSession, d: str) -> DataFrame:
+    return prompts.compare_strategies(_entries(s, d).withColumn("seconds", F.col("n_chars") / F.lit(1000.0)), "source", "seconds", "hash", 50)
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 3 > 0) AS exported, count(*) FILTER (event_id % 7 = 0) AS failed FROM events GROUP BY event_type""")
+def export_counts(s: SparkSession, d: str) -> DataFrame:
+    e = scan(s, d, "events").withColumn("path", F.when(F.col("event_id") % 3 > 0, "p")).withColumn("error", F.when(F.col("event_id") % 7 == 0, "e"))
+    return prompts.export_counts(e, "event_type", "path", "error")
+
+
+@query(f"""SELECT p.provider_id, CASE p.provider_id % 3 WHEN 0 THEN n.id WHEN 1 THEN coalesce(v.id, a.id) ELSE a.id END AS seed FROM {PROV} p LEFT JOIN (SELECT provider_id, max(model_id) AS id FROM {MODEL} GROUP BY 1) n USING (provider_id)
+LEFT JOIN (SELECT provider_id, min(model_id) AS id FROM {MODEL} WHERE model_name LIKE 'Vision%' GROUP BY 1) v USING (provider_id) LEFT JOIN (SELECT provider_id, min(model_id) AS id FROM {MODEL} GROUP BY 1) a USING (provider_id)""")
+def seed_strategy(s: SparkSession, d: str) -> DataFrame:
+    m = _models(s, d).groupBy("provider_id").agg(F.max("model_id").alias("named"), F.min(F.when(S.supports_vision("model_name"), F.col("model_id"))).alias("vision"), F.min("model_id").alias("avail"))
+    p = _providers(s, d).join(m, "provider_id", "left").withColumn("strategy", F.element_at(F.array(*map(F.lit, ["named", "first_vision", "first_available"])), (F.col("provider_id") % 3 + 1).cast("int")))
+    return bindings.seed_by_strategy(p, "strategy", "named", "vision", "avail").select("provider_id", "seed")
+
+
+@query("SELECT o_custkey, count(*) AS questions, round(sum(o_totalprice), 2) AS points FROM orders GROUP BY o_custkey")
+def paper_totals(s: SparkSession, d: str) -> DataFrame:
+    return scan(s, d, "orders", ["o_custkey", "o_totalprice"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("questions"), F.round(F.sum("o_totalprice"), 2).alias("points"))
+
+
+@query("""SELECT o_orderkey, prev_key, next_key FROM (SELECT o_orderkey, lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey) OVER w AS next_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""")
+def block_neighbours(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return scan(s, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]).select("o_orderkey", F.lag("o_orderkey").over(w).alias("prev_key"), F.lead("o_orderkey").over(w).alias("next_key"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, strftime(ts, '%Y%m%d_%H%M%S') AS run_id, '''' || replace(event_type || '''s', '''', '''''') || '''' AS lit, 'object_' || lpad((event_id % 10000)::VARCHAR, 4, '0') || '__' || event_type AS name FROM events WHERE microsecond(ts) % 1000000 > 0""")
+def record_fields(s: SparkSession, d: str) -> DataFrame:
+    e = scan(s, d, "events", ["event_id", "ts", "event_type"]).filter(F.date_format("ts", "SSSSSS") != "000000")
+    return e.select("event_id", S.iso_time("ts").alias("iso"), S.run_id("ts").alias("run_id"), S.sql_literal(F.concat("event_type", F.lit("'s"))).alias("lit"), S.numbered_name("object", F.col("event_id") % 10000, "event_type").alias("name"))

@@ -170,3 +170,64 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.event_type, r.n) for r in spark.sql("select * from w").collect()) == [("a", 2), ("b", 1)]
+
+
+def _png(rows, kind=0):
+    import struct
+    import zlib
+
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    raw = b"".join(bytes([kind]) + bytes(r) for r in rows)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    from examlark.sources import images
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/white.png").write_bytes(_png([[250, 255], [245, 255]]))
+    (tmp_path / "in/ink.png").write_bytes(_png([[255, 255, 255], [255, 7, 255], [255, 255, 255]]))
+    (tmp_path / "in/bad.png").write_bytes(b"nothing")
+    got = {r.path.rsplit("/", 1)[1]: r for r in images.measure(images.image_files(spark, str(tmp_path / "in"))).collect()}
+    assert got["white.png"].near_white and not got["ink.png"].near_white and not got["bad.png"].near_white
+    assert (got["ink.png"].width, got["ink.png"].height) == (3, 3) and got["bad.png"].width is None
+    assert tuple(got["ink.png"].box) == (1, 1, 2, 2)
+    for kind in (1, 2, 3, 4):  # every filter undoes itself on a decodable image
+        assert images.grey(_png([[1, 2, 3], [4, 5, 6]], kind)).shape == (2, 3)
+    assert images.grey(_png([[1, 2, 3]], 1)).tolist() == [[1, 3, 6]]
+    files_ = images.image_files(spark, str(tmp_path / "in")).withColumn("index", F.lit(3))
+    images.copy_files(files_, str(tmp_path / "out")).collect()
+    assert (tmp_path / "out/object_0003__bad.png").read_bytes() == b"nothing"
+
+
+def test_retry():
+    from examlark.sources import images
+
+    tries = []
+    assert images.retried(lambda: tries.append(1) or 1 / 0, default=5, times=3, wait=0) == 5 and len(tries) == 3
+    with pytest.raises(ZeroDivisionError):
+        images.retried(lambda: 1 / 0, times=2, wait=0, reraise=True)
+
+
+def test_ddl(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("a", T.IntegerType(), False, {"comment": "it's"}), T.StructField("b", T.StringType())])
+    spark.sql(tables.drop_ddl("ddl_t"))
+    spark.sql(tables.create_ddl("ddl_t", schema))
+    for q in tables.comment_ddl("ddl_t", "o'clock", {"b": "b's"}):
+        spark.sql(q)
+    assert {r.col_name: r.comment for r in spark.sql("DESCRIBE ddl_t").collect()} == {"a": "it's", "b": "b's"}
+    spark.sql(tables.drop_ddl("ddl_t"))
+    assert tables.create_order({"c": ["b"], "b": ["a"], "a": [], "x": ["y"], "y": ["x"]}) == ["a", "b", "c", "x", "y"]
+
+
+def test_inactive_step_has_no_fallback(spark):
+    from examlark.operators import prompts
+
+    steps = spark.createDataFrame([("s1", "p", "v1", True), ("s2", "p", None, False), ("s3", "none", None, True)], "step_key string, prompt_key string, selected_version string, is_active boolean")
+    v = spark.createDataFrame([("p", 1, "published", "one {{x}}"), ("p", 2, "draft", "two")], "prompt_key string, version int, status string, prompt_text string")
+    r = prompts.resolve_steps(steps, v, F.create_map(F.lit("x"), F.lit("!"))).collect()
+    assert [(x.step_key, x.resolved_version, x.version_source, x.config_source, x.prompt_text) for x in r] == [("s1", 1, "requested", "step_config", "one !")]
+    r = prompts.resolve_steps(steps, v, F.create_map(F.lit("x"), F.lit("!")), F.lit("7")).first()
+    assert (r.requested_version, r.resolved_version, r.version_source) == (7, 1, "highest_published")
