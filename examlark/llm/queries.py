@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .bpe import op2_bpe
 from .langid import op1_langid
 from .licenses import op7_licenses
@@ -33,5 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": MIXING_SQL,
+    "op5_ngram_join": sql.NGRAM_JOIN,
+    "op8_substring": sql.SUBSTRING,
+    "op9_lines": sql.LINES,
     "op10_topk": TOPK_SQL,
 }
