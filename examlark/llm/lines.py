@@ -20,11 +20,12 @@ rows are one document; a null doc_id comes before all others. Columns other than
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,8 @@ from .substring import NULL_ID
 MIN_TOKENS = 5
 #: Slots of the table of word counts: its size does not depend on the data.
 SLOT_BITS = 20
-#: Sets of more words carry a sketch of 256 bits, others one of 64, which is the same folded.
-LONG = 96
+#: Sets of more words than the second carry a sketch of 256 bits, of more than the first one of 128, others of 64; a narrow one is a wide one folded.
+WIDE = (40, 128)
 
 
 def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,14 +56,21 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all words of all texts, by slot."""
     width = 1 << 14
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)  # saturates at 2^31 - 1, which no longer tells common words apart
-        salt = 0
+        salt, held = 0, []
         for batch in batches:
             for part in common.slices(batch, "text"):
-                h = line_words(common.column(part, "text"))[2]
-                total += np.bincount(_slot(h), minlength=1 << SLOT_BITS)
-                salt = (salt + len(h)) % 61
+                data, offsets = common.utf8(common.column(part, "text"))
+                starts, ends, _ = common.word_spans(data, offsets)
+                held.append(_slot(common.word_hashes(data, starts, ends, True)).astype(np.int32))
+                salt = (salt + len(starts)) % 61
+                if len(held) == 16:
+                    total += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
         if total.any():
             rows = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(list(rows), pa.list_(pa.int32()))], names=["g", "salt", "n"])
@@ -84,10 +92,11 @@ class Lines:
         self.docs, self.num, self.den, self.min = docs, num, den, min_tokens  # id, th, text
 
     def described(self, rarity: np.ndarray) -> DataFrame:
-        """A row for each line that is compared: its place (id, k), set (h, s, sketch) and prefix, rarest first."""
+        """A row for each line that is compared: its place (id, k), set (h1, h2, s), sketch and prefix, rarest first."""
         num, den, least = self.num, self.den, self.min
         shared = self.docs.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
 
+        @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rare = shared.value
             for batch in batches:
@@ -114,14 +123,15 @@ class Lines:
                     sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one << (bit & np.uint64(63)), np.uint64(0)), head).view(np.int64) for w in range(4)]
                     ids, th = (common.column(part, c).to_numpy()[text[word]] for c in ("id", "th"))
                     key = ((h[at < np.repeat(prefix, s)] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                    cols = [ids, (th << 32) | line[word], np.add.reduceat(common.mix(h ^ np.uint64(0x1B873593)), head).view(np.int64), s.astype(np.int32), *sketch]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(key, prefix, pa.int32())], names=["id", "k", "h", "s", "b0", "b1", "b2", "b3", "prefix"])
+                    set_hash = [np.add.reduceat(common.mix(h ^ np.uint64(salt)), head).view(np.int64) for salt in (0x1B873593, 0x85EBCA6B2)]
+                    cols = [ids, (th << 32) | line[word], *set_hash, s.astype(np.int32), *sketch]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(key, prefix, pa.int32())], names=["id", "k", "h1", "h2", "s", "b0", "b1", "b2", "b3", "prefix"])
 
-        return self.docs.mapInArrow(run, "id bigint, k bigint, h bigint, s int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, prefix array<int>")
+        return self.docs.mapInArrow(run, "id bigint, k bigint, h1 bigint, h2 bigint, s int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, prefix array<int>")
 
     def candidates(self, words: DataFrame, every: bool) -> DataFrame:
-        """From (w, id, k, s, p, b0..b3[, probe]), dealt and sorted by word and place: each line's nearest earlier candidate
-        of the bucket and whether there are more, or (every) all candidates of the lines to probe. A bucket is a stream of
+        """From (w, id, k, s, p, b0..b3[, probe]), dealt and sorted by word: each line's nearest earlier candidate of a
+        block of the bucket and whether there are more, or (every) all candidates of the lines to probe. A bucket is a stream of
         blocks; what is open of it is a few numbers for each of its lines."""
         num, den = self.num, self.den
 
@@ -129,11 +139,12 @@ class Lines:
             w, ids, k = (t[c].to_numpy() for c in ("w", "id", "k"))
             s, p = t["s"].to_numpy().astype(np.int64), t["p"].to_numpy().astype(np.int64)
             b = np.stack([t[f"b{i}"].to_numpy() for i in range(4)]).view(np.uint64)
-            fold = b[0] ^ b[1] ^ b[2] ^ b[3]
-            long = s > LONG if not every else np.ones(len(s), bool)
+            half = np.stack([b[0] ^ b[2], b[1] ^ b[3]])
+            fold = half[0] ^ half[1]
+            width = np.where(s > WIDE[1], 2, np.where(s > WIDE[0], 1, 0)) if not every else np.full(len(s), 2)
             probe = t["probe"].to_numpy(zero_copy_only=False) if every else None
             head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            rank = np.arange(len(w)) - np.repeat(head, np.diff(np.r_[head, len(w)]))  # earlier lines in the bucket
+            rank = np.arange(len(w)) - np.repeat(head, np.diff(np.r_[head, len(w)]))  # lines before it in the bucket
             todo = rank if probe is None else np.where(probe, rank, 0)
             done, total = 0, np.cumsum(todo)
             while done < len(w):
@@ -150,24 +161,30 @@ class Lines:
                 ok = np.minimum(s[x] - p[x], s[y] - p[y]) >= need
                 x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
                 apart = np.bitwise_count(fold[x] ^ fold[y]).astype(np.int64)
-                wide = np.flatnonzero(long[x] & long[y])
-                if len(wide):
-                    apart[wide] = sum(np.bitwise_count(b[i][x[wide]] ^ b[i][y[wide]]).astype(np.int64) for i in range(4))
+                both_wide = np.minimum(width[x], width[y])
+                for least, words_ in ((1, half), (2, b)):
+                    some = np.flatnonzero((both_wide >= least) & (apart <= most))
+                    if len(some):
+                        apart[some] = sum(np.bitwise_count(v[x[some]] ^ v[y[some]]).astype(np.int64) for v in words_)
                 ok = (apart <= most) & ((ids[x] != ids[y]) | (k[x] != k[y]))
                 x, y, apart = x[ok], y[ok], apart[ok]
                 if not len(x):
                     continue
                 more = np.zeros(len(x), bool)
-                if not every:
+                if not every:  # the later line is x; of each x the nearest y
+                    swap = (ids[x] < ids[y]) | ((ids[x] == ids[y]) & (k[x] < k[y]))
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    order = np.lexsort((y, apart, x))
+                    x, y, apart = x[order], y[order], apart[order]
                     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                    best = np.minimum.reduceat((apart << 40) | (y - x[0] + (1 << 39)), first)
-                    more, y, x = np.diff(np.r_[first, len(x)]) > 1, (best & ((1 << 40) - 1)) - (1 << 39) + x[0], x[first]
-                    apart = best >> 40
+                    more = np.diff(np.r_[first, len(x)]) > 1
+                    x, y, apart = x[first], y[first], apart[first]
                 for at in range(0, len(x), 100_000):
                     i, j = x[at : at + 100_000], y[at : at + 100_000]
                     cols = [ids[i], k[i], ids[j], k[j], apart[at : at + 100_000].astype(np.int32), more[at : at + 100_000]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["xi", "xk", "yi", "yk", "apart", "more"])
 
+        @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest: list[pa.RecordBatch] = []
             for batch in batches:
@@ -184,33 +201,44 @@ class Lines:
             if rest:
                 yield from pairs(pa.Table.from_batches(rest).combine_chunks())
 
-        return words.repartition("w").sortWithinPartitions("w", "id", "k").mapInArrow(run, "xi bigint, xk bigint, yi bigint, yk bigint, apart int, more boolean")
+        order = ["w", "id", "k"] if every else ["w"]
+        return words.repartition("w").sortWithinPartitions(*order).mapInArrow(run, "xi bigint, xk bigint, yi bigint, yk bigint, apart int, more boolean")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(id, k, words) of wanted lines."""
-        least = self.min
+        """(id, k, words) of wanted lines; only these are cut out of the texts."""
 
+        @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in common.slices(batch, "text"):
-                    text, line, h = line_words(common.column(part, "text"))
-                    if not len(h):
+                    data, offsets = common.utf8(common.column(part, "text"))
+                    th, lists_ = common.column(part, "th").to_numpy(), common.column(part, "ks")
+                    owner = np.repeat(np.arange(part.num_rows), np.diff(lists_.offsets.to_numpy()))
+                    ks = lists_.flatten().to_numpy()
+                    mine = (ks >> 32) == th[owner]
+                    want = np.unique((owner[mine] << 32) | (ks[mine] & 0xFFFFFFFF))
+                    starts, ends, first = common.word_spans(data, offsets)
+                    text = np.repeat(np.arange(part.num_rows), np.diff(first))
+                    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+                    place = (text << 32) | (breaks[starts] - breaks[offsets[:-1]][text])
+                    at = np.minimum(np.searchsorted(want, place), max(len(want) - 1, 0))
+                    hit = want[at] == place if len(want) else np.zeros(len(place), bool)
+                    if not hit.any():
                         continue
-                    group = np.cumsum(np.r_[False, (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
-                    order = np.lexsort((h, group))
-                    h, group = h[order], group[order]
-                    new = np.r_[True, (h[1:] != h[:-1]) | (group[1:] != group[:-1])]
-                    h, group, order = h[new], group[new], order[new]
-                    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                    word = order[head]
-                    ids, th = (common.column(part, c).to_numpy()[text[word]] for c in ("id", "th"))
-                    t = pa.RecordBatch.from_arrays([pa.array(ids), pa.array((th << 32) | line[word]), common.lists(h.view(np.int64), np.diff(np.r_[head, len(h)]), pa.int64())], names=["id", "k", "words"])
-                    yield t.filter(pa.array(np.diff(np.r_[head, len(h)]) >= least))
+                    place, h = place[hit], common.word_hashes(data, starts[hit], ends[hit], True)
+                    order = np.lexsort((h, place))
+                    h, place = h[order], place[order]
+                    new = np.r_[True, (h[1:] != h[:-1]) | (place[1:] != place[:-1])]
+                    h, place = h[new], place[new]
+                    head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                    row = place[head] >> 32
+                    cols = [common.column(part, "id").to_numpy()[row], (th[row] << 32) | (place[head] & 0xFFFFFFFF)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(h.view(np.int64), np.diff(np.r_[head, len(h)]), pa.int64())], names=["id", "k", "words"])
 
-        docs = common.keep_ids(self.docs, wanted.select("id").distinct(), "id")
-        lines = docs.mapInArrow(run, "id bigint, k bigint, words array<bigint>")
         small = wanted.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
-        return lines.join(F.broadcast(wanted) if small else wanted, ["id", "k"], "left_semi")
+        by_doc = wanted.groupBy("id").agg(F.collect_list("k").alias("ks"))
+        docs = self.docs.join(F.broadcast(by_doc) if small else by_doc, "id").select("id", "th", "text", "ks")
+        return docs.mapInArrow(run, "id bigint, k bigint, words array<bigint>")
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """(id, k) of lines x that match their y, by the whole sets."""
@@ -227,16 +255,16 @@ class Lines:
         """(id, th32, lines): the numbers of the lines that go, of each document that loses any."""
         c = F.col
         lines = common.materialize(self.described(word_counts(self.docs)), "lines")
-        same = ["h", "s", "b0", "b1", "b2", "b3"]
-        first = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"))
+        same, facts = ["h1", "h2"], ["s", "b0", "b1", "b2", "b3", "prefix"]
 
         def words(rows: DataFrame, *more: str) -> DataFrame:
             return rows.select("id", "k", "s", "b0", "b1", "b2", "b3", *more, F.posexplode("prefix").alias("p", "w"))
 
-        firsts = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"), F.first("prefix").alias("prefix"))
-        firsts = firsts.select(c("f.id").alias("id"), c("f.k").alias("k"), *same[1:], "prefix")
-        short, zero = c("s") <= LONG, F.lit(0).cast("bigint")
-        slim = firsts.withColumns({"b0": F.when(short, c("b0").bitwiseXOR(c("b1")).bitwiseXOR(c("b2")).bitwiseXOR(c("b3"))).otherwise(c("b0"))} | {f"b{i}": F.when(short, zero).otherwise(c(f"b{i}")) for i in (1, 2, 3)})
+        firsts = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"), *[F.first(x).alias(x) for x in facts])
+        firsts = firsts.select(c("f.id").alias("id"), c("f.k").alias("k"), *facts)
+        zero, xor = F.lit(0).cast("bigint"), lambda *k: reduce(Column.bitwiseXOR, [c(f"b{i}") for i in k])
+        tiers = {"b0": (xor(0, 1, 2, 3), xor(0, 2), c("b0")), "b1": (zero, xor(1, 3), c("b1")), "b2": (zero, zero, c("b2")), "b3": (zero, zero, c("b3"))}
+        slim = firsts.withColumns({k: F.when(c("s") <= WIDE[0], v[0]).when(c("s") <= WIDE[1], v[1]).otherwise(v[2]) for k, v in tiers.items()})
         near = self.candidates(words(slim), False).groupBy("xi", "xk").agg(F.min(F.struct("apart", "yi", "yk")).alias("m"), F.max("more").alias("more"), F.min(F.struct("yi", "yk")).alias("lo"), F.max(F.struct("yi", "yk")).alias("hi"))
         near = common.materialize(near.select("xi", "xk", c("m.yi").alias("yi"), c("m.yk").alias("yk"), (c("more") | (c("lo") != c("hi"))).alias("more")), "nearest")
         gone = self.matched(near.select("xi", "xk", "yi", "yk"))
@@ -247,13 +275,17 @@ class Lines:
         if n:
             hint = F.broadcast if n <= common.BROADCAST_KEYS else (lambda x: x)  # counted
             probes = lines.join(hint(open_), ["id", "k"], "left_semi")
-            keys = common.materialize(words(probes).select("w").distinct(), "open-words")
+            keys = words(probes).groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max(F.struct("id", "k")).alias("last"))
+            keys = common.materialize(keys, "open-words")
             small = keys.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
             marked = firsts.join(hint(open_.withColumn("probe", F.lit(True))), ["id", "k"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-            some = words(marked, "probe").join(F.broadcast(keys) if small else keys, "w", "left_semi")
+            rows, open_words = words(marked, "probe"), (F.broadcast(keys) if small else keys)
+            fits = (c("s") * self.den >= c("lo") * self.num) & (c("hi") * self.den >= c("s") * self.num) & (F.struct("id", "k") <= c("last"))
+            some = rows.join(open_words, (rows["w"] == open_words["w"]) & fits, "left_semi")
             all_ = self.candidates(some.select("w", "id", "k", "s", "p", "b0", "b1", "b2", "b3", "probe"), True).select("xi", "xk", "yi", "yk").distinct()
             gone = gone.union(self.matched(all_.join(near.select("xi", "xk", "yi", "yk"), ["xi", "xk", "yi", "yk"], "left_anti")))
 
+        first = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"))
         first = first.join(gone.distinct().select(F.struct("id", "k").alias("f"), F.lit(True).alias("similar")), "f", "left")
         later = lines.select("id", "k", *same).join(first, same).filter("similar OR f.id <> id OR f.k <> k")
         return later.groupBy("id", F.shiftright("k", 32).cast("int").alias("th32")).agg(F.collect_list((c("k").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("lines"))
@@ -269,33 +301,38 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.cast("int").alias("th32"), F.col(text).alias("text"))
     fields = plain.select(*names).schema.fields
 
+    @common.tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in common.slices(batch, "text"):
-                blobs = [None if t is None else z.compress(t.encode("utf-8")) for t in common.column(part, "text").to_pylist()]
+                col = common.column(part, "text")
+                (data, offs), null = common.utf8(col), col.is_null().to_numpy(zero_copy_only=False)
+                raw, offs = data.tobytes(), offs.tolist()
+                blobs = [None if gone else z.compress(raw[a:b]) for gone, a, b in zip(null.tolist(), offs, offs[1:])]
                 yield common.appended(part, [*names, "id", "th32"], {"blob": pa.array(blobs, pa.binary())})
 
+    @common.tidy
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: list[tuple[str | None, int, int]] = []
+                out: list[tuple[bytes | None, int, int]] = []
                 for blob, lines in zip(common.column(part, "blob").to_pylist(), common.column(part, "lines").to_pylist()):
                     if blob is None:
                         out.append((None, 0, 0))
                         continue
-                    body = z.decompress(blob).decode("utf-8")
+                    body = z.decompress(blob)
                     if not lines:
-                        out.append((body, body.count("\n") + 1, 0))
+                        out.append((body, body.count(b"\n") + 1, 0))
                         continue
                     drop = set(lines)
-                    all_ = body.split("\n")
+                    all_ = body.split(b"\n")
                     kept = [x for i, x in enumerate(all_) if i not in drop]
-                    out.append(("\n".join(kept), len(kept), len(all_) - len(kept)))
+                    out.append((b"\n".join(kept), len(kept), len(all_) - len(kept)))
                 t, k, r = zip(*out)
-                yield common.appended(part, names, {"text": pa.array(t, pa.string()), "kept": pa.array(k, pa.int64()), "removed": pa.array(r, pa.int64())})
+                yield common.appended(part, names, {"text": pa.array(t, pa.binary()).cast(pa.string()), "kept": pa.array(k, pa.int64()), "removed": pa.array(r, pa.int64())})
 
     packed = plain.mapInArrow(pack, T.StructType([*fields, T.StructField("id", T.LongType()), T.StructField("th32", T.IntegerType()), T.StructField("blob", T.BinaryType())]))
     joined = packed.join(gone, ["id", "th32"], "left").select(*names, "blob", "lines")
