@@ -39,7 +39,7 @@ PATTERN = (
 #: White space beside a space.
 ODD = ["  ", *(x for w in "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for x in (f" {w}", f"{w} "))]
 #: Units that each of the two generations of a worker's cache holds.
-CACHE = 200_000
+CACHE = 120_000
 _NONE = 1 << 62
 _SHIFT = 20
 
@@ -344,17 +344,22 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """The kept columns and token_ids array<int>."""
+def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
+    """The kept columns and token_ids array<int>; with ``decoded`` also what these ids decode to, in the same pass."""
     path = path or default_path()
 
     def fn(col: pa.Array) -> dict[str, pa.Array]:
         c = codec(path)
         got = c.encode_batch([t or "" for t in col.to_pylist()])
         flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-        return {"token_ids": common.lists(flat, np.array([len(x) for x in got], np.int64), pa.int32())}
+        out = {"token_ids": common.lists(flat, np.array([len(x) for x in got], np.int64), pa.int32())}
+        return out | {"decoded": pa.array([c.decode(x) for x in got], pa.string())} if decoded else out
 
-    return common.map_appending(df, keep, text, "token_ids array<int>", fn)
+    def forget() -> None:  # the worker may do something else next
+        c = codec(path)
+        c.cache, c.old = {}, {}
+
+    return common.map_appending(df, keep, text, "token_ids array<int>" + ", decoded string" * decoded, fn, forget)
 
 
 def decode(df: DataFrame, keep: list[str], ids: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -379,8 +384,7 @@ def decode(df: DataFrame, keep: list[str], ids: str = "token_ids", path: str | N
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = encode(docs, ["doc_id"])
-    both = decode(tokens, ["doc_id", "token_ids"])
+    both = encode(docs, ["doc_id"], decoded=True)
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

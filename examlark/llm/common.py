@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,17 +65,36 @@ def appended(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -
     return pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + list(new.values()), names=keep + list(new))
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Python workers live on between tasks: at a task's end, what it has freed goes back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return run
+
+
 def map_appending(
-    df: DataFrame, keep: list[str], text: str, new: str, fn: Callable[[pa.Array], dict[str, pa.Array]], barrier: bool = False
+    df: DataFrame, keep: list[str], text: str, new: str, fn: Callable[[pa.Array], dict[str, pa.Array]], done: Callable[[], None] | None = None
 ) -> DataFrame:
-    """mapInArrow that keeps some columns and appends what fn makes of the text column, a slice of rows at a time."""
+    """mapInArrow that keeps some columns and appends what fn makes of the text column, a slice of rows at a time; done ends a task."""
     schema = T.StructType([f for f in df.select(*keep).schema.fields] + T._parse_datatype_string(new).fields)
     src = df.select(*keep) if text in keep else df.select(*keep, text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 yield appended(part, keep, fn(column(part, text)))
+        if done:
+            done()
 
     return src.mapInArrow(run, schema)
 
@@ -128,7 +149,7 @@ NOT_SPACE = byte_table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z became a-z
 ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table_: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,24 +173,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table_: np.ndarray = NOT_S
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 1024
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (polynomial, then mixed with the length)."""
+    """A 64-bit hash of each word's bytes, eight bytes at a time for all words at once."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from any place on
     lens = ends - starts
-    flat = np.arange(int(lens.sum()), dtype=np.int64)
-    first = np.cumsum(lens) - lens
-    within = flat - np.repeat(first, lens)
-    powers = np.empty(int(lens.max()), np.uint64)
-    powers[0] = 1
-    if len(powers) > 1:
-        powers[1:] = _BASE
-        powers = np.multiply.accumulate(powers)
-    src = data[np.repeat(starts, lens) + within]
-    if lower:
-        src = LOWER[src]
-    terms = (src.astype(np.uint64) + np.uint64(1)) * powers[within]
-    return mix(np.add.reduceat(terms, first) ^ (lens.astype(np.uint64) << np.uint64(48)))
+    h = mix((eight[starts] & _MASKS[np.minimum(lens, 8)]) ^ (lens.astype(np.uint64) * _BASE))
+    rest, at = np.flatnonzero((lens > 8) & (lens <= _LONG_WORD)), 8
+    while len(rest):
+        h[rest] = mix(h[rest] * _BASE + (eight[starts[rest] + at] & _MASKS[np.minimum(lens[rest] - at, 8)]))
+        at += 8
+        rest = rest[lens[rest] > at]
+    for i in np.flatnonzero(lens > _LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -101,6 +101,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     if n > max_train:
         rows = rows.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(max_train / n * (1 << 20)) + 1)
 
+    @common.tidy
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
