@@ -66,6 +66,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def paths(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """(key, id, th, start, hashes): the compacted paths of all buckets that are not hot."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -119,6 +120,7 @@ def _repeated(t: pa.Table) -> pa.RecordBatch:
 def bucket_repeats(p: DataFrame) -> DataFrame:
     """(id, th, lo, hi): repeated pieces; reads sorted buckets as a stream, one open bucket at a time."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -152,6 +154,7 @@ def hot_minimizers(docs: DataFrame, window: int) -> np.ndarray:
 def hot_repeats(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """(id, th, lo, hi) of the hot buckets, an edge at a time."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -171,7 +174,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, th, lo, hi): first and last window of every repeated piece. docs: id, th, text."""
     hot = hot_minimizers(docs, window)
     found = bucket_repeats(paths(docs, window, hot))
-    return found.union(hot_repeats(docs, window, hot)) if len(hot) else found
+    # a job of its own: Spark splits a skewed join only where nothing else shares its stage
+    return found.union(common.materialize(hot_repeats(docs, window, hot), "hot-edges")) if len(hot) else found
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -180,6 +184,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     spans = repeated_spans(docs, window).groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     joined = docs.join(spans, ["id", "th"], "left")
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
