@@ -8,7 +8,7 @@ other m; of the partitions that agree, the one that comes first in this order is
 linked sets always share a signature, while empty and nearly empty partitions, which many sets share, sign
 for hardly any set. Signatures only propose pairs; every link is verified on the whole sets.
 
-Before that, a parity sketch of 1024 bits of each set bounds the Hamming distance of a pair from below (every
+Before that, a parity sketch of 512 or 1024 bits of each set bounds the Hamming distance of a pair from below (every
 differing bit needs a differing shingle), so that pairs that are similar, but not enough, are dropped inside the
 join that would make them.
 
@@ -23,6 +23,8 @@ component; equal texts are linked, whatever their number. Only doc_id and text a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,8 @@ from . import common, graph
 
 RATIO = 1.3
 SKETCH = 16  # words of 64 bits
+#: Sets of at most so many shingles carry a sketch of 512 bits, which is the wide one folded.
+NARROW = 600
 _INST = np.uint64(0xA24BAED4963EE407)
 
 
@@ -129,6 +133,9 @@ class Join:
             bit = np.repeat(np.arange(len(c)), c) * (64 * SKETCH) + (g >> np.uint64(64 - 10)).astype(np.int64)
             odd = (np.bincount(bit, minlength=len(c) * 64 * SKETCH) & 1).astype(np.uint8)
             words = np.packbits(odd.reshape(len(c), -1), axis=1).view(np.int64)
+            narrow = c <= NARROW
+            words[narrow, : SKETCH // 2] ^= words[narrow, SKETCH // 2 :]
+            words[narrow, SKETCH // 2 :] = 0
             return out | {f"k{i}": pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)}
 
         return common.map_appending(self.docs, ["id"], "text", "n bigint, h1 bigint, h2 bigint, " + ", ".join(f"k{i} bigint" for i in range(SKETCH)), fn)
@@ -153,16 +160,19 @@ class Join:
 
         return common.map_appending(common.keep_ids(self.docs, ids, "id"), ["id"], "text", "s array<bigint>", fn)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked, by their whole sets."""
+    def verified(self, pairs: DataFrame) -> DataFrame | None:
+        """The pairs (a, b) that are linked, by their whole sets; None if there are none."""
         pairs = common.materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return None
         ids = common.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
         sets = self.sets(ids)
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common_ = F.size(F.array_intersect("x", "y")).cast("bigint")
         linked = both.select("a", "b", common_.alias("i"), (F.size("x") + F.size("y")).alias("t"))
-        return common.materialize(linked.filter(F.col("i") * self.den >= (F.col("t") - F.col("i")) * self.num).select("a", "b").distinct(), "links")
+        linked = common.materialize(linked.filter(F.col("i") * self.den >= (F.col("t") - F.col("i")) * self.num).select("a", "b").distinct(), "links")
+        return None if linked.isEmpty() else linked
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, n, vertex of each row; id, component of vertices that have a link)."""
@@ -174,15 +184,29 @@ class Join:
 
         fits = lambda a, b: _sizes(F.col(a), F.col(b), self.num, self.den)
         sketch = lambda key, n, c: meta.filter("n > 0").select(F.col("id").alias(key), F.col("n").alias(n), *[F.col(f"k{i}").alias(f"{c}{i}") for i in range(SKETCH)])
-        near = lambda a, b, na, nb: (
-            sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH)), F.lit(0)) * (self.den + self.num) <= (F.col(na) + F.col(nb)) * (self.den - self.num)
-        )
+
+        def near(a: str, b: str, na: str, nb: str) -> Column:
+            """Not more differing bits than a linked pair of these sizes can have differing shingles."""
+            x, y = ([F.col(f"{c}{i}") for i in range(SKETCH)] for c in (a, b))
+            fold = lambda v, i: v[i].bitwiseXOR(v[i + SKETCH // 2])
+            wide = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)), F.lit(0))
+            folded = sum((F.bit_count(fold(x, i).bitwiseXOR(fold(y, i))) for i in range(SKETCH // 2)), F.lit(0))
+            bits = F.when(F.least(na, nb) > NARROW, wide).otherwise(folded)
+            return bits * (self.den + self.num) <= (F.col(na) + F.col(nb)) * (self.den - self.num)
+
         stars = multi.filter((F.col("id") != F.col("pivot")) & fits("n", "pn")).groupBy("id", "pivot").count()
         stars = stars.join(sketch("id", "n", "x"), "id").join(sketch("pivot", "pn", "y"), "pivot").filter(near("x", "y", "n", "pn"))
         stars = common.materialize(stars.select("id", "pivot", "count").dropDuplicates(["id", "pivot"]), "stars")
         best = stars.groupBy("id").agg(F.max(F.struct("count", F.negative("pivot").alias("p"))).alias("m")).select(F.col("id").alias("a"), F.negative(F.col("m.p")).alias("b"))
-        links = self.verified(best)
-        found = common.materialize(graph.components(links, "a", "b"), "components")
+        links: list[DataFrame] = []
+
+        def extended(found: DataFrame, more: DataFrame | None) -> DataFrame:
+            if more is None:
+                return found
+            links.append(more)
+            return common.materialize(graph.components(reduce(DataFrame.union, links), "a", "b"), "components")
+
+        found = extended(self.docs.sparkSession.createDataFrame([], "id bigint, component bigint"), self.verified(best))
 
         def of(df: DataFrame, key: str, name: str) -> DataFrame:
             c = found.select(F.col("id").alias(key), F.col("component").alias(name))
@@ -190,8 +214,7 @@ class Join:
 
         rest = of(of(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
         rest = rest.join(best, ["a", "b"], "left_anti")
-        links = links.union(self.verified(rest))
-        found = common.materialize(graph.components(links, "a", "b"), "components")
+        found = extended(found, self.verified(rest))
 
         left = of(multi, "id", "c")
         split = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
@@ -201,14 +224,13 @@ class Join:
         y = left.join(sketch("id", "_n", "y"), "id").select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[f"y{i}" for i in range(SKETCH)])
         apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb") & near("x", "y", "na", "nb")
         cross = x.join(y, (x["sig"] == y["sig"]) & apart).select("a", "b").distinct()
-        links = links.union(self.verified(cross))
-        found = common.materialize(graph.components(links, "a", "b"), "components")
+        found = extended(found, self.verified(cross))
         return meta.join(vertices, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("vertex", "id").alias("vertex")), found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; linked at den * intersection >= num * union."""
-    rows, found = Join(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), words, num, den).run()
+    rows, found = Join(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")), words, num, den).run()
     out = rows.join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "vertex").alias("component_id"))
 
