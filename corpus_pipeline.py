@@ -49,8 +49,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, checked by decoding them."""
-    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "text", "lang", "source"])
-    both = bpe.decode(encoded, ["doc_id", "text", "lang", "source", "token_ids"])
+    both = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "text", "lang", "source"], decoded=True)
     return both.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
