@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Largest number of 8-byte keys that is broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Largest number of pairs that is broadcast.
+BROADCAST_PAIRS = 500_000
 #: Text bytes that the vectorised functions take at once (a longer text goes alone).
 CHUNK_BYTES = 1 << 20
 

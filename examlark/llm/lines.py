@@ -245,7 +245,8 @@ class Lines:
         pairs = common.materialize(pairs, "pairs")
         ends = common.materialize(pairs.select(F.col("xi").alias("id"), F.col("xk").alias("k")).union(pairs.select(F.col("yi").alias("id"), F.col("yk").alias("k"))).distinct(), "ends")
         sets = common.materialize(self.sets(ends), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("xi"), F.col("k").alias("xk"), F.col("words").alias("x")), ["xi", "xk"]).join(
+        few = F.broadcast(pairs) if pairs.count() <= common.BROADCAST_PAIRS else pairs
+        both = sets.select(F.col("id").alias("xi"), F.col("k").alias("xk"), F.col("words").alias("x")).join(few, ["xi", "xk"]).join(
             sets.select(F.col("id").alias("yi"), F.col("k").alias("yk"), F.col("words").alias("y")), ["yi", "yk"]
         )
         i, t = F.size(F.array_intersect("x", "y")).cast("bigint"), (F.size("x") + F.size("y")).cast("bigint")
@@ -278,10 +279,12 @@ class Lines:
             keys = words(probes).groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max(F.struct("id", "k")).alias("last"))
             keys = common.materialize(keys, "open-words")
             small = keys.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
-            marked = firsts.join(hint(open_.withColumn("probe", F.lit(True))), ["id", "k"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-            rows, open_words = words(marked, "probe"), (F.broadcast(keys) if small else keys)
+            rows, open_words = words(lines), (F.broadcast(keys) if small else keys)
             fits = (c("s") * self.den >= c("lo") * self.num) & (c("hi") * self.den >= c("s") * self.num) & (F.struct("id", "k") <= c("last"))
             some = rows.join(open_words, (rows["w"] == open_words["w"]) & fits, "left_semi")
+            light = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f")).select(c("f.id").alias("id"), c("f.k").alias("k"))
+            some = some.join(light, ["id", "k"], "left_semi")  # first lines of their sets alone
+            some = some.join(hint(open_.withColumn("probe", F.lit(True))), ["id", "k"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
             all_ = self.candidates(some.select("w", "id", "k", "s", "p", "b0", "b1", "b2", "b3", "probe"), True).select("xi", "xk", "yi", "yk").distinct()
             gone = gone.union(self.matched(all_.join(near.select("xi", "xk", "yi", "yk"), ["xi", "xk", "yi", "yk"], "left_anti")))
 

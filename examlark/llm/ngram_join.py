@@ -163,11 +163,13 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame | None:
         """The pairs (a, b) that are linked, by their whole sets; None if there are none."""
         pairs = common.materialize(pairs, "pairs")
-        if pairs.isEmpty():
+        n = pairs.count()
+        if not n:
             return None
         ids = common.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
         sets = self.sets(ids)
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+        few = F.broadcast(pairs) if n <= common.BROADCAST_PAIRS else pairs  # else the sets are shuffled for either end
+        left = sets.select(F.col("id").alias("a"), F.col("s").alias("x")).join(few, "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common_ = F.size(F.array_intersect("x", "y")).cast("bigint")
         linked = both.select("a", "b", common_.alias("i"), (F.size("x") + F.size("y")).alias("t"))
