@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go, and documents of which nothing but white space is left."""
-    done = lines.dedup_lines(docs)
+    done = lines.dedup_lines(docs, min_tokens=lines.ALL)
     gone = (F.col("lines_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     done = done.filter(~F.coalesce(gone, F.lit(False)))
     if "n_chars" in docs.columns:

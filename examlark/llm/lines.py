@@ -1,16 +1,17 @@
 """Operator 9: line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased (A-Z) words; sets of fewer than ``min_tokens`` words are left alone. A
-line goes if an earlier line, by (doc_id, text hash, line number), has a Jaccard similarity of at least
-num / den, whether or not that one goes itself.
+A line is the set of its lower-cased (A-Z) words; sets of fewer than ``min_tokens`` words are left alone (op9_lines
+and the pipeline take all lines of one word or more). A line goes if an earlier line, by (doc_id, text hash, line
+number), has a Jaccard similarity of at least num / den, whether or not that one goes itself.
 
 Equal sets meet first: only the first line of each goes on. Words are ordered by rarity (counts of all words of
 all documents in a table of hash slots, whose size is fixed; ties by hash), and two similar sets share a word of
-their prefixes. In the bucket of a prefix word, pairs must pass the length filter, the positional filter and a
-parity sketch (each differing bit needs a differing word). A line needs only one earlier match, so a bucket gives
-each line its nearest earlier candidate alone, and says if there were more. Candidates are verified on the whole
-sets; only lines whose candidate failed and that had more meet all others that pass. Groups of copies are so
-never spread out into all their pairs, and no candidate is lost.
+their prefixes; a set so small that only an equal one reaches num / den (fewer than four words at 80 / 100) has none.
+In the bucket of a prefix word, pairs must pass the length filter, the positional filter and a parity sketch (each
+differing bit needs a differing word). A line needs only one earlier match, so a bucket gives each line its nearest
+earlier candidate alone, and says if there were more. Candidates are verified on the whole sets; only lines whose
+candidate failed and that had more meet all others that pass. Groups of copies are so never spread out into all
+their pairs, and no candidate is lost.
 
 Cases: null texts stay null; empty texts, empty lines and white space are no lines to compare and stay; line
 ends are \\n; a document may become empty; rows that repeat a doc_id are told apart by their text, and equal
@@ -33,6 +34,8 @@ from . import common
 from .substring import NULL_ID
 
 MIN_TOKENS = 5
+#: The least words of a line for which no line that has any is left out.
+ALL = 1
 #: Slots of the table of word counts: its size does not depend on the data.
 SLOT_BITS = 20
 #: Sets of more words than the second carry a sketch of 256 bits, of more than the first one of 128, others of 64; a narrow one is a wide one folded.
@@ -117,7 +120,7 @@ class Lines:
                     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                     s = np.diff(np.r_[head, len(h)])
                     word = order[head]
-                    prefix = s - (num * s + den - 1) // den + 1
+                    prefix = np.where(s * den >= (s + 1) * num, s - (num * s + den - 1) // den + 1, 0)  # 0: only equal sets are similar
                     at = np.arange(len(h)) - np.repeat(head, s)
                     bit, one = (h >> np.uint64(40)) & np.uint64(255), np.uint64(1)
                     sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one << (bit & np.uint64(63)), np.uint64(0)), head).view(np.int64) for w in range(4)]
@@ -345,5 +348,5 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=ALL)
     return done.select("doc_id", "lines_kept", "lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
