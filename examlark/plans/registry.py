@@ -272,7 +272,7 @@ def mode_closure(s: SparkSession, d: str) -> DataFrame:
 
 def _entries(s: SparkSession, d: str) -> DataFrame:
     e = scan(s, d, "documents", ["doc_id", "text", "source", "n_chars"])
-    return e.select("doc_id", "source", "n_chars", F.sha2(F.substring("text", 1, 40), 256).alias("hash"), (F.col("doc_id") % 97).alias("width"), (F.col("doc_id") % 89).alias("height"), (F.col("doc_id") % 31 == 0).alias("gone"), (F.col("doc_id") % 23 == 0).alias("white"))
+    return e.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 97).alias("width"), (F.col("doc_id") % 89).alias("height"), (F.col("doc_id") % 31 == 0).alias("gone"), (F.col("doc_id") % 23 == 0).alias("white"))
 
 
 E_SQL = "(SELECT doc_id, source, n_chars, sha256(substr(text, 1, 40)) AS hash, doc_id % 97 AS width, doc_id % 89 AS height, doc_id % 31 = 0 AS gone, doc_id % 23 = 0 AS white FROM documents)"
