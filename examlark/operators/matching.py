@@ -48,14 +48,14 @@ def top_k(scored: DataFrame, query: str, candidate: str, score: str, k: int) ->
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """Cosine top-k of a bounded query set: the queries are broadcast, counted first."""
+    """Cosine top-k of a query set of any size: the queries, counted first, are broadcast; more than PROBE_ROWS meet the
+    vectors in blocks of about that many, each block with each partition of the vectors in a task."""
     n = queries.count()
-    if n > PROBE_ROWS:
-        raise ValueError(f"{n} queries; at most {PROBE_ROWS} at once")
     norm = lambda c: F.sqrt(dot(c, c))
     q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("q"), norm(vec).alias("qn"))
     c = vectors.select(key, F.col(vec).alias("v"), norm(vec).alias("vn"))
-    s = c.join(F.broadcast(q), F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot("q", "v") / (F.col("qn") * F.col("vn")), 6).alias("score"))
+    few = F.broadcast(q) if n <= PROBE_ROWS else q.repartition(-(-n // PROBE_ROWS)).hint("shuffle_replicate_nl")
+    s = c.join(few, F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot("q", "v") / (F.col("qn") * F.col("vn")), 6).alias("score"))
     return top_k(s, "query_id", key, "score", k)
 
 

@@ -422,7 +422,7 @@ sc AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) /
 SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5""")
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
     e = scan(s, d, "embeddings", ["vec_id", "embedding"])
-    return matching.vector_top_k(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
+    return matching.vector_top_k(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
 @query(BM25_SQL + ", top AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS m FROM sc) SELECT item_id, doc_id, CAST(round(coalesce(round(score / m, 6), 0) * 0.5::DOUBLE + (doc_id % 100) / 100.0::DOUBLE * 0.3::DOUBLE + 0.0::DOUBLE * 0.2::DOUBLE, 4) AS DECIMAL(5,4))::DOUBLE AS final_score FROM top WHERE score >= m * 0.7::DOUBLE")

@@ -7,6 +7,7 @@ import hashlib
 import duckdb
 import pytest
 
+from examlark.operators import matching
 from examlark.plans import registry
 from test_queries import DATA, TABLES, _rows
 
@@ -44,3 +45,15 @@ def test_same_opening_is_no_copy(spark, tmp_path):
     assert got == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in (0, 1, 3)}
     assert registry.QUERIES["strategy_compare"](spark, str(tmp_path)).collect()[0].distinct_hashes == 3
     assert registry.QUERIES["duplicate_hash_groups"](spark, str(tmp_path)).collect()[0][0] == 1
+
+
+def test_vector_queries(spark):
+    _same(spark, "vector_topk", ("a.vec_id % 100 = 0", "a.vec_id % 50 = 0"))
+
+
+def test_more_queries_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, [float((i * 7) % 11 + 1), float((i * 5) % 13), 1.0]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    few = matching.vector_top_k(v, v, "vec_id", "embedding", 4).collect()
+    monkeypatch.setattr(matching, "PROBE_ROWS", 7)
+    assert sorted(matching.vector_top_k(v, v, "vec_id", "embedding", 4).collect()) == sorted(few) and len(few) == 240
