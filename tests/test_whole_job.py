@@ -57,3 +57,7 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
     few = matching.vector_top_k(v, v, "vec_id", "embedding", 4).collect()
     monkeypatch.setattr(matching, "PROBE_ROWS", 7)
     assert sorted(matching.vector_top_k(v, v, "vec_id", "embedding", 4).collect()) == sorted(few) and len(few) == 240
+
+
+def test_requests_of_all_orders(spark):
+    _same(spark, "version_requests", (" WHERE o_orderkey % 50 = 0", ""))
