@@ -61,3 +61,13 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
 
 def test_requests_of_all_orders(spark):
     _same(spark, "version_requests", (" WHERE o_orderkey % 50 = 0", ""))
+
+
+def test_answers_of_all_events(spark):
+    _same(spark, "answer_card", (" WHERE event_id % 3 = 0", ""))
+
+
+def test_an_invalid_answer_is_seen(spark, tmp_path):
+    _write(spark, tmp_path, "events", [(5, 1), (6, 1), (7, 2)], "event_id long, user_id long")
+    got = registry.QUERIES["answer_card"](spark, str(tmp_path)).collect()
+    assert {(r.user_id, r.answers, r.valid) for r in got} == {(1, 2, False), (2, 1, True)}
