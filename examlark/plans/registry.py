@@ -78,7 +78,7 @@ def version_histogram(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT conv_id, CAST(count(DISTINCT version) AS INTEGER) AS n_versions, string_agg(DISTINCT version::VARCHAR, ',' ORDER BY version::VARCHAR DESC) AS versions, max(version) AS max_version FROM {V} WHERE version < 10 GROUP BY conv_id")
 def version_list(s: SparkSession, d: str) -> DataFrame:
-    return versions.available(_versions(s, d).filter("version < 10"), "conv_id", "version")
+    return versions.available(_versions(s, d), "conv_id", "version")
 
 
 @query(r"""SELECT raw, CASE WHEN regexp_matches(lower(trim(raw)), '^v?[0-9]+$') THEN nullif(CAST(regexp_extract(lower(trim(raw)), '([0-9]+)$', 1) AS INTEGER), 0) END AS version
@@ -339,7 +339,7 @@ def doc_scan_limit(s: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, CASE WHEN x = '' THEN 'document' ELSE x END AS stem FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(substr(text, 1, 200), '[^0-9A-Za-z一-鿿._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 80) AS x FROM documents)""")
 def safe_stem(s: SparkSession, d: str) -> DataFrame:
-    return scan(s, d, "documents", ["doc_id", "text"]).select("doc_id", S.safe_stem(F.substring("text", 1, 200)).alias("stem"))
+    return scan(s, d, "documents", ["doc_id", "text"]).select("doc_id", S.safe_stem("text").alias("stem"))
 
 
 @query(r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 80) AS preview FROM documents")
@@ -361,7 +361,7 @@ def json_extract(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT conv_id, CAST(n AS INTEGER) AS sheets, n = 2 AND reasons_ok AS valid FROM (SELECT conv_id, count(*) AS n, bool_and(length(substr(text, 1, 30 + 20 * CAST(turn AS INTEGER))) <= 40) AS reasons_ok FROM conversations GROUP BY conv_id)""")
 def contract_validate(s: SparkSession, d: str) -> DataFrame:
     c = scan(s, d, "conversations", ["conv_id", "turn", "role", "text"])
-    item = F.struct(F.col("role").alias("type"), F.col("turn").cast("int").alias("order"), F.col("turn").cast("int").alias("physical_index"), F.col("text").substr(F.lit(1), 30 + 20 * F.col("turn").cast("int")).alias("reason"))
+    item = F.struct(F.col("role").alias("type"), F.col("turn").cast("int").alias("order"), F.col("turn").cast("int").alias("physical_index"), F.col("text").alias("reason"))
     said = c.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("js"))
     parsed = said.withColumn("r", C.parse("js", "sheet_types"))
     return parsed.select("conv_id", F.size("r").alias("sheets"), C.sheet_types_ok(F.col("r"), F.lit(2)).alias("valid"))
@@ -528,7 +528,7 @@ def step_prompt_resolve(s: SparkSession, d: str) -> DataFrame:
     c = scan(s, d, "customer")
     sel = F.when(F.col("c_custkey") % 3 == 0, "v2").when(F.col("c_custkey") % 3 == 1, "latest").otherwise("9")
     steps = c.select(F.col("c_custkey").alias("step_key"), (F.col("c_custkey") % 60).alias("prompt_key"), sel.alias("selected_version"), (F.col("c_acctbal") > 0).alias("is_active"))
-    v = _versions(s, d).select(F.col("conv_id").alias("prompt_key"), "version", "status", F.concat(F.lit("step {{ key }}: "), F.substring("text", 1, 40)).alias("prompt_text"))
+    v = _versions(s, d).select(F.col("conv_id").alias("prompt_key"), "version", "status", F.concat(F.lit("step {{ key }}: "), F.col("text")).alias("prompt_text"))
     return prompts.resolve_steps(steps, v, F.create_map(F.lit("key"), F.col("step_key").cast("string")))
 
 

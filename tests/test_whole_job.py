@@ -71,3 +71,19 @@ def test_an_invalid_answer_is_seen(spark, tmp_path):
     _write(spark, tmp_path, "events", [(5, 1), (6, 1), (7, 2)], "event_id long, user_id long")
     got = registry.QUERIES["answer_card"](spark, str(tmp_path)).collect()
     assert {(r.user_id, r.answers, r.valid) for r in got} == {(1, 2, False), (2, 1, True)}
+
+
+WHOLE_TEXTS = {"safe_stem": [("substr(text, 1, 200)", "text")], "contract_validate": [("substr(text, 1, 30 + 20 * CAST(turn AS INTEGER))", "text")], "step_prompt_resolve": [("substr(v.text, 1, 40)", "v.text")], "version_list": [(" WHERE version < 10", "")]}
+
+
+@pytest.mark.parametrize("name", list(WHOLE_TEXTS))
+def test_whole_texts_and_versions(spark, name):
+    _same(spark, name, *WHOLE_TEXTS[name])
+
+
+def test_long_openings_and_late_turns(spark, tmp_path):
+    _write(spark, tmp_path, "documents", [(1, "!" * 250 + "name")], "doc_id long, text string")
+    assert registry.QUERIES["safe_stem"](spark, str(tmp_path)).collect()[0].stem == "name"
+    _write(spark, tmp_path, "conversations", [(1, i, "user", f"t{i}") for i in range(12)], "conv_id long, turn long, role string, text string")
+    got = registry.QUERIES["version_list"](spark, str(tmp_path)).collect()[0]
+    assert (got.n_versions, got.max_version) == (12, 12)
