@@ -1,12 +1,10 @@
-"""Operator 8: substring dedup on a compacted de Bruijn graph of word windows.
-
-The graph's edges are windows of ``window`` consecutive words, its nodes their overlaps. As in minimizer-based
-compaction, every edge goes to the bucket of its smallest inner k-mer, and a run of consecutive edges of one
-document with the same minimizer travels as one compacted path. A bucket keeps the edges that occur more than
-once; what is left of a path are repeated non-branching pieces, given by source coordinates (document, first
-window, last window). Pieces of neighbouring buckets are glued by a Spark join on these coordinates with the
-documents, and cover the words that go. A word hash never decides alone: edges are told apart by 64 bits of
-the minimizer and 48 of the window together.
+"""Operator 8: substring dedup by counting word windows in minimizer buckets.
+
+Every window of ``window`` consecutive words goes to the bucket of its smallest inner k-mer, and a run of
+consecutive windows of one document with the same minimizer travels as one row. A bucket keeps the windows that
+occur more than once, as pieces given by source coordinates (document, first window, last window); a Spark join
+on these with the documents covers the words that go. No graph of overlaps is built and no path compacted, and
+words are not compared: windows are told apart by 64 bits of the minimizer and 48 of the window together.
 
 A minimizer that a sample finds in a large share of all paths (a passage that very many documents share) is
 hot: its edges are counted one by one by a pre-aggregated count and a join that Spark can split.
