@@ -87,3 +87,9 @@ def test_long_openings_and_late_turns(spark, tmp_path):
     _write(spark, tmp_path, "conversations", [(1, i, "user", f"t{i}") for i in range(12)], "conv_id long, turn long, role string, text string")
     got = registry.QUERIES["version_list"](spark, str(tmp_path)).collect()[0]
     assert (got.n_versions, got.max_version) == (12, 12)
+
+
+def test_a_long_reason_is_seen(spark, tmp_path):
+    _write(spark, tmp_path, "conversations", [(1, 0, "user", "x" * 60), (1, 1, "user", "short"), (2, 0, "user", "y"), (2, 1, "user", "z")], "conv_id long, turn long, role string, text string")
+    got = registry.QUERIES["contract_validate"](spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.valid) for r in got} == {(1, False), (2, True)}
