@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exact_sum(c: Column) -> Column:
+    """A sum of measures as decimals of six places, which no order of rows changes."""
+    return F.sum(c.cast("decimal(18,6)"))
+
+
 def family_stats(df: DataFrame, family: str, region: str, year: Column) -> DataFrame:
     """Frequency of a family in total and by region and year, in one pass (grouping sets)."""
     d = df.select(family, region, year.alias("year"))
@@ -14,7 +19,7 @@ def family_stats(df: DataFrame, family: str, region: str, year: Column) -> DataF
 
 def attempt_metrics(df: DataFrame, by: list[str], correct: Column, score: Column, seconds: Column) -> DataFrame:
     """Rates leave out what is not judged (null)."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"), F.count(correct).alias("judged"), F.round(F.avg(correct.cast("int")), 6).alias("correct_rate"), F.round(F.sum(score), 2).alias("score"), F.sum(seconds).alias("seconds"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"), F.count(correct).alias("judged"), F.round(F.avg(correct.cast("int")), 6).alias("correct_rate"), F.round(exact_sum(score), 2).cast("double").alias("score"), F.sum(seconds).alias("seconds"))
 
 
 def latest_by(df: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:

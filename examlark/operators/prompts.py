@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examlark.functions.scalars import parse_version, render
+from examlark.functions.scalars import coverage, parse_version, render
+from examlark.operators.analytics import exact_sum
 from examlark.operators.versions import published
 
 
@@ -51,10 +52,8 @@ def number_sets(df: DataFrame, doc: str, set_: str, order: str) -> DataFrame:
 
 def compare_strategies(results: DataFrame, mode: str, seconds: str, hash_: str, expected: int) -> DataFrame:
     """Per strategy: how many, coverage, distinct hashes, time."""
-    from examlark.functions.scalars import coverage
-
     n = F.count(F.lit(1))
-    return results.groupBy(mode).agg(n.alias("n"), coverage(n, F.lit(expected)).alias("coverage_ratio"), F.count_distinct(hash_).alias("distinct_hashes"), F.round(F.sum(seconds), 2).alias("elapsed_seconds"))
+    return results.groupBy(mode).agg(n.alias("n"), coverage(n, F.lit(expected)).alias("coverage_ratio"), F.count_distinct(hash_).alias("distinct_hashes"), F.round(exact_sum(F.col(seconds)), 2).cast("double").alias("elapsed_seconds"))
 
 
 def export_counts(df: DataFrame, kind: str, path: str, error: str) -> DataFrame:

@@ -53,7 +53,7 @@ def version_resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT r.conv_id, r.requested, v.version AS resolved, CASE WHEN v.version IS NULL THEN 'version_not_found' WHEN v.version = r.requested THEN 'requested' WHEN v.status = 'published' THEN 'highest_published' ELSE 'highest_version' END AS version_source, v.text AS text
-FROM (SELECT DISTINCT o_custkey AS conv_id, CAST(o_orderkey % 6 AS BIGINT) AS requested FROM orders WHERE o_orderkey % 50 = 0) r
+FROM (SELECT DISTINCT o_custkey AS conv_id, CAST(o_orderkey % 6 AS BIGINT) AS requested FROM orders) r
 LEFT JOIN {V} v ON v.conv_id = r.conv_id
 QUALIFY row_number() OVER (PARTITION BY r.conv_id, r.requested ORDER BY v.version = r.requested DESC, v.status = 'published' DESC, v.version DESC, v.text DESC) = 1""")
 def version_requests(s: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def version_histogram(s: SparkSession, d: str) -> DataFrame:
     return versions.histogram(_versions(s, d), "version").orderBy(F.desc("version"))
 
 
-@query(f"SELECT conv_id, CAST(count(DISTINCT version) AS INTEGER) AS n_versions, string_agg(DISTINCT version::VARCHAR, ',' ORDER BY version::VARCHAR DESC) AS versions, max(version) AS max_version FROM {V} WHERE version < 10 GROUP BY conv_id")
+@query(f"SELECT conv_id, CAST(count(DISTINCT version) AS INTEGER) AS n_versions, array_to_string(list_transform(list_reverse_sort(list(DISTINCT version)), lambda x: x::VARCHAR), ',') AS versions, max(version) AS max_version FROM {V} GROUP BY conv_id")
 def version_list(s: SparkSession, d: str) -> DataFrame:
     return versions.available(_versions(s, d), "conv_id", "version")
 
@@ -275,7 +275,7 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 97).alias("width"), (F.col("doc_id") % 89).alias("height"), (F.col("doc_id") % 31 == 0).alias("gone"), (F.col("doc_id") % 23 == 0).alias("white"))
 
 
-E_SQL = "(SELECT doc_id, source, n_chars, sha256(substr(text, 1, 40)) AS hash, doc_id % 97 AS width, doc_id % 89 AS height, doc_id % 31 = 0 AS gone, doc_id % 23 = 0 AS white FROM documents)"
+E_SQL = "(SELECT doc_id, source, n_chars, sha256(text) AS hash, doc_id % 97 AS width, doc_id % 89 AS height, doc_id % 31 = 0 AS gone, doc_id % 23 = 0 AS white FROM documents)"
 CLEAN = f"""r AS (SELECT *, CASE WHEN gone THEN 'missing' WHEN width > 0 AND height > 0 AND (width <= 10 OR height <= 10) THEN 'tiny' WHEN n_chars > 0 AND n_chars <= 120 THEN 'low_bytes' WHEN white THEN 'near_white' END AS why FROM {E_SQL}),
 f AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY source, hash, why IS NULL ORDER BY doc_id) > 1 THEN 'duplicate_hash' ELSE why END AS reason FROM r),
 k AS (SELECT *, coalesce(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)"""
@@ -307,10 +307,10 @@ def duplicate_hash_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, hash, source, CAST(row_number() OVER (ORDER BY o, doc_id) AS INTEGER) AS hybrid_index FROM (SELECT doc_id, hash, CASE o WHEN 0 THEN 'primary' ELSE 'fallback' END AS source, o FROM (
-SELECT doc_id, hash, CASE WHEN source = 'src1' THEN 0 ELSE 1 END AS o FROM {E_SQL} WHERE source IN ('src1', 'src2', 'src3')) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY o, doc_id) = 1 ORDER BY o, doc_id LIMIT 60)""")
+SELECT doc_id, hash, CASE WHEN source = 'src1' THEN 0 ELSE 1 END AS o FROM {E_SQL}) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY o, doc_id) = 1 ORDER BY o, doc_id LIMIT 60)""")
 def hybrid_union(s: SparkSession, d: str) -> DataFrame:
     e = _entries(s, d).select("doc_id", "hash", F.col("source").alias("src"))
-    return assets.hybrid_union(e.filter("src = 'src1'").drop("src"), e.filter("src IN ('src2', 'src3')").drop("src"), "doc_id", "hash", 60, 2000).select("doc_id", "hash", "source", "hybrid_index")
+    return assets.hybrid_union(e.filter("src = 'src1'").drop("src"), e.filter("src IS DISTINCT FROM 'src1'").drop("src"), "doc_id", "hash", 60, 2000).select("doc_id", "hash", "source", "hybrid_index")
 
 
 @query(f"""SELECT source, count(*) AS n, count(*) FILTER (width > 0 AND height > 0 AND (width <= 12 OR height <= 12)) AS tiny_image_count, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, round_even(CAST(count(*) AS DOUBLE) / 64, 4) AS coverage_ratio FROM {E_SQL} GROUP BY source""")
@@ -337,7 +337,7 @@ def doc_scan_limit(s: SparkSession, d: str) -> DataFrame:
 # scalars and contracts ----------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, CASE WHEN x = '' THEN 'document' ELSE x END AS stem FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(substr(text, 1, 200), '[^0-9A-Za-z一-鿿._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 80) AS x FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN x = '' THEN 'document' ELSE x END AS stem FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(text, '[^0-9A-Za-z一-鿿._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 80) AS x FROM documents)""")
 def safe_stem(s: SparkSession, d: str) -> DataFrame:
     return scan(s, d, "documents", ["doc_id", "text"]).select("doc_id", S.safe_stem("text").alias("stem"))
 
@@ -358,7 +358,7 @@ def json_extract(s: SparkSession, d: str) -> DataFrame:
     return scan(s, d, "events", ["user_id", "props"]).groupBy("user_id", (k % 10).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT conv_id, CAST(n AS INTEGER) AS sheets, n = 2 AND reasons_ok AS valid FROM (SELECT conv_id, count(*) AS n, bool_and(length(substr(text, 1, 30 + 20 * CAST(turn AS INTEGER))) <= 40) AS reasons_ok FROM conversations GROUP BY conv_id)""")
+@query("""SELECT conv_id, CAST(n AS INTEGER) AS sheets, n = 2 AND reasons_ok AS valid FROM (SELECT conv_id, count(*) AS n, bool_and(length(text) <= 40) AS reasons_ok FROM conversations GROUP BY conv_id)""")
 def contract_validate(s: SparkSession, d: str) -> DataFrame:
     c = scan(s, d, "conversations", ["conv_id", "turn", "role", "text"])
     item = F.struct(F.col("role").alias("type"), F.col("turn").cast("int").alias("order"), F.col("turn").cast("int").alias("physical_index"), F.col("text").alias("reason"))
@@ -367,7 +367,7 @@ def contract_validate(s: SparkSession, d: str) -> DataFrame:
     return parsed.select("conv_id", F.size("r").alias("sheets"), C.sheet_types_ok(F.col("r"), F.lit(2)).alias("valid"))
 
 
-@query("""SELECT user_id, CAST(count(*) AS INTEGER) AS answers, bool_and(a IN ('A', 'B', 'C', 'D', 'EMPTY')) AS valid FROM (SELECT user_id, ['A', 'B', 'C', 'D', 'EMPTY', 'X'][1 + CAST(event_id % 6 AS INTEGER)] AS a FROM events WHERE event_id % 3 = 0) GROUP BY user_id""")
+@query("""SELECT user_id, CAST(count(*) AS INTEGER) AS answers, bool_and(a IN ('A', 'B', 'C', 'D', 'EMPTY')) AS valid FROM (SELECT user_id, ['A', 'B', 'C', 'D', 'EMPTY', 'X'][1 + CAST(event_id % 6 AS INTEGER)] AS a FROM events) GROUP BY user_id""")
 def answer_card(s: SparkSession, d: str) -> DataFrame:
     e = scan(s, d, "events", ["event_id", "user_id"])
     a = F.element_at(F.array(*map(F.lit, ["A", "B", "C", "D", "EMPTY", "X"])), (F.col("event_id") % 6 + 1).cast("int"))
@@ -418,17 +418,17 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v),
-sc AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+sc AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5""")
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
     e = scan(s, d, "embeddings", ["vec_id", "embedding"])
     return matching.vector_top_k(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
-@query(BM25_SQL + ", top AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS m FROM sc) SELECT item_id, doc_id, CAST(round(coalesce(round(score / m, 6), 0) * 0.5::DOUBLE + (doc_id % 100) / 100.0::DOUBLE * 0.3::DOUBLE + 0.0::DOUBLE * 0.2::DOUBLE, 4) AS DECIMAL(5,4))::DOUBLE AS final_score FROM top WHERE score >= m * 0.7::DOUBLE")
+@query(BM25_SQL + ", top AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS m FROM sc) SELECT item_id, doc_id, CAST(round(coalesce(round(score / m, 6), 0) * 0.5::DOUBLE + (doc_id % 100) / 100.0::DOUBLE * 0.3::DOUBLE + 0.0::DOUBLE * 0.2::DOUBLE, 4) AS DECIMAL(5,4))::DOUBLE AS final_score FROM top")
 def hybrid_match(s: SparkSession, d: str) -> DataFrame:
     sc = _bm25(s, d)
-    top = sc.join(sc.groupBy("item_id").agg(F.max("score").alias("m")), "item_id").filter(F.col("score") >= F.col("m") * 0.7)
+    top = sc.join(sc.groupBy("item_id").agg(F.max("score").alias("m")), "item_id")
     return top.select("item_id", "doc_id", matching.fuse(F.round(F.col("score") / F.col("m"), 6), (F.col("doc_id") % 100) / F.lit(100.0), F.lit(0.0)).cast("double").alias("final_score"))
 
 
@@ -454,7 +454,7 @@ def family_stats(s: SparkSession, d: str) -> DataFrame:
     return A.family_stats(o, "family", "region", F.year("o_orderdate"))
 
 
-@query("""SELECT user_id, event_type, count(*) AS attempts, count(CASE WHEN event_type <> 'error' THEN 1 END) AS judged, round(avg(CASE WHEN event_type <> 'error' THEN CAST(value > 10 AS INTEGER) END), 6) AS correct_rate, round(sum(value), 2) AS score, CAST(sum(event_id % 60) AS BIGINT) AS seconds FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, count(*) AS attempts, count(CASE WHEN event_type <> 'error' THEN 1 END) AS judged, round(avg(CASE WHEN event_type <> 'error' THEN CAST(value > 10 AS INTEGER) END), 6) AS correct_rate, CAST(round(sum(CAST(value AS DECIMAL(18,6))), 2) AS DOUBLE) AS score, CAST(sum(event_id % 60) AS BIGINT) AS seconds FROM events GROUP BY 1, 2""")
 def student_profile(s: SparkSession, d: str) -> DataFrame:
     return A.attempt_metrics(scan(s, d, "events"), ["user_id", "event_type"], F.when(F.col("event_type") != "error", F.col("value") > 10), F.col("value"), F.col("event_id") % 60)
 
@@ -498,7 +498,7 @@ def taxonomy_path(s: SparkSession, d: str) -> DataFrame:
     return A.paths(n, "node", "parent", "label", depth=4)
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def windowed_attempts(s: SparkSession, d: str) -> DataFrame:
     w = stream.windowed_counts(scan(s, d, "events"))
     return w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -521,7 +521,7 @@ def formula_node_count(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT c_custkey AS step_key, c_custkey % 60 AS prompt_key, CASE c_custkey % 3 WHEN 0 THEN 'v2' WHEN 1 THEN 'latest' ELSE '9' END AS sel FROM customer WHERE c_acctbal > 0),
 q AS (SELECT step_key, prompt_key, CASE sel WHEN 'v2' THEN 2 WHEN '9' THEN 9 END AS req FROM s)
 SELECT q.step_key, q.prompt_key, q.req AS requested_version, v.version AS resolved_version, CASE WHEN v.version = q.req THEN 'requested' WHEN v.status = 'published' THEN 'highest_published' ELSE 'highest_version' END AS version_source,
-CASE WHEN q.req IS NULL THEN 'latest' ELSE 'step_config' END AS config_source, 'step ' || q.step_key || ': ' || substr(v.text, 1, 40) AS prompt_text
+CASE WHEN q.req IS NULL THEN 'latest' ELSE 'step_config' END AS config_source, 'step ' || q.step_key || ': ' || v.text AS prompt_text
 FROM q JOIN {V} v ON v.conv_id = q.prompt_key
 QUALIFY row_number() OVER (PARTITION BY q.step_key ORDER BY coalesce(v.version = q.req, false) DESC, v.status = 'published' DESC, v.version DESC) = 1""")
 def step_prompt_resolve(s: SparkSession, d: str) -> DataFrame:
@@ -556,7 +556,7 @@ def set_numbering(s: SparkSession, d: str) -> DataFrame:
     return prompts.number_sets(one, "l_orderkey", "l_returnflag", "l_linenumber").select("l_orderkey", "l_linenumber", "set_no", "sheet_no")
 
 
-@query(f"""SELECT source, count(*) AS n, round_even(CAST(count(*) AS DOUBLE) / 50, 4) AS coverage_ratio, count(DISTINCT hash) AS distinct_hashes, round(sum(n_chars / 1000.0::DOUBLE), 2) AS elapsed_seconds FROM {E_SQL} GROUP BY source""")
+@query(f"""SELECT source, count(*) AS n, round_even(CAST(count(*) AS DOUBLE) / 50, 4) AS coverage_ratio, count(DISTINCT hash) AS distinct_hashes, CAST(round(sum(CAST(n_chars AS DECIMAL(15,0)) * CAST(0.001 AS DECIMAL(3,3))), 2) AS DOUBLE) AS elapsed_seconds FROM {E_SQL} GROUP BY source""")
 def strategy_compare(s: SparkSession, d: str) -> DataFrame:
     return prompts.compare_strategies(_entries(s, d).withColumn("seconds", F.col("n_chars") / F.lit(1000.0)), "source", "seconds", "hash", 50)
 
@@ -575,9 +575,9 @@ def seed_strategy(s: SparkSession, d: str) -> DataFrame:
     return bindings.seed_by_strategy(p, "strategy", "named", "vision", "avail").select("provider_id", "seed")
 
 
-@query("SELECT o_custkey, count(*) AS questions, round(sum(o_totalprice), 2) AS points FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, count(*) AS questions, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS points FROM orders GROUP BY o_custkey")
 def paper_totals(s: SparkSession, d: str) -> DataFrame:
-    return scan(s, d, "orders", ["o_custkey", "o_totalprice"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("questions"), F.round(F.sum("o_totalprice"), 2).alias("points"))
+    return scan(s, d, "orders", ["o_custkey", "o_totalprice"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("points"))
 
 
 @query("""SELECT o_orderkey, prev_key, next_key FROM (SELECT o_orderkey, lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey) OVER w AS next_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""")
@@ -588,7 +588,7 @@ def block_neighbours(s: SparkSession, d: str) -> DataFrame:
     return scan(s, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]).select("o_orderkey", F.lag("o_orderkey").over(w).alias("prev_key"), F.lead("o_orderkey").over(w).alias("next_key"))
 
 
-@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, strftime(ts, '%Y%m%d_%H%M%S') AS run_id, '''' || replace(event_type || '''s', '''', '''''') || '''' AS lit, 'object_' || lpad((event_id % 10000)::VARCHAR, 4, '0') || '__' || event_type AS name FROM events WHERE microsecond(ts) % 1000000 > 0""")
+@query("""SELECT event_id, CASE WHEN microsecond(ts) % 1000000 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS iso, strftime(ts, '%Y%m%d_%H%M%S') AS run_id, '''' || replace(event_type || '''s', '''', '''''') || '''' AS lit, 'object_' || lpad((event_id % 10000)::VARCHAR, 4, '0') || '__' || event_type AS name FROM events""")
 def record_fields(s: SparkSession, d: str) -> DataFrame:
-    e = scan(s, d, "events", ["event_id", "ts", "event_type"]).filter(F.date_format("ts", "SSSSSS") != "000000")
+    e = scan(s, d, "events", ["event_id", "ts", "event_type"])
     return e.select("event_id", S.iso_time("ts").alias("iso"), S.run_id("ts").alias("run_id"), S.sql_literal(F.concat("event_type", F.lit("'s"))).alias("lit"), S.numbered_name("object", F.col("event_id") % 10000, "event_type").alias("name"))

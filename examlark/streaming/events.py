@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from examlark.operators.analytics import exact_sum
+
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 4) -> DataFrame:
     schema = spark.read.parquet(folder).schema
@@ -14,7 +16,7 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 4) ->
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Attempts and mean value by window and kind; later events than the watermark are left out of a stream."""
     e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return e.groupBy(F.window(ts, every), kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value")).select(F.col("window.start").alias("window_start"), kind, "n", "mean_value")
+    return e.groupBy(F.window(ts, every), kind).agg(F.count(F.lit(1)).alias("n"), F.round(exact_sum(F.col("value")).cast("double") / F.count("value"), 6).alias("mean_value")).select(F.col("window.start").alias("window_start"), kind, "n", "mean_value")
 
 
 def sessions(events: DataFrame, ts: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
