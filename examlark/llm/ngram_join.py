@@ -2,23 +2,27 @@
 
 Sets are put into bands of size; an instance of the scheme serves a band and those sets of the band below
 that can match into it. With k the largest Hamming distance of two linked sets of an instance, the feature
-domain is dealt into n = k + 1 + m partitions. Linked sets differ in at most k of them, so at least m + 1
-agree. Every set signs each of its k + 1 partitions of most features (ties by content) and leaves out the
-other m; of the partitions that agree, the one that comes first in this order is left out by neither set, so
-linked sets always share a signature, while empty and nearly empty partitions, which many sets share, sign
-for hardly any set. Signatures only propose pairs; every link is verified on the whole sets.
+domain is dealt into n1 = k // 2 + 1 + m partitions (first level), each of them into three cells (second level), and
+the subsets of two of the three cells are enumerated: 3 n1 subsets. Linked sets differ in at most k features, so at
+most k // 2 partitions hold two or more of these; in each of the other m + 1 or more, at most one cell differs, and
+the subset of the two others has equal content in both sets. A set signs all subsets but the m of fewest features
+(ties by content, then by place). Of the subsets that agree, the one that comes last in this order has m others that
+agree below it, in either set, so that neither leaves it out: linked sets always share a signature, while empty and
+nearly empty subsets, which many sets share, sign for hardly any set. In an instance with k = 0 only equal sets are linked,
+and the whole set signs. Signatures only propose pairs; every link is verified on the whole sets.
 
 Before that, a parity sketch of 512 or 1024 bits of each set bounds the Hamming distance of a pair from below (every
-differing bit needs a differing shingle), so that pairs that are similar, but not enough, are dropped inside the
-join that would make them.
+differing bit needs a differing shingle), so that pairs that are similar, but not enough, are dropped. Sketches
+travel only for sets that share a signature with another one.
 
 Equal sets become one vertex first. In a bucket of sets with one signature no pairs are enumerated: every
 set meets the bucket's smallest id (its best such pivot first), and only sets of a bucket that are still in
 different components after that meet each other. The result is each document's component.
 
 Cases: null, empty and wordless texts have no shingles and are linked with nothing; with fewer words than a
-shingle the whole sequence is one; rows that repeat a doc_id are one vertex; a null doc_id has a null
-component; equal texts are linked, whatever their number. Only doc_id and text are read.
+shingle the whole sequence is one; rows that repeat a doc_id are one document, which is linked with whatever
+any of its texts is linked with; a null doc_id has a null component; equal texts are linked, whatever their number.
+Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ RATIO = 1.3
 SKETCH = 16  # words of 64 bits
 #: Sets of at most so many shingles carry a sketch of 512 bits, which is the wide one folded.
 NARROW = 600
+#: Sets with their sketches that are broadcast, at most (150 bytes each).
+FACTS = 100_000
 _INST = np.uint64(0xA24BAED4963EE407)
 
 
@@ -61,51 +67,63 @@ def shingles(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(num: int, den: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest size of each band, and of its instance k and n."""
+    """Smallest size of each band, and of its instance k and m."""
     ratio = max(RATIO, den / num * 1.001)
     low = [1]
     while low[-1] < most:
         low.append(int(low[-1] * ratio) + 1)
     low_ = np.array(low, np.int64)
     k = (2 * (low_[1:] - 1) * (den - num)) // (den + num)
-    return low_, k, k + 1 + np.maximum(1, -(-(k + 1) // 4))
+    return low_, k, np.maximum(1, -(-(k // 2 + 1) // 8))
 
 
 def signatures(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, text after text; how many each text has)."""
-    low, k, n = bands(num, den)
+    low, k, spare = bands(num, den)
     band = np.searchsorted(low, counts, side="right") - 1
     some = np.flatnonzero(counts > 0)
     up = some[counts[some] * den >= low[band[some] + 1] * num]
     text = np.concatenate([some, up])
     inst = np.concatenate([band[some], band[up] + 1])
+    whole = k[inst] == 0
+    equal_text, equal_inst = text[whole], inst[whole]
+    text, inst = text[~whole], inst[~whole]
     order = np.lexsort((inst, text))
     text, inst = text[order], inst[order]
+    sums = np.zeros(len(counts), np.uint64)
+    if len(equal_text):
+        sums[some] = np.add.reduceat(common.mix(grams ^ _INST), (np.cumsum(counts) - counts)[some])
+    equal = common.mix(sums[equal_text] + common.mix(equal_inst.astype(np.uint64) * _INST))
     if not len(text):
-        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
+        by = np.argsort(equal_text, kind="stable")
+        return equal[by], np.bincount(equal_text, minlength=len(counts))
     at, size = (np.cumsum(counts) - counts)[text], counts[text]
     entry = np.repeat(np.arange(len(text)), size)
     e = grams[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-    parts = n[inst].astype(np.uint64)
-    part = ((e >> np.uint64(32)) * parts[entry]) >> np.uint64(32)  # grows with e: already in order
-    head = np.flatnonzero(np.r_[True, (entry[1:] != entry[:-1]) | (part[1:] != part[:-1])])
-    held = np.diff(np.r_[head, len(e)])
-    owner = entry[head]
-    content = common.mix(np.add.reduceat(common.mix(e ^ _INST), head) + (part[head] << np.uint64(40)) + inst[owner].astype(np.uint64) * _INST)
-    filled = np.bincount(owner, minlength=len(text))
-    want = k[inst] + 1
-    order = np.lexsort((content, held, owner))
-    content, owner = content[order], owner[order]
-    place = np.arange(len(owner)) - (np.cumsum(filled) - filled)[owner]
-    top = place >= (filled - want)[owner]
-    content, owner = content[top], owner[top]
-    for i in np.flatnonzero(filled < want):  # too few partitions hold anything: empty ones sign, too
-        used = set(part[head][entry[head] == i].tolist())
-        empty = np.array([p for p in range(int(n[inst[i]])) if p not in used], np.uint64)
-        sign = np.sort(common.mix((empty << np.uint64(40)) + inst[i : i + 1].astype(np.uint64) * _INST + np.uint64(1)))[-int(want[i] - filled[i]) :]
-        content, owner = np.concatenate([content, sign]), np.concatenate([owner, np.full(len(sign), i)])
-    by = np.argsort(text[owner], kind="stable")
-    return content[by], np.bincount(text[owner], minlength=len(counts))
+    first_level = k[inst] // 2 + 1 + spare[inst]
+    cells = 3 * first_level
+    base = np.cumsum(cells) - cells
+    place = base[entry] + (((e >> np.uint64(32)) * cells.astype(np.uint64)[entry]) >> np.uint64(32)).astype(np.int64)  # grows with e: already in order
+    head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    total = int(cells.sum())
+    content, held = np.zeros(total, np.uint64), np.zeros(total, np.int64)
+    content[place[head]] = np.add.reduceat(common.mix(e ^ _INST), head)
+    held[place[head]] = np.diff(np.r_[head, len(e)])
+    content, held = content.reshape(-1, 3), held.reshape(-1, 3)
+    owner = np.repeat(np.arange(len(text)), first_level)
+    group = np.arange(len(owner)) - np.repeat(np.cumsum(first_level) - first_level, first_level)
+    tag = common.mix(inst[owner].astype(np.uint64) * _INST + group.astype(np.uint64))
+    two = np.stack([common.mix(content[:, i] * np.uint64(0x9E3779B97F4A7C15) + common.mix(content[:, j] + np.uint64(j)) + tag + np.uint64(3 * i + j)) for i, j in ((0, 1), (0, 2), (1, 2))], axis=1).ravel()
+    full = np.stack([held[:, i] + held[:, j] for i, j in ((0, 1), (0, 2), (1, 2))], axis=1).ravel()
+    owner = np.repeat(owner, 3)
+    rank = (owner.astype(np.uint64) << np.uint64(44)) | (np.minimum(full, 255).astype(np.uint64) << np.uint64(36)) | (two >> np.uint64(28))
+    order = np.argsort(rank, kind="stable") if len(text) < 1 << 20 else np.lexsort((two >> np.uint64(28), np.minimum(full, 255), owner))
+    left_out = (np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells)) < np.repeat(spare[inst], cells)
+    keep = np.ones(len(owner), bool)
+    keep[order[left_out]] = False
+    found, of = np.concatenate([two[keep], equal]), np.concatenate([text[owner[keep]], equal_text])
+    by = np.argsort(of, kind="stable")
+    return found[by], np.bincount(of, minlength=len(counts))
 
 
 def _sizes(a: Column, b: Column, num: int, den: int) -> Column:
@@ -146,10 +164,10 @@ class Join:
         def fn(col: pa.Array) -> dict[str, pa.Array]:
             g, c = shingles(col, size)
             s, k = signatures(g, c, num, den)
-            return {"n": pa.array(c.astype(np.int64)), "sigs": common.lists(s.view(np.int64), k, pa.int64())}
+            return {"sigs": common.lists(s.view(np.int64), k, pa.int64())}
 
         some = common.keep_ids(self.docs, ids, "id")
-        return common.map_appending(some, ["id"], "text", "n bigint, sigs array<bigint>", fn).select("id", "n", F.explode("sigs").alias("sig"))
+        return common.map_appending(some, ["id"], "text", "sigs array<bigint>", fn).select("id", F.explode("sigs").alias("sig"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
         size = self.n
@@ -178,56 +196,65 @@ class Join:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, n, vertex of each row; id, component of vertices that have a link)."""
+        c = F.col
         meta = common.materialize(self.meta(), "meta")
         vertices = common.materialize(meta.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("vertex")), "vertices")
-        s = self.signed(vertices.select(F.col("vertex").alias("id")).distinct()).repartition("sig")
-        full = s.groupBy("sig").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("q")).filter("p.id <> q")
-        multi = common.materialize(s.join(full.hint("shuffle_hash"), "sig").select("sig", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "buckets")
+        rows = common.materialize(meta.join(vertices, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("vertex", "id").alias("vertex")), "rows")
+        links: list[DataFrame] = []
+        several = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min("vertex").alias("b"), F.max("vertex").alias("z")).filter("b <> z")
+        several = common.materialize(several.select("id", "b"), "repeated-ids")
+        if not several.isEmpty():  # an id of several texts holds their vertices together
+            links.append(common.materialize(rows.join(several, "id").select(c("vertex").alias("a"), "b").filter("a <> b").distinct(), "links"))
+
+        s = self.signed(vertices.select(c("vertex").alias("id")).distinct()).repartition("sig")
+        full = s.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("q")).filter("pivot <> q").drop("q")
+        multi = common.materialize(s.join(full.hint("shuffle_hash"), "sig").select("sig", "id", "pivot"), "buckets")
+        ids = common.materialize(multi.select("id").distinct(), "bucket-ids")
+        facts = common.materialize(common.keep_ids(meta.filter("n > 0"), ids, "id").drop("h1", "h2"), "facts")
+        hint = F.broadcast if facts.count() <= FACTS else (lambda x: x)  # counted
 
-        fits = lambda a, b: _sizes(F.col(a), F.col(b), self.num, self.den)
-        sketch = lambda key, n, c: meta.filter("n > 0").select(F.col("id").alias(key), F.col("n").alias(n), *[F.col(f"k{i}").alias(f"{c}{i}") for i in range(SKETCH)])
+        fits = lambda a, b: _sizes(c(a), c(b), self.num, self.den)
+        sketch = lambda key, n, x: hint(facts.select(c("id").alias(key), c("n").alias(n), *[c(f"k{i}").alias(f"{x}{i}") for i in range(SKETCH)]))
 
         def near(a: str, b: str, na: str, nb: str) -> Column:
             """Not more differing bits than a linked pair of these sizes can have differing shingles."""
-            x, y = ([F.col(f"{c}{i}") for i in range(SKETCH)] for c in (a, b))
+            x, y = ([c(f"{v}{i}") for i in range(SKETCH)] for v in (a, b))
             fold = lambda v, i: v[i].bitwiseXOR(v[i + SKETCH // 2])
             wide = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)), F.lit(0))
             folded = sum((F.bit_count(fold(x, i).bitwiseXOR(fold(y, i))) for i in range(SKETCH // 2)), F.lit(0))
             bits = F.when(F.least(na, nb) > NARROW, wide).otherwise(folded)
-            return bits * (self.den + self.num) <= (F.col(na) + F.col(nb)) * (self.den - self.num)
+            return bits * (self.den + self.num) <= (c(na) + c(nb)) * (self.den - self.num)
 
-        stars = multi.filter((F.col("id") != F.col("pivot")) & fits("n", "pn")).groupBy("id", "pivot").count()
-        stars = stars.join(sketch("id", "n", "x"), "id").join(sketch("pivot", "pn", "y"), "pivot").filter(near("x", "y", "n", "pn"))
+        stars = multi.filter("id <> pivot").groupBy("id", "pivot").count()
+        stars = stars.join(sketch("id", "n", "x"), "id").join(sketch("pivot", "pn", "y"), "pivot").filter(fits("n", "pn") & near("x", "y", "n", "pn"))
         stars = common.materialize(stars.select("id", "pivot", "count").dropDuplicates(["id", "pivot"]), "stars")
-        best = stars.groupBy("id").agg(F.max(F.struct("count", F.negative("pivot").alias("p"))).alias("m")).select(F.col("id").alias("a"), F.negative(F.col("m.p")).alias("b"))
-        links: list[DataFrame] = []
+        best = stars.groupBy("id").agg(F.max(F.struct("count", F.negative("pivot").alias("p"))).alias("m")).select(c("id").alias("a"), F.negative(c("m.p")).alias("b"))
 
-        def extended(found: DataFrame, more: DataFrame | None) -> DataFrame:
-            if more is None:
+        def extended(found: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
+            if more is not None:
+                links.append(more)
+            elif found is not None or not links:
                 return found
-            links.append(more)
             return common.materialize(graph.components(reduce(DataFrame.union, links), "a", "b"), "components")
 
-        found = extended(self.docs.sparkSession.createDataFrame([], "id bigint, component bigint"), self.verified(best))
+        none = self.docs.sparkSession.createDataFrame([], "id bigint, component bigint")
+        found = extended(None, self.verified(best)) or none
 
         def of(df: DataFrame, key: str, name: str) -> DataFrame:
-            c = found.select(F.col("id").alias(key), F.col("component").alias(name))
-            return df.join(c, key, "left").withColumn(name, F.coalesce(name, key))
+            return df.join(found.select(c("id").alias(key), c("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-        rest = of(of(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+        rest = of(of(stars.select(c("id").alias("a"), c("pivot").alias("b")), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
         rest = rest.join(best, ["a", "b"], "left_anti")
         found = extended(found, self.verified(rest))
 
         left = of(multi, "id", "c")
         split = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-        left = common.materialize(left.join(split, "sig", "left_semi").select("sig", "id", "n", "c", "pivot"), "open")
-        left = left.filter("id <> pivot")
-        x = left.join(sketch("id", "_n", "x"), "id").select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[f"x{i}" for i in range(SKETCH)])
-        y = left.join(sketch("id", "_n", "y"), "id").select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[f"y{i}" for i in range(SKETCH)])
-        apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb") & near("x", "y", "na", "nb")
+        left = common.materialize(left.join(split, "sig", "left_semi").filter("id <> pivot").select("sig", "id", "c"), "open")
+        x = left.join(sketch("id", "na", "x"), "id").select("sig", c("id").alias("a"), "na", c("c").alias("ca"), *[f"x{i}" for i in range(SKETCH)])
+        y = left.join(sketch("id", "nb", "y"), "id").select("sig", c("id").alias("b"), "nb", c("c").alias("cb"), *[f"y{i}" for i in range(SKETCH)])
+        apart = (c("a") < c("b")) & (c("ca") != c("cb")) & fits("na", "nb") & near("x", "y", "na", "nb")
         cross = x.join(y, (x["sig"] == y["sig"]) & apart).select("a", "b").distinct()
-        found = extended(found, self.verified(cross))
-        return meta.join(vertices, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("vertex", "id").alias("vertex")), found
+        return rows, extended(found, self.verified(cross))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

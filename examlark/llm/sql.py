@@ -31,7 +31,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(root) AS root FROM t
 LINES = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, k, line, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')) AS ws FROM l),
-f AS (SELECT doc_id, k, ws, len(ws) AS n FROM s WHERE len(ws) >= 5),
+f AS (SELECT doc_id, k, ws, len(ws) AS n FROM s WHERE len(ws) >= 1),
 g AS (SELECT list_sort(ws) AS ws, n, min((doc_id, k)) AS first FROM f GROUP BY 1, 2),
 u AS (SELECT row_number() OVER (ORDER BY first) AS u, * FROM g),
 tok AS (SELECT u, n, unnest(ws) AS w FROM u),

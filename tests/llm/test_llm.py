@@ -321,7 +321,7 @@ def test_pipeline(spark):
             assert sizes[-1] == before.filter(F.col("text").rlike(r"\p{L}")).count()
         if name == "line_dedup":
             had = {r.doc_id: r.text for r in before.collect()}
-            want = brute.without_similar_lines(list(had.items()))
+            want = brute.without_similar_lines(list(had.items()), least=1)
             assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t in want.items() if t == had[i] or brute.WORD.search(t)}
         if name == "near_duplicates":
             c = brute.near_duplicates([(r.doc_id, r.text) for r in before.collect()], 5, 80, 100)
