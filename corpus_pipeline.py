@@ -18,14 +18,25 @@ def _renamed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Least cosine with a language's prototype: about the standard deviation of the cosine of unrelated vectors, 1 / sqrt(512).
+MIN_COSINE = 0.05
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; so do those that resemble no language at all."""
+    """Documents without a letter go, and those that resemble no language that can be learnt; of the others, lang becomes
+    the predicted language, which mixing then weighs.
+
+    Null and empty texts have no letter; a null or wrong lang is replaced; if no row has a language, nothing can be
+    learnt and every document goes; repeated rows are judged alike; clashing column names pass through."""
     found = langid.identify(docs, langid.learn(docs), docs.columns, names=("_lang_pred", "_lang_score"))
-    return _renamed(found.filter((F.col("_lang_pred") != langid.UND) & (F.col("_lang_score") > 0)), docs.columns)
+    found = found.filter((F.col("_lang_pred") != langid.UND) & (F.col("_lang_score") >= MIN_COSINE))
+    return _renamed(found.withColumn("lang", F.col("_lang_pred").cast(docs.schema["lang"].dataType)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later similar lines go, and documents of which nothing but white space is left."""
+    """Later similar lines go, and documents of which nothing but white space is left; n_chars follows the text.
+
+    Null, empty and blank texts stay as they are; equal rows are one document, and lose the same lines."""
     done = lines.dedup_lines(docs, min_tokens=lines.ALL)
     gone = (F.col("lines_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     done = done.filter(~F.coalesce(gone, F.lit(False)))
@@ -35,20 +46,39 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
-    found = ngram_join.near_duplicates(docs, words=5, num=80)
-    drop = common.materialize(found.filter("component_id <> doc_id").select("doc_id").distinct(), "dropped")
-    return _renamed(common.keep_ids(docs, drop, "doc_id", "left_anti"), docs.columns)
+    """Of each component of near duplicates the document with the smallest doc_id stays (a null one is the smallest).
+
+    Rows are told apart by doc_id and text, so that texts of one doc_id, or of null ones, are judged one by one; of rows
+    that are equal in both, one stays, the first by its other columns. Texts without a word are near nothing and stay.
+    An empty table stays empty."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)).alias("_key"), row.alias("_row"))
+    found = ngram_join.near_duplicates(keyed.select("_key", F.col("_row.text").alias("text")), doc_id="_key", words=5, num=80)
+    found = common.materialize(found, "near-duplicates")
+    groups = common.materialize(found.filter("component_id <> _key").select("component_id").distinct(), "groups")
+    members = common.keep_ids(found.select("_key", "component_id"), groups, "component_id").distinct()
+    members = members.join(docs.select(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)).alias("_key"), "doc_id"), "_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    drop = common.materialize(members.join(first, "component_id").filter("_key <> first._key").select("_key").distinct(), "dropped")
+    rest = common.keep_ids(keyed, drop, "_key", "left_anti")
+    equal = common.materialize(found.filter("n_shingles > 0").groupBy("_key").count().filter("count > 1").select("_key"), "equal-rows")
+    if not equal.isEmpty():
+        others = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "text"]))
+        one = common.keep_ids(rest, equal, "_key").groupBy("_key").agg(F.min_by("_row", others).alias("_row"))
+        rest = common.keep_ids(rest, equal, "_key", "left_anti").unionByName(one)
+    return rest.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the budgets choose; a document of two epochs appears twice."""
+    """What the budgets choose; a document of two epochs appears twice.
+
+    Texts without a word are never chosen; null languages and sources are leaves of their own; equal doc_ids go together."""
     chosen = mixing.mix(docs, mixing.WEIGHTS, share=0.5)
     return _renamed(chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, checked by decoding them."""
+    """The token ids of every text, checked by decoding them; a null or empty text has none."""
     both = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "text", "lang", "source"], decoded=True)
     return both.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
