@@ -256,7 +256,7 @@ def _passages():
 def test_repeats(spark, monkeypatch, hot):
     rows = _passages()
     if hot:
-        some = lambda d, w: np.sort(np.array([r.key for r in substring.paths(d, w, np.zeros(0, np.uint64)).groupBy("key").count().filter("count > 3").collect()], np.int64).view(np.uint64))
+        some = lambda d, w: np.sort(np.array([r.key for r in substring.runs(d, w, np.zeros(0, np.uint64)).groupBy("key").count().filter("count > 3").collect()], np.int64).view(np.uint64))
         monkeypatch.setattr(substring, "hot_minimizers", some)
     got = Counter(tuple(r) for r in substring.remove_repeats(frame(spark, rows)).collect())
     assert got == brute.without_repeats(rows, 35)
