@@ -1,11 +1,13 @@
 """Operator 2: byte-level BPE as a bounded-lookahead streaming transducer, and its decoder.
 
-Encoding. A text is cut into pieces by the vocabulary's pattern; a merge never crosses a piece. Within
-a piece the transducer holds a window of bytes. From the merge list it computes how many bytes to the
-right of a token can still change it (``lookahead``): a merge (x, y) can only be undone by an earlier
+Encoding. A text is cut into pieces by the vocabulary's pattern, a block at a time; a merge never crosses a piece.
+Every piece goes through the transducer, which holds a window of its bytes. From the merge list it computes how many
+bytes to the right of a token can still change it (``lookahead``): a merge (x, y) can only be undone by an earlier
 merge that takes y's right end, that one only by a still earlier one, and so on, so the reach is the
 heaviest chain of strictly decreasing ranks. Tokens that end that far from the window's right end are
-stable: they are emitted and leave the window. Memory is constant, however long the piece.
+stable: they are emitted and leave the window; where the piece ends, all are. Memory is constant, however long the piece.
+Many pieces are driven at once, a step of each, with the merges of all windows as array operations; what the transducer
+emitted for a short piece is remembered for the next time that it comes.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, so a character that is split
 over tokens, or over blocks of tokens, comes out whole; an ill-formed byte becomes U+FFFD.
@@ -21,7 +23,7 @@ import heapq
 import json
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -40,6 +42,10 @@ PATTERN = (
 ODD = ["  ", *(x for w in "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for x in (f" {w}", f"{w} "))]
 #: Units that each of the two generations of a worker's cache holds.
 CACHE = 120_000
+#: Units of a text that are cut at once, and those that wait for one run of the transducer.
+UNITS, WAITING = 8192, 200_000
+#: Windows that are merged one by one, below.
+FEW = 64
 _NONE = 1 << 62
 _SHIFT = 20
 
@@ -205,19 +211,15 @@ class Pairs:
         return out
 
 
-class Codec:
-    """Encodes texts a batch at a time; pieces longer than a window go through the transducer."""
+class Transducers:
+    """Many transducers, each on its own piece, that take a step at once: a window of bytes each, and all merges as array operations."""
 
-    def __init__(self, path: str) -> None:
-        self.vocabulary = v = Vocabulary(path)
-        self.pairs = Pairs(v)
-        self.first = np.array(v.first, np.int64)
-        self.split = regex.compile(PATTERN).findall
-        special = sorted(v.special, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.table = [v.bytes.get(i, b"") for i in range(max(v.bytes) + 1)]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.pairs = vocabulary, Pairs(vocabulary)
+        self.first = np.array(vocabulary.first, np.int64)
+        self.window = 2 * vocabulary.lookahead + 512
+        self.width = np.zeros(max(vocabulary.bytes) + 1, np.int64)
+        self.width[list(vocabulary.bytes)] = [len(x) for x in vocabulary.bytes.values()]
 
     def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, number of tokens of each piece): every piece's lowest-ranked leftmost merge at once, until none is left."""
@@ -250,6 +252,54 @@ class Codec:
             left = left[word[left] == word[left + 1]]
             rank[left] = self.pairs.look(ids[left], ids[left + 1])
 
+    def merged(self, windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, number of tokens of each window); a few windows are merged one by one, which is the same and faster."""
+        if len(windows) >= FEW:
+            return self.merge_many(windows)
+        got = [self.v.merge(w) for w in windows]
+        return np.array([t for x in got for t in x], np.int64), np.array([len(x) for x in got], np.int64)
+
+    def run(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, piece after piece; how many each has)."""
+        held = [b""] * len(pieces)
+        out: list[list[np.ndarray]] = [[] for _ in pieces]
+        going, read = list(range(len(pieces))), 0
+        while going:
+            for i in going:
+                held[i] += pieces[i][read : read + self.window]
+            read += self.window
+            flat, n = self.merged([held[i] for i in going])
+            if read == self.window and all(len(p) <= read for p in pieces):
+                return flat, n  # every piece has ended: all its tokens are stable
+            at, on = np.cumsum(n), []
+            for k, i in enumerate(going):
+                tokens = flat[at[k] - n[k] : at[k]]
+                if read < len(pieces[i]):
+                    end = np.cumsum(self.width[tokens])
+                    stable = int(np.searchsorted(end, len(held[i]) - self.v.lookahead, side="right"))
+                    tokens, held[i] = tokens[:stable], held[i][int(end[stable - 1]) if stable else 0 :]
+                    on.append(i)
+                else:
+                    held[i] = b""
+                out[i].append(tokens)
+            going = on
+        return np.concatenate([t for x in out for t in x]) if pieces else np.zeros(0, np.int64), np.array([sum(map(len, x)) for x in out], np.int64)
+
+
+class Codec:
+    """Encodes texts a batch at a time through the transducer."""
+
+    def __init__(self, path: str) -> None:
+        self.vocabulary = v = Vocabulary(path)
+        self.transducers = Transducers(v)
+        self.pattern = regex.compile(PATTERN)
+        self.split = self.pattern.findall
+        special = sorted(v.special, key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.table = [v.bytes.get(i, b"") for i in range(max(v.bytes) + 1)]
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
     def _learn(self, units: set[str]) -> None:
         """Puts the tokens of units into the cache."""
         if len(self.cache) > CACHE:
@@ -265,55 +315,67 @@ class Codec:
             parts = [u] if u[1:].isalpha() and u[0] == " " else self.split(u)
             plan.append((u, len(parts)))
             pieces.extend([p.encode("utf-8") for p in parts])
-        short = [p if len(p) <= 256 else b"x" for p in pieces]
-        flat, lens = self.merge_many(short)
+        flat, lens = self.transducers.run(pieces)
         flat, ends = flat.tolist(), np.cumsum(lens).tolist()
         k = at = 0
         for u, n in plan:
-            if any(len(p) > 256 for p in pieces[k : k + n]):
-                got = []
-                for i in range(k, k + n):
-                    if len(pieces[i]) > 256:
-                        t = Transducer(self.vocabulary)
-                        got += [*t.feed(pieces[i]), *t.finish()]
-                    else:
-                        got += flat[ends[i] - int(lens[i]) : ends[i]]
-                cache[u] = tuple(got)
-            else:
-                cache[u] = tuple(flat[at : ends[k + n - 1]])
-            k, at = k + n, ends[k + n - 1] if n else at
-
-    def units(self, text: str) -> list[str]:
-        """What pieces do not cross: ' word' between single spaces, or else the pieces themselves."""
+            k += n
+            cache[u] = tuple(flat[at : ends[k - 1]]) if n else ()
+            at = ends[k - 1] if n else at
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """Units that pieces do not cross, some at a time: ' word' between single spaces, or else the pieces themselves."""
         if not text:
-            return []
+            return
         if text[0] == " " or text[-1] == " " or any(x in text for x in ODD):  # pieces may cross a space
-            return self.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+            found = (m.group() for m in self.pattern.finditer(text))
+            while some := list(islice(found, UNITS)):
+                yield some
+            return
+        at = 0
+        while at < len(text):
+            to = text.find(" ", at + 4 * UNITS)
+            to = len(text) if to < 0 else to
+            first, *rest = text[at:to].split(" ")
+            yield [*([first] if first else ()), *[" " + w for w in rest]]
+            at = to
+
+    def parts(self, text: str) -> Iterator[list[str] | int]:
+        """Blocks of units, and special tokens between them."""
+        if not self.special or not self.special.search(text):
+            yield from self.blocks(text)
+            return
+        at = 0
+        for m in self.special.finditer(text):
+            yield from self.blocks(text[at : m.start()])
+            yield self.vocabulary.special[m.group()]
+            at = m.end()
+        yield from self.blocks(text[at:])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        plans: list[list[list[str] | int]] = []
-        need: set[str] = set()
-        for text in texts:
-            plan: list[list[str] | int] = []
-            for part in self.special.split(text) if self.special and self.special.search(text) else [text]:
-                known = self.vocabulary.special.get(part)
-                if known is None:
-                    plan.append(units := self.units(part))
-                    need.update(units)
-                else:
-                    plan.append(known)
-            plans.append(plan)
-        self._learn(need)
-        get = self.cache.__getitem__
-        out = []
-        for plan in plans:
-            parts = [np.array([p], np.int32) if isinstance(p, int) else np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in plan]
-            out.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
-        for u in [u for u in need if len(u) > 64]:
-            self.cache.pop(u, None)
-        return out
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        plans: list[tuple[int, list[str] | int]] = []
+        waiting = 0
+
+        def flush() -> None:
+            need = {u for _, p in plans if not isinstance(p, int) for u in p}
+            self._learn(need)
+            get = self.cache.__getitem__
+            for i, p in plans:
+                out[i].append(np.array([p], np.int32) if isinstance(p, int) else np.fromiter(chain.from_iterable(map(get, p)), np.int32))
+            for u in [u for u in need if len(u) > 64]:
+                self.cache.pop(u, None)
+            plans.clear()
+
+        for i, text in enumerate(texts):
+            for part in self.parts(text):
+                plans.append((i, part))
+                waiting += 1 if isinstance(part, int) else len(part)
+                if waiting >= WAITING:
+                    flush()
+                    waiting = 0
+        flush()
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]

@@ -6,8 +6,9 @@ n-grams; a language's prototype bundles the unit vectors of its training texts.
 whose prototype has the largest cosine, and that cosine, clipped to 0..1, as score.
 
 Texts are lower-cased; what is not a letter counts as a word boundary. Prototypes are sums of integers, so
-they do not depend on the order of rows. At most about ``max_train`` training texts are used, chosen by a
-hash of doc_id; the share is the same for every language.
+they do not depend on the order of rows. Of each language about ``max_train`` training texts are used, at most, chosen
+by a hash of doc_id and text, so that a rare language keeps all of its own; of more than MAX_LANGS languages the most
+frequent are learnt, ties by name.
 
 Cases: a null text or one without letters is `und` with score 0, as is every text when nothing can be
 learnt; ties go to the first language in alphabetical order; a null doc_id is not held out; repeated rows
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM, GRAM, SEED = 512, 3, 20240601
-#: Training texts, about; a documented bound.
-MAX_TRAIN = 40_000
+#: Training texts of each language, about, and languages, the most frequent ones; documented bounds.
+MAX_TRAIN, MAX_LANGS = 10_000, 1000
+#: Texts whose n-grams are counted in one matrix.
+ROWS = 512
 SCALE = 1 << 20
 UND = "und"
 _letters: np.ndarray | None = None
@@ -51,6 +54,8 @@ def letter_vectors(points: np.ndarray, dim: int) -> np.ndarray:
 
 def text_vectors(col: pa.Array, dim: int = DIM) -> np.ndarray:
     """The bundled n-gram vectors of texts (one row each; zero if a text has no letter)."""
+    if len(col) > ROWS:
+        return np.concatenate([text_vectors(col.slice(at, ROWS), dim) for at in range(0, len(col), ROWS)])
     texts = pc.utf8_lower(col.fill_null("")).to_pylist()
     codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
     letter = letters()[codes]
@@ -97,9 +102,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
     """Prototypes (unit vectors) by language, from rows that are not held out."""
     rows = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull())
-    n = rows.count()
-    if n > max_train:
-        rows = rows.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(max_train / n * (1 << 20)) + 1)
+    sizes = rows.groupBy(F.col(lang).cast("string").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
+    unit = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(F.broadcast(sizes), rows[lang].cast("string") == F.col("_lang")).filter(unit * F.col("_n") < max_train)  # MAX_LANGS rows
 
     @common.tidy
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +121,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     parts = rows.select(F.col(lang).cast("string").alias(lang), text).mapInArrow(bundle, "lang string, v array<bigint>")
-    # a row for each language and dimension: bounded by the number of languages
-    sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x")).collect()
-    out = {name: np.zeros(DIM) for name in {r["lang"] for r in sums}}
-    for r in sums:
-        out[r["lang"]][r["d"]] = r["x"] / SCALE
+    sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
+    found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).collect()  # a row of DIM numbers for each of MAX_LANGS languages
+    out = {r["lang"]: np.array([p["x"] for p in r["v"]], float) / SCALE for r in found}
     return {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(out.items())}
 
 

@@ -13,9 +13,12 @@ does not validate are no media; embedded media lie inside the samples and may no
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -89,36 +92,59 @@ def _png(b: bytes, at: int) -> Found:
     return None
 
 
+@lru_cache(maxsize=2)
+def _gif_ends(b: bytes) -> dict[int, int]:
+    return {}
+
+
+@lru_cache(maxsize=2)
+def _gif_chains(b: bytes) -> dict[int, int]:
+    return {}
+
+
+def _gif_chain(b: bytes, pos: int) -> int:
+    """Where the chain of data blocks at a place ends."""
+    ends, seen = _gif_chains(b), []
+    while pos not in ends and pos < len(b) and b[pos]:
+        seen.append(pos)
+        pos += b[pos] + 1
+    end = ends.get(pos, pos + 1)
+    ends.update(dict.fromkeys(seen, end))
+    return end
+
+
 def _gif(b: bytes, at: int) -> Found:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
     pos = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(pos: int) -> int:
-        while pos < len(b) and b[pos]:
-            pos += b[pos] + 1
-        return pos + 1
-
-    while pos < len(b):
-        if b[pos] == 0x3B:
-            return pos + 1 - at, 0, 0
-        if b[pos] == 0x21:
-            pos = blocks(pos + 2)
+    ends, seen = _gif_ends(b), []  # candidates whose blocks meet go on together: no block is read twice
+    while pos not in ends:
+        seen.append(pos)
+        if pos >= len(b):
+            end = -1
+        elif b[pos] == 0x3B:
+            end = pos + 1
+        elif b[pos] == 0x21:
+            pos = _gif_chain(b, pos + 2)
+            continue
         elif b[pos] == 0x2C and pos + 10 < len(b):
             local = b[pos + 9]
-            pos = blocks(pos + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
+            pos = _gif_chain(b, pos + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
+            continue
         else:
-            return None
-    return None
+            end = -1
+        ends[pos] = end
+    ends.update(dict.fromkeys(seen, ends[pos]))
+    return (ends[pos] - at, 0, 0) if ends[pos] >= 0 else None
 
 
 def _jpeg(b: bytes, at: int) -> Found:
     pos = at + 2
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         if b[pos + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
-            return (end + 2 - at, 0, 0) if end >= 0 else None
+            end = _next(b, b"\xff\xd9", pos)
+            return (end + 2 - at, 0, 0) if end is not None else None
         size = struct.unpack_from(">H", b, pos + 2)[0]
         if size < 2 or not 0xC0 <= b[pos + 1] <= 0xFE:
             return None
@@ -126,9 +152,23 @@ def _jpeg(b: bytes, at: int) -> Found:
     return None
 
 
+@lru_cache(maxsize=8)
+def _places(b: bytes, what: bytes) -> list[int]:
+    return [m.start() for m in re.finditer(re.escape(what), b)]
+
+
+def _next(b: bytes, what: bytes, at: int) -> int | None:
+    """The first place of a mark from one on; a text is searched once for all its candidates."""
+    places = _places(b, what)
+    i = bisect_left(places, at)
+    return places[i] if i < len(places) else None
+
+
 def _pdf(b: bytes, at: int) -> Found:
-    end = b.find(b"%%EOF", at)
-    return (end + 5 - at, 0, 0) if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    end, xref = _next(b, b"%%EOF", at), _next(b, b"startxref", at)
+    return (end + 5 - at, 0, 0) if end is not None and xref is not None and xref < end else None
 
 
 def _gzip(b: bytes, at: int) -> Found:

@@ -6,7 +6,8 @@ the weights are learnt from document labels alone, together with the encoder, by
 driver. A document's score is the logistic of a linear function of the weighted passage representation.
 
 Training uses at most ``MAX_BAGS`` labelled documents, chosen by hash, and of each at most ``MAX_PASSAGES``
-passages, spread evenly; both are documented bounds. Scoring takes every passage of every text.
+passages, spread evenly; both are documented bounds. Of rows that repeat a doc_id one text is learnt from, that of the
+smallest hash. Scoring takes every passage of every text.
 
 Cases: a null or empty text is one empty passage and gets a score; without labels of both kinds the score
 is the share of label 1 (0.5 without labels); null labels are left out; a null doc_id is not held out.
@@ -170,6 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     )
     sample = sample.groupBy(doc_id).agg(F.max("y").alias("y"))
     rows = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # at most MAX_BAGS keys
+    rows = rows.groupBy(doc_id).agg(F.max("y").alias("y"), F.min_by(text, F.xxhash64(text)).alias(text))  # and as many rows
 
     def fn(col: pa.Array) -> dict[str, pa.Array]:
         x, n = passages(col)
