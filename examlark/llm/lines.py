@@ -11,11 +11,13 @@ In the bucket of a prefix word, pairs must pass the length filter, the positiona
 differing bit needs a differing word). A line needs only one earlier match, so a bucket gives each line its nearest
 earlier candidate alone, and says if there were more. Candidates are verified on the whole sets; only lines whose
 candidate failed and that had more meet all others that pass. Groups of copies are so never spread out into all
-their pairs, and no candidate is lost.
+their pairs, and no candidate is lost. The bucket of a word that a sample finds in very many prefixes is dealt in blocks,
+and every two blocks meet in a task of their own; the sample only chooses the way. Texts are shuffled only for documents
+that lose lines, as long as these, counted, are few enough to be broadcast.
 
 Cases: null texts stay null; empty texts, empty lines and white space are no lines to compare and stay; line
 ends are \\n; a document may become empty; rows that repeat a doc_id are told apart by their text, and equal
-rows are one document; a null doc_id comes before all others. Columns other than the text pass through.
+rows are one document, which is compared once; a null doc_id comes before all others. Columns other than the text pass through.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ ALL = 1
 SLOT_BITS = 20
 #: Sets of more words than the second carry a sketch of 256 bits, of more than the first one of 128, others of 64; a narrow one is a wide one folded.
 WIDE = (40, 128)
+#: One of so many lines is sampled for frequent prefix words; lines of a block of a frequent word's bucket.
+SAMPLE, BUCKET_BLOCK = 16, 16384
 
 
 def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,12 +94,16 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(np.log2(1 + out.ravel()) * 128, 4095).astype(np.uint16)
 
 
+#: A line's place; the same for the later and the earlier one of a pair.
+KEY, X, Y = ["id", "th", "ln"], ["xi", "xt", "xl"], ["yi", "yt", "yl"]
+
+
 class Lines:
     def __init__(self, docs: DataFrame, num: int, den: int, min_tokens: int) -> None:
         self.docs, self.num, self.den, self.min = docs, num, den, min_tokens  # id, th, text
 
     def described(self, rarity: np.ndarray) -> DataFrame:
-        """A row for each line that is compared: its place (id, k), set (h1, h2, s), sketch and prefix, rarest first."""
+        """A row for each line that is compared: its place (id, th, ln), set (h1, h2, s), sketch and prefix, rarest first."""
         num, den, least = self.num, self.den, self.min
         shared = self.docs.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
 
@@ -127,19 +135,37 @@ class Lines:
                     ids, th = (common.column(part, c).to_numpy()[text[word]] for c in ("id", "th"))
                     key = ((h[at < np.repeat(prefix, s)] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                     set_hash = [np.add.reduceat(common.mix(h ^ np.uint64(salt)), head).view(np.int64) for salt in (0x1B873593, 0x85EBCA6B2)]
-                    cols = [ids, (th << 32) | line[word], *set_hash, s.astype(np.int32), *sketch]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(key, prefix, pa.int32())], names=["id", "k", "h1", "h2", "s", "b0", "b1", "b2", "b3", "prefix"])
-
-        return self.docs.mapInArrow(run, "id bigint, k bigint, h1 bigint, h2 bigint, s int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, prefix array<int>")
-
-    def candidates(self, words: DataFrame, every: bool) -> DataFrame:
-        """From (w, id, k, s, p, b0..b3[, probe]), dealt and sorted by word: each line's nearest earlier candidate of a
-        block of the bucket and whether there are more, or (every) all candidates of the lines to probe. A bucket is a stream of
-        blocks; what is open of it is a few numbers for each of its lines."""
-        num, den = self.num, self.den
+                    cols = [ids, th, line[word].astype(np.int32), *set_hash, s.astype(np.int32), *sketch]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(key, prefix, pa.int32())], names=["id", "th", "ln", "h1", "h2", "s", "b0", "b1", "b2", "b3", "prefix"])
+
+        return self.docs.mapInArrow(run, "id bigint, th bigint, ln int, h1 bigint, h2 bigint, s int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, prefix array<int>")
+
+    def candidates(self, words: DataFrame, every: bool, sample: DataFrame) -> DataFrame:
+        """Of rows (w, id, th, ln, s, p, b0..b3[, probe]): each line's nearest earlier candidate of a block of the bucket and
+        whether there are more, or (every) all earlier candidates of the lines to probe. sample: the words of one of SAMPLE lines."""
+        hot = self.frequent(sample)
+        if not hot:
+            return self.compared(words, every)
+        table = F.broadcast(words.sparkSession.createDataFrame(hot, "w int, n bigint"))  # a row for each of a few words
+        w = words.join(table, "w").withColumn("b", F.pmod(F.xxhash64("id", "th", "ln"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+        lo, hi = F.least("b", "j"), F.greatest("b", "j")
+        pair = F.shiftleft(F.col("w").cast("bigint"), 32).bitwiseOR(F.shiftleft(lo, 16)).bitwiseOR(hi)
+        blocks = w.withColumn("side", F.when(lo == hi, 2).when(F.col("b") == lo, 0).otherwise(1)).withColumn("w", pair).drop("n", "b", "j")
+        return self.compared(words.join(table, "w", "left_anti"), every).union(self.compared(blocks, every))
+
+    def frequent(self, sample: DataFrame) -> list[tuple[int, int]]:
+        """(word, blocks) of prefix words of so many lines that one task should not compare them."""
+        parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = sample.groupBy("w").count().filter(F.col("count") * SAMPLE > 2 * BUCKET_BLOCK).orderBy(F.desc("count"), "w").limit(4 * parts).collect()  # others stay whole, at any number
+        return [(r["w"], min(1 << 15, -(-r["count"] * SAMPLE // BUCKET_BLOCK))) for r in rows]
+
+    def compared(self, words: DataFrame, every: bool) -> DataFrame:
+        """The comparisons of ``candidates``, dealt and sorted by bucket. With a side, only rows of sides 0 and 1 meet, or all of
+        side 2. A bucket is a stream of blocks; what is open of it is a few numbers for each of its lines."""
+        num, den, sided = self.num, self.den, "side" in words.columns
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            w, ids, k = (t[c].to_numpy() for c in ("w", "id", "k"))
+            w, ids, th, ln = (t[c].to_numpy() for c in ("w", "id", "th", "ln"))
             s, p = t["s"].to_numpy().astype(np.int64), t["p"].to_numpy().astype(np.int64)
             b = np.stack([t[f"b{i}"].to_numpy() for i in range(4)]).view(np.uint64)
             half = np.stack([b[0] ^ b[2], b[1] ^ b[3]])
@@ -147,8 +173,14 @@ class Lines:
             width = np.where(s > WIDE[1], 2, np.where(s > WIDE[0], 1, 0)) if not every else np.full(len(s), 2)
             probe = t["probe"].to_numpy(zero_copy_only=False) if every else None
             head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            rank = np.arange(len(w)) - np.repeat(head, np.diff(np.r_[head, len(w)]))  # lines before it in the bucket
-            todo = rank if probe is None else np.where(probe, rank, 0)
+            size = np.diff(np.r_[head, len(w)])
+            rank = np.arange(len(w)) - np.repeat(head, size)  # lines before it in the bucket
+            todo = rank
+            if sided:
+                side = t["side"].to_numpy()
+                todo = np.where(side == 2, rank, np.where(side == 1, np.repeat(np.add.reduceat((side == 0).astype(np.int64), head), size), 0))
+            elif probe is not None:
+                todo = np.where(probe, rank, 0)
             done, total = 0, np.cumsum(todo)
             while done < len(w):
                 base = total[done - 1] if done else 0
@@ -169,14 +201,18 @@ class Lines:
                     some = np.flatnonzero((both_wide >= least) & (apart <= most))
                     if len(some):
                         apart[some] = sum(np.bitwise_count(v[x[some]] ^ v[y[some]]).astype(np.int64) for v in words_)
-                ok = (apart <= most) & ((ids[x] != ids[y]) | (k[x] != k[y]))
+                ok = (apart <= most) & ((ids[x] != ids[y]) | (th[x] != th[y]) | (ln[x] != ln[y]))
                 x, y, apart = x[ok], y[ok], apart[ok]
                 if not len(x):
                     continue
+                # the later line is x
+                swap = (ids[x] < ids[y]) | ((ids[x] == ids[y]) & ((th[x] < th[y]) | ((th[x] == th[y]) & (ln[x] < ln[y]))))
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
                 more = np.zeros(len(x), bool)
-                if not every:  # the later line is x; of each x the nearest y
-                    swap = (ids[x] < ids[y]) | ((ids[x] == ids[y]) & (k[x] < k[y]))
-                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                if every:
+                    mine = probe[x]
+                    x, y, apart, more = x[mine], y[mine], apart[mine], more[mine]
+                else:  # of each x the nearest y
                     order = np.lexsort((y, apart, x))
                     x, y, apart = x[order], y[order], apart[order]
                     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
@@ -184,8 +220,8 @@ class Lines:
                     x, y, apart = x[first], y[first], apart[first]
                 for at in range(0, len(x), 100_000):
                     i, j = x[at : at + 100_000], y[at : at + 100_000]
-                    cols = [ids[i], k[i], ids[j], k[j], apart[at : at + 100_000].astype(np.int32), more[at : at + 100_000]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["xi", "xk", "yi", "yk", "apart", "more"])
+                    cols = [ids[i], th[i], ln[i], ids[j], th[j], ln[j], apart[at : at + 100_000].astype(np.int32), more[at : at + 100_000]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=[*X, *Y, "apart", "more"])
 
         @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,22 +240,20 @@ class Lines:
             if rest:
                 yield from pairs(pa.Table.from_batches(rest).combine_chunks())
 
-        order = ["w", "id", "k"] if every else ["w"]
-        return words.repartition("w").sortWithinPartitions(*order).mapInArrow(run, "xi bigint, xk bigint, yi bigint, yk bigint, apart int, more boolean")
+        order = ["w", *(["side"] if sided else []), *(KEY if every else [])]
+        return words.repartition("w").sortWithinPartitions(*order).mapInArrow(run, "xi bigint, xt bigint, xl int, yi bigint, yt bigint, yl int, apart int, more boolean")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(id, k, words) of wanted lines; only these are cut out of the texts."""
+        """(id, th, ln, words) of wanted lines; only these are cut out of the texts."""
 
         @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     data, offsets = common.utf8(common.column(part, "text"))
-                    th, lists_ = common.column(part, "th").to_numpy(), common.column(part, "ks")
+                    lists_ = common.column(part, "lines")
                     owner = np.repeat(np.arange(part.num_rows), np.diff(lists_.offsets.to_numpy()))
-                    ks = lists_.flatten().to_numpy()
-                    mine = (ks >> 32) == th[owner]
-                    want = np.unique((owner[mine] << 32) | (ks[mine] & 0xFFFFFFFF))
+                    want = np.unique((owner << 32) | lists_.flatten().to_numpy().astype(np.int64))
                     starts, ends, first = common.word_spans(data, offsets)
                     text = np.repeat(np.arange(part.num_rows), np.diff(first))
                     breaks = np.concatenate([[0], np.cumsum(data == 10)])
@@ -235,76 +269,88 @@ class Lines:
                     h, place = h[new], place[new]
                     head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
                     row = place[head] >> 32
-                    cols = [common.column(part, "id").to_numpy()[row], (th[row] << 32) | (place[head] & 0xFFFFFFFF)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(h.view(np.int64), np.diff(np.r_[head, len(h)]), pa.int64())], names=["id", "k", "words"])
+                    cols = [common.column(part, "id").to_numpy()[row], common.column(part, "th").to_numpy()[row], (place[head] & 0xFFFFFFFF).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), common.lists(h.view(np.int64), np.diff(np.r_[head, len(h)]), pa.int64())], names=["id", "th", "ln", "words"])
 
         small = wanted.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
-        by_doc = wanted.groupBy("id").agg(F.collect_list("k").alias("ks"))
-        docs = self.docs.join(F.broadcast(by_doc) if small else by_doc, "id").select("id", "th", "text", "ks")
-        return docs.mapInArrow(run, "id bigint, k bigint, words array<bigint>")
+        by_doc = wanted.groupBy("id", "th").agg(F.collect_list("ln").alias("lines"))
+        docs = self.docs.join(F.broadcast(by_doc) if small else by_doc, ["id", "th"]).select("id", "th", "text", "lines")
+        return docs.mapInArrow(run, "id bigint, th bigint, ln int, words array<bigint>")
 
     def matched(self, pairs: DataFrame) -> DataFrame:
-        """(id, k) of lines x that match their y, by the whole sets."""
+        """(id, th, ln) of lines x that match their y, by the whole sets."""
         pairs = common.materialize(pairs, "pairs")
-        ends = common.materialize(pairs.select(F.col("xi").alias("id"), F.col("xk").alias("k")).union(pairs.select(F.col("yi").alias("id"), F.col("yk").alias("k"))).distinct(), "ends")
+        ends = common.materialize(_as(pairs, X, KEY).union(_as(pairs, Y, KEY)).distinct(), "ends")
         sets = common.materialize(self.sets(ends), "sets")
         few = F.broadcast(pairs) if pairs.count() <= common.BROADCAST_PAIRS else pairs
-        both = sets.select(F.col("id").alias("xi"), F.col("k").alias("xk"), F.col("words").alias("x")).join(few, ["xi", "xk"]).join(
-            sets.select(F.col("id").alias("yi"), F.col("k").alias("yk"), F.col("words").alias("y")), ["yi", "yk"]
-        )
+        both = _as(sets, KEY, X, F.col("words").alias("x")).join(few, X).join(_as(sets, KEY, Y, F.col("words").alias("y")), Y)
         i, t = F.size(F.array_intersect("x", "y")).cast("bigint"), (F.size("x") + F.size("y")).cast("bigint")
-        return common.materialize(both.filter(i * self.den >= (t - i) * self.num).select(F.col("xi").alias("id"), F.col("xk").alias("k")).distinct(), "matched")
+        return common.materialize(_as(both.filter(i * self.den >= (t - i) * self.num), X, KEY).distinct(), "matched")
 
     def removed(self) -> DataFrame:
-        """(id, th32, lines): the numbers of the lines that go, of each document that loses any."""
+        """(id, th, lines): the numbers of the lines that go, of each document that loses any."""
         c = F.col
         lines = common.materialize(self.described(word_counts(self.docs)), "lines")
         same, facts = ["h1", "h2"], ["s", "b0", "b1", "b2", "b3", "prefix"]
 
         def words(rows: DataFrame, *more: str) -> DataFrame:
-            return rows.select("id", "k", "s", "b0", "b1", "b2", "b3", *more, F.posexplode("prefix").alias("p", "w"))
+            return rows.select(*KEY, "s", "b0", "b1", "b2", "b3", *more, F.posexplode("prefix").alias("p", "w"))
 
-        firsts = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"), *[F.first(x).alias(x) for x in facts])
-        firsts = firsts.select(c("f.id").alias("id"), c("f.k").alias("k"), *facts)
+        firsts = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f"), *[F.first(x).alias(x) for x in facts]).select("f.*", *facts)
         zero, xor = F.lit(0).cast("bigint"), lambda *k: reduce(Column.bitwiseXOR, [c(f"b{i}") for i in k])
         tiers = {"b0": (xor(0, 1, 2, 3), xor(0, 2), c("b0")), "b1": (zero, xor(1, 3), c("b1")), "b2": (zero, zero, c("b2")), "b3": (zero, zero, c("b3"))}
         slim = firsts.withColumns({k: F.when(c("s") <= WIDE[0], v[0]).when(c("s") <= WIDE[1], v[1]).otherwise(v[2]) for k, v in tiers.items()})
-        near = self.candidates(words(slim), False).groupBy("xi", "xk").agg(F.min(F.struct("apart", "yi", "yk")).alias("m"), F.max("more").alias("more"), F.min(F.struct("yi", "yk")).alias("lo"), F.max(F.struct("yi", "yk")).alias("hi"))
-        near = common.materialize(near.select("xi", "xk", c("m.yi").alias("yi"), c("m.yk").alias("yk"), (c("more") | (c("lo") != c("hi"))).alias("more")), "nearest")
-        gone = self.matched(near.select("xi", "xk", "yi", "yk"))
+        some = lines.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).groupBy(*same).agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("w"))
+        near = self.candidates(words(slim), False, some).groupBy(*X).agg(F.min(F.struct("apart", *Y)).alias("m"), F.max("more").alias("more"), F.min(F.struct(*Y)).alias("lo"), F.max(F.struct(*Y)).alias("hi"))
+        near = common.materialize(near.select(*X, *[c(f"m.{y}").alias(y) for y in Y], (c("more") | (c("lo") != c("hi"))).alias("more")), "nearest")
+        gone = self.matched(near.select(*X, *Y))
 
-        open_ = near.filter("more").join(gone.select(c("id").alias("xi"), c("k").alias("xk")), ["xi", "xk"], "left_anti").select(c("xi").alias("id"), c("xk").alias("k"))
-        open_ = common.materialize(open_, "open-lines")
+        open_ = common.materialize(_as(near.filter("more").join(_as(gone, KEY, X), X, "left_anti"), X, KEY), "open-lines")
         n = open_.count()
         if n:
             hint = F.broadcast if n <= common.BROADCAST_KEYS else (lambda x: x)  # counted
-            probes = lines.join(hint(open_), ["id", "k"], "left_semi")
-            keys = words(probes).groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max(F.struct("id", "k")).alias("last"))
+            probes = lines.join(hint(open_), KEY, "left_semi")
+            keys = words(probes).groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max(F.struct(*KEY)).alias("last"))
             keys = common.materialize(keys, "open-words")
             small = keys.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
             rows, open_words = words(lines), (F.broadcast(keys) if small else keys)
-            fits = (c("s") * self.den >= c("lo") * self.num) & (c("hi") * self.den >= c("s") * self.num) & (F.struct("id", "k") <= c("last"))
+            fits = (c("s") * self.den >= c("lo") * self.num) & (c("hi") * self.den >= c("s") * self.num) & (F.struct(*KEY) <= c("last"))
             some = rows.join(open_words, (rows["w"] == open_words["w"]) & fits, "left_semi")
-            light = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f")).select(c("f.id").alias("id"), c("f.k").alias("k"))
-            some = some.join(light, ["id", "k"], "left_semi")  # first lines of their sets alone
-            some = some.join(hint(open_.withColumn("probe", F.lit(True))), ["id", "k"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-            all_ = self.candidates(some.select("w", "id", "k", "s", "p", "b0", "b1", "b2", "b3", "probe"), True).select("xi", "xk", "yi", "yk").distinct()
-            gone = gone.union(self.matched(all_.join(near.select("xi", "xk", "yi", "yk"), ["xi", "xk", "yi", "yk"], "left_anti")))
+            light = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f")).select("f.*")
+            some = some.join(light, KEY, "left_semi")  # first lines of their sets alone
+            some = some.join(hint(open_.withColumn("probe", F.lit(True))), KEY, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+            some = common.materialize(some.select("w", *KEY, "s", "p", "b0", "b1", "b2", "b3", "probe"), "open-rows")
+            all_ = self.candidates(some, True, some.filter(F.pmod(F.xxhash64(*KEY), F.lit(SAMPLE)) == 0)).select(*X, *Y).distinct()
+            gone = gone.union(self.matched(all_.join(near.select(*X, *Y), [*X, *Y], "left_anti")))
+
+        first = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f"))
+        first = first.join(gone.distinct().select(F.struct(*KEY).alias("f"), F.lit(True).alias("similar")), "f", "left")
+        later = lines.select(*KEY, *same).join(first, same).filter(F.col("similar") | (c("f") != F.struct(*KEY)))
+        return later.groupBy("id", "th").agg(F.collect_list("ln").alias("lines"))
+
+
+def _as(df: DataFrame, old: list[str], new: list[str], *more: Column) -> DataFrame:
+    return df.select(*[F.col(a).alias(b) for a, b in zip(old, new)], *more)
+
 
-        first = lines.groupBy(*same).agg(F.min(F.struct("id", "k")).alias("f"))
-        first = first.join(gone.distinct().select(F.struct("id", "k").alias("f"), F.lit(True).alias("similar")), "f", "left")
-        later = lines.select("id", "k", *same).join(first, same).filter("similar OR f.id <> id OR f.k <> k")
-        return later.groupBy("id", F.shiftright("k", 32).cast("int").alias("th32")).agg(F.collect_list((c("k").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("lines"))
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One of each rows that are equal in id and text."""
+    several = common.materialize(docs.groupBy("id", "th").count().filter("count > 1").select("id", "th"), "repeated-rows")
+    if several.isEmpty():
+        return docs
+    keys = F.broadcast(several) if several.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS else several
+    one = docs.join(keys, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+    return docs.join(keys, ["id", "th"], "left_anti").select("id", "th", "text").unionByName(common.materialize(one, "single-rows"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The input's columns, the text without the lines that go, and `lines_kept` and `lines_removed`."""
-    th = F.xxhash64(F.col(text)).bitwiseAND(0x7FFFFFFF)
+    th = F.xxhash64(F.col(text))
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.alias("th"), F.col(text).alias("text"))
-    gone = Lines(docs, num, den, min_tokens).removed()
+    gone = common.materialize(Lines(_one_each(docs), num, den, min_tokens).removed(), "removed-lines")
     rest = [c for c in df.columns if c != text and c not in ("lines_kept", "lines_removed")]
     names = [f"c{i}" for i in range(len(rest))]
-    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.cast("int").alias("th32"), F.col(text).alias("text"))
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.alias("th"), F.col(text).alias("text"))
     fields = plain.select(*names).schema.fields
 
     @common.tidy
@@ -316,7 +362,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
                 (data, offs), null = common.utf8(col), col.is_null().to_numpy(zero_copy_only=False)
                 raw, offs = data.tobytes(), offs.tolist()
                 blobs = [None if gone else z.compress(raw[a:b]) for gone, a, b in zip(null.tolist(), offs, offs[1:])]
-                yield common.appended(part, [*names, "id", "th32"], {"blob": pa.array(blobs, pa.binary())})
+                yield common.appended(part, [*names, "id", "th"], {"blob": pa.array(blobs, pa.binary())})
 
     @common.tidy
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,9 +386,16 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
                 t, k, r = zip(*out)
                 yield common.appended(part, names, {"text": pa.array(t, pa.binary()).cast(pa.string()), "kept": pa.array(k, pa.int64()), "removed": pa.array(r, pa.int64())})
 
-    packed = plain.mapInArrow(pack, T.StructType([*fields, T.StructField("id", T.LongType()), T.StructField("th32", T.IntegerType()), T.StructField("blob", T.BinaryType())]))
-    joined = packed.join(gone, ["id", "th32"], "left").select(*names, "blob", "lines")
+    few = gone.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
+    keys = F.broadcast(gone.select("id", "th"))  # only if few
+    some = plain.join(keys, ["id", "th"], "left_semi").select(*plain.columns) if few else plain
+    packed = some.mapInArrow(pack, T.StructType([*fields, T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("blob", T.BinaryType())]))
+    joined = packed.join(gone, ["id", "th"], "left").select(*names, "blob", "lines")
     done = joined.mapInArrow(unpack, T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("kept", T.LongType()), T.StructField("removed", T.LongType())]))
+    if few:  # the others need no join
+        rest_ = plain.join(keys, ["id", "th"], "left_anti")
+        n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+        done = done.unionByName(rest_.select(*names, "text", n_lines.alias("kept"), F.lit(0).cast("bigint").alias("removed")))
     back = {c: F.col(n).alias(c) for c, n in zip(rest, names)} | {text: F.col("text").alias(text)}
     return done.select(*[back[c] for c in df.columns if c in back], F.col("kept").alias("lines_kept"), F.col("removed").alias("lines_removed"))
 

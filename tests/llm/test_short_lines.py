@@ -38,3 +38,22 @@ def test_pipeline_drops_short_copies(spark):
     had = dict(rows)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {i: t for i, t in want.items() if t == had[i] or brute.WORD.search(t)} and 908 not in got
+
+
+def test_buckets_in_blocks_and_many_equal_rows(spark, monkeypatch):
+    """Frequent prefix words are split into blocks; equal rows are compared once; ids repeat with other texts, and may be null."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i % 90 or None, "\n".join(" ".join(["same", *(rnd.choice(words) for _ in range(rnd.randrange(1, 9)))]) for _ in range(4))) for i in range(260)]
+    df = spark.createDataFrame(rows + rows[:40] * 3, "doc_id long, text string").repartition(3)
+    plain = sorted(((r.doc_id, r.text, r.lines_removed) for r in lines.dedup_lines(df, min_tokens=1).collect()), key=str)
+    monkeypatch.setattr(lines.Lines, "frequent", lambda self, sample: [(r.w, 3) for r in sample.groupBy("w").count().filter("count > 1").collect()])
+    split = sorted(((r.doc_id, r.text, r.lines_removed) for r in lines.dedup_lines(df, min_tokens=1).collect()), key=str)
+    assert split == plain
+    keyed = {}
+    th = {(r.doc_id, r.text): (lines.NULL_ID if r.doc_id is None else r.doc_id, r.th) for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS th").distinct().collect()}
+    order = sorted(th, key=th.get)
+    keyed = dict(enumerate(order))
+    want = brute.without_similar_lines([(k, t) for k, (_, t) in keyed.items()], least=1)
+    expect = {v: want[k] for k, v in keyed.items()}
+    assert sorted(((i, t) for i, t, _ in split), key=str) == sorted(((i, expect[i, t]) for i, t in rows + rows[:40] * 3), key=str)
