@@ -1,11 +1,11 @@
 """Operator 10: exact top-k by inner product, with ball-tree branch and bound in every shard.
 
-Rows are dealt into shards by a hash of vec_id, queries into blocks. For a (shard, block) pair a ball tree
-over the shard is searched: a node's inner products are at most q.centre + |q| radius, children are visited
-in the order of that bound, and a node is left out where the bound is below the query's current k-th score.
-A first round over a bounded seed sample gives every query a k-th score to start with; it travels with the
-query to all shards, so that each shard prunes with what is already known. A k-th score is a lower bound of
-the true one, so no result is lost; nodes whose bound equals it are searched, for ties.
+Rows are dealt into shards by a hash of vec_id. A shard's rows come to one task, which builds a ball tree over them once
+and streams the queries past it. A node's inner products are at most q.centre + |q| radius; a descent leaves nodes out
+whose bound is below a query's current k-th score, and every query then visits its leaves in the order of that
+bound, until it falls below the k-th score, which rises on the way. One shard of sixteen is searched first; the k-th
+scores that it gives travel with the queries to the others, so that each shard prunes with what is already known. A k-th
+score is a lower bound of the true one, so no result is lost; nodes whose bound equals it are searched, for ties.
 
 Components become floor(64 x). Scores are exact (in doubles while they stay below 2^53, in 64-bit integers
 beyond). Rows repeating a vec_id are candidates one by one, but a query's own vec_id is none of its
@@ -16,16 +16,17 @@ components take no part; vectors of different lengths do not meet. An empty tabl
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 LEAF = 256
-SHARD_ROWS, BLOCK_ROWS, SEEDS = 16384, 4096, 2048
+SHARD_ROWS, BLOCK_ROWS, FIRST = 16384, 2048, 16
 
 
 class Ball:
@@ -63,14 +64,36 @@ class Search:
         top = self.wide[rows] @ ball.centre + self.norm[rows] * ball.radius
         return top + 1e-9 * (1 + np.abs(top))
 
-    def visit(self, ball: Ball, rows: np.ndarray) -> None:
-        rows = rows[self.bound(ball, rows) >= self.floor[rows]]
-        if not len(rows):
-            return
-        if ball.children:
-            for child in sorted(ball.children, key=lambda c: -float(self.bound(c, rows).mean())):
-                self.visit(child, rows)
+    def visit(self, root: Ball) -> None:
+        found: list[tuple[Ball, np.ndarray, np.ndarray]] = []  # leaves, with the rows that reach them and their bounds
+        open_ = [(root, np.arange(len(self.q)))]
+        while open_:
+            ball, rows = open_.pop()
+            bound = self.bound(ball, rows)
+            some = bound >= self.floor[rows]
+            rows, bound = rows[some], bound[some]
+            if len(rows) and ball.children:
+                open_ += [(child, rows) for child in ball.children]
+            elif len(rows):
+                found.append((ball, rows, bound))
+        if not found:
             return
+        leaf = np.repeat(np.arange(len(found)), [len(r) for _, r, _ in found])
+        rows, bound = np.concatenate([r for _, r, _ in found]), np.concatenate([b for _, _, b in found])
+        order = np.lexsort((-bound, rows))
+        leaf, rows, bound = leaf[order], rows[order], bound[order]
+        head = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        turn = np.arange(len(rows)) - np.repeat(head, np.diff(np.r_[head, len(rows)]))
+        order = np.lexsort((rows, leaf, turn))  # every query's best leaf, then its second, and so on
+        leaf, rows, bound, turn = leaf[order], rows[order], bound[order], turn[order]
+        cut = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (turn[1:] != turn[:-1])])
+        for a, b in zip(cut, np.r_[cut[1:], len(rows)]):
+            mine = rows[a:b][bound[a:b] >= self.floor[rows[a:b]]]
+            if len(mine):
+                self.take(found[leaf[a]][0], mine)
+
+    def take(self, ball: Ball, rows: np.ndarray) -> None:
+        """Merges a leaf into the best k of some queries."""
         got = self.q[rows] @ ball.x.T
         good = (got >= self.floor[rows][:, None]) & (ball.ids[None, :] != self.qid[rows][:, None])
         for i in np.flatnonzero(good.any(axis=1)):
@@ -84,27 +107,63 @@ class Search:
                 self.floor[r] = max(self.floor[r], float(s[best[-1]]))
 
 
-def _matrix(t: pa.Table, name: str) -> np.ndarray:
-    col = t[name].combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
-
-
-def search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """Brute tables in, (query_id, vec_id, score) of the block's best k in the shard out."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    if not queries.num_rows or not rows.num_rows:
-        return schema.empty_table()
-    x, q = _matrix(rows, "v"), _matrix(queries, "v")
-    top = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * x.shape[1]
-    exact = np.dtype(np.float64 if top < 2**52 else np.int64)
-    ids = rows["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    tree = Ball(x[order], ids[order], np.arange(len(ids)), exact)
-    floor = queries["floor"].combine_chunks().cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-    s = Search(q, queries["query_id"].to_numpy(), floor, k, exact)
-    s.visit(tree, np.arange(len(q)))
-    keep = np.arange(k)[None, :] < s.full[:, None]
-    return pa.table([np.repeat(s.qid, s.full), s.id[keep], s.score[keep].astype(np.int64)], schema=schema)
+OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+class Shard:
+    """A ball tree over a shard's rows, which many blocks of queries pass."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.x, self.ids = x[order], ids[order]
+        self.most = float(np.abs(x.astype(np.float64)).max(initial=0))
+        self.trees: dict[np.dtype, Ball] = {}
+
+    def search(self, q: np.ndarray, qid: np.ndarray, floor: np.ndarray, k: int) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of the block's best k in the shard; in doubles where they are exact."""
+        top = self.most * float(np.abs(q.astype(np.float64)).max(initial=0)) * q.shape[1]
+        exact = np.dtype(np.float64 if top < 2**52 else np.int64)
+        if exact not in self.trees:
+            self.trees[exact] = Ball(self.x, self.ids, np.arange(len(self.ids)), exact)
+        s = Search(q, qid, floor, k, exact)
+        s.visit(self.trees[exact])
+        keep = np.arange(k)[None, :] < s.full[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(s.qid, s.full)), pa.array(s.id[keep]), pa.array(s.score[keep].astype(np.int64))], schema=OUT)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    col = common.column(batch, "v")
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def searched(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """rows: dim, shard, id, v; asked: the same and floor. Sorted by shard, rows before queries; one shard is open at a time."""
+
+    @common.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, tree = None, [], None
+        for batch in batches:
+            keys = np.stack([common.column(batch, c).to_numpy().astype(np.int64) for c in ("dim", "shard", "ask")])
+            cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]).tolist()
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                part, (dim, shard, ask) = batch.slice(a, b - a), keys[:, a].tolist()
+                if at != (dim, shard):
+                    at, held, tree = (dim, shard), [], None
+                if not ask:
+                    held.append((_matrix(part), common.column(part, "id").to_numpy()))
+                    continue
+                if tree is None and held:
+                    tree, held = Shard(np.concatenate([x for x, _ in held]), np.concatenate([i for _, i in held])), []
+                if tree is None:
+                    continue
+                for c in range(0, part.num_rows, BLOCK_ROWS):
+                    block = part.slice(c, BLOCK_ROWS)
+                    floor = common.column(block, "floor").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    yield tree.search(_matrix(block), common.column(block, "id").to_numpy(), floor, k)
+
+    none = F.lit(None).cast("bigint").alias("floor")
+    both = rows.select("dim", "shard", F.lit(0).alias("ask"), "id", "v", none).unionByName(asked.select("dim", "shard", F.lit(1).alias("ask"), "id", "v", "floor"))
+    return both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "ask").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -112,33 +171,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     valid = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(embedding, finite)
     coded = F.transform(embedding, lambda x: F.floor(x.cast("double") * 64).cast("bigint"))
-    rows = common.materialize(vectors.filter(valid).select(F.col(vec_id).cast("bigint").alias("vec_id"), coded.alias("v")), "topk-rows")
-    asked = queries.filter(valid).select(F.col(vec_id).cast("bigint").alias("query_id"), coded.alias("v")).dropDuplicates(["query_id", "v"])
-    asked = common.materialize(asked.withColumn("dim", F.size("v")), "topk-queries")
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
+    pick = lambda df: df.filter(valid).select(F.col(vec_id).cast("bigint").alias("id"), coded.alias("v")).withColumn("dim", F.size("v"))
+    rows = common.materialize(pick(vectors), "topk-rows")
+    asked = common.materialize(pick(queries).dropDuplicates(["id", "v"]), "topk-queries")
+    n = rows.count()
+    shards = max(1, -(-n // SHARD_ROWS))
     if 1 < n <= SHARD_ROWS * 4:
-        shards = max(shards, min(4, -(-n // 2048)))  # smaller shards while there are few
-    rows = rows.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-
-    out = "query_id bigint, vec_id bigint, score bigint"
-    pair = lambda key, left, right: search_block(left, right, k)
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>"))
-
-    # seeds: a bounded sample by hash (at most about SEEDS rows), met by every query
-    share = max(1, -(-n // SEEDS))
-    seeds = rows.filter(F.pmod(F.hash("vec_id"), F.lit(share)) == 0).select("dim", every_block.alias("block"), "vec_id", "v")
-    start = asked.withColumn("floor", F.lit(None).cast("bigint"))
-    first = start.groupBy("dim", "block").cogroup(seeds.groupBy("dim", "block")).applyInArrow(pair, out)
-    floor = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k).select("query_id", "floor")
-    asked = asked.join(floor, "query_id", "left")
-
-    left = asked.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")).alias("shard"), "query_id", "v", "floor")
-    right = rows.select("dim", every_block.alias("block"), "shard", "vec_id", "v")
-    found = left.groupBy("dim", "block", "shard").cogroup(right.groupBy("dim", "block", "shard")).applyInArrow(pair, out)
-    from pyspark.sql import Window
-
+        shards = max(shards, min(8, -(-n // 2048)))  # smaller shards while there are few
+    first = -(-shards // FIRST)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+
+    def to(low: int, high: int) -> Column:
+        return F.explode(F.sequence(F.lit(low), F.lit(high)).cast("array<int>")).alias("shard") if high >= low else F.explode(F.array().cast("array<int>")).alias("shard")
+
+    start = asked.select("dim", to(0, first - 1), "id", "v", F.lit(None).cast("bigint").alias("floor"))
+    found = common.materialize(searched(rows.filter(F.col("shard") < first), start, k), "topk-first")
+    if shards > first:
+        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        floor = ranked.filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        rest = asked.join(floor, "id", "left").select("dim", to(first, shards - 1), "id", "v", "floor")
+        found = found.union(searched(rows.filter(F.col("shard") >= first), rest, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
