@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset, on a local master."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(spark.sparkContext, "_examlark_dir", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="examlark-")
