@@ -78,3 +78,40 @@ def knowledge_edges(df: DataFrame, parsed: str, key: str) -> tuple[DataFrame, Da
 def count_nodes(js: Column | str, kind: str = "formula") -> Column:
     """How often a node says "type": kind, at any depth of a JSON document."""
     return F.regexp_count(F.col(js) if isinstance(js, str) else js, F.lit(rf'"type"\s*:\s*"{kind}"'))
+
+
+#: States of an answer, of its correctness, and of a learner's mastery.
+ANSWER_STATES, CORRECTNESS, MASTERY = ["answered", "uncertain", "unanswered"], ["correct", "incorrect", "uncertain", "unknown"], ["mastered", "partial", "weak", "unknown"]
+
+
+def _given(c: Column) -> Column:
+    return c.isNotNull() & (F.trim(c) != "")
+
+
+def regions_ok(r: Column, types: list[str]) -> Column:
+    """At least one question; each with a number, a known type, and four corners in 0..1000."""
+    corners = lambda q: [q["points"][n] for n in ("top_left", "top_right", "bottom_right", "bottom_left")]
+    good = lambda q: F.coalesce(_given(q["number"]) & q["type"].isin(*types) & _point_ok(corners(q)[0]) & _point_ok(corners(q)[1]) & _point_ok(corners(q)[2]) & _point_ok(corners(q)[3]), F.lit(False))
+    return F.coalesce((F.size(r["questions"]) > 0) & F.forall(r["questions"], good), F.lit(False))
+
+
+def _box_ok(b: Column) -> Column:
+    return (F.size(b) == 4) & (b[0] < b[2]) & (b[1] < b[3]) & (F.array_min(b) >= 0)
+
+
+def whole_page_ok(r: Column) -> Column:
+    """Boxes in pixels, left < right and top < bottom; an answer's box may be missing."""
+    good = lambda q: F.coalesce(_given(q["number"]) & _box_ok(q["question_bbox"]) & (q["answer_bbox"].isNull() | _box_ok(q["answer_bbox"])), F.lit(False))
+    return F.coalesce((F.size(r["questions"]) > 0) & F.forall(r["questions"], good), F.lit(False))
+
+
+def single_question_ok(r: Column) -> Column:
+    return F.coalesce(_given(r["question_number"]) & _given(r["question_content"]) & r["recognition_confidence"].between(0, 1), F.lit(False))
+
+
+def observation_ok(r: Column) -> Column:
+    return F.coalesce(r["answer_status_assessment"].isin(*ANSWER_STATES) & r["correctness"].isin(*CORRECTNESS) & r["confidence"].between(0, 1), F.lit(False))
+
+
+def conclusion_ok(r: Column) -> Column:
+    return F.coalesce(r["answer_status"].isin(*ANSWER_STATES) & r["correctness"].isin(*CORRECTNESS) & r["mastery_level"].isin(*MASTERY) & r["confidence"].between(0, 1), F.lit(False))

@@ -140,3 +140,49 @@ def expand_range(number: Column | str) -> Column:
     lo = F.regexp_extract(n, r"^([0-9]+)(?:\s*[-~]\s*([0-9]+))?$", 1).try_cast("int")
     hi = F.coalesce(F.nullif(F.regexp_extract(n, r"^([0-9]+)(?:\s*[-~]\s*([0-9]+))?$", 2), F.lit("")).try_cast("int"), lo)
     return F.when(lo.isNotNull() & (hi >= lo) & (hi - lo < 1000), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
+def to_bytes(numbers: Column | str) -> Column:
+    """Binary of a list of integers, each modulo 256; bytes stay bytes with a cast."""
+    return F.unhex(F.array_join(F.transform(col(numbers), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), ""))
+
+
+#: LaTeX commands and their linear signs.
+LATEX_SIGNS = {r"\times": "*", r"\cdot": "*", r"\div": "/", r"\leq": "<=", r"\geq": ">=", r"\neq": "!=", r"\pm": "+-"}
+
+
+def latex_to_linear(latex: Column | str) -> Column:
+    """One line for a formula without nested braces: fractions, roots, powers and indices in brackets, no white space."""
+    out = F.regexp_replace(col(latex), r"\\left|\\right|\\,|\s+", "")
+    out = F.regexp_replace(out, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)")
+    out = F.regexp_replace(out, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
+    out = F.regexp_replace(out, r"([\^_])\{([^{}]*)\}", "$1($2)")
+    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LATEX_SIGNS.items(), out)
+
+
+def mathml_to_linear(mathml: Column | str) -> Column:
+    """The same for MathML whose fractions, roots, powers and indices hold single tokens or flat rows."""
+    out = F.regexp_replace(col(mathml), r">\s+<", "><")
+    out = F.regexp_replace(out, r"</?(?:math|mi|mn|mo)(?:\s[^>]*)?>", "\u0001")  # token borders
+    out = F.regexp_replace(out, "\u0001+", "\u0001")
+    part = "\u0001?([^<\u0001]*)\u0001?"
+    out = F.regexp_replace(out, r"<mrow>(.*?)</mrow>", "\u0001$1\u0001")
+    for tag, to in (("mfrac", "($1)/($2)"), ("msup", "$1^($2)"), ("msub", "$1_($2)")):
+        out = F.regexp_replace(out, f"<{tag}>\u0001*([^<\u0001]+)\u0001+([^<\u0001]+)\u0001*</{tag}>", to)
+    out = F.regexp_replace(out, f"<msqrt>{part}</msqrt>", "sqrt($1)")
+    return F.regexp_replace(out, "[\u0001\\s]", "")
+
+
+def formula_signature(linear: Column) -> Column:
+    """A hash of the linear form that does not see white space, case or how multiplication is written."""
+    return F.sha2(F.lower(F.regexp_replace(linear, r"[\s*]+", "")), 256)
+
+
+def drop_empty(arguments: Column | str) -> Column:
+    """A map of options without those that are null or empty."""
+    return F.map_filter(col(arguments), lambda k, v: v.isNotNull() & (v != ""))
+
+
+def in_states(status: Column | str, states: list[str]) -> Column:
+    """Whether a status is one of some; null is none."""
+    return F.coalesce(col(status).isin(*states), F.lit(False))

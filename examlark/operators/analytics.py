@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from examlark.sources.config import cut
+
 
 def exact_sum(c: Column) -> Column:
     """A sum of measures as decimals of six places, which no order of rows changes."""
@@ -41,21 +45,31 @@ def visible(tenant: str, own: object) -> Column:
     return F.col(tenant).isNull() | (F.col(tenant) == own)
 
 
-def licensed(flag: Column, expires: str, as_of: Column) -> Column:
-    return flag & (F.col(expires).isNull() | (F.col(expires) > as_of))
+def licensed(flag: Column, expires: str, as_of: Column, *more: Column) -> Column:
+    """Whether all flags of a use (commercial, AI, training) are set and the licence has not expired."""
+    return reduce(lambda a, b: a & b, more, flag) & (F.col(expires).isNull() | (F.col(expires) > as_of))
+
+
+def paths(nodes: DataFrame, node: str, parent: str, label: str, depth: int = 1 << 20, sep: str = "/") -> DataFrame:
+    """Every node's path from its root, and its depth: each step doubles the number of ancestors that a path holds, so that
+    a tree of depth d takes log2 d joins. Nodes that no root reaches are left out; a tree deeper than ``depth`` is an error."""
+    c = F.col
+    now = nodes.select(c(node).alias("_id"), c(parent).alias("_up"), c(label).cast("string").alias("path"), F.lit(0).alias("depth"))
+    for _ in range(max(1, depth).bit_length() + 1):
+        now = cut(now)
+        if now.filter("_up IS NOT NULL").isEmpty():
+            return now.select(c("_id").alias(node), "path", "depth")
+        up = now.select(c("_id").alias("_up"), c("_up").alias("_next"), c("path").alias("_p"), c("depth").alias("_d"))
+        step = now.filter("_up IS NOT NULL").join(up, "_up").select("_id", c("_next").alias("_up"), F.concat_ws(sep, "_p", "path").alias("path"), (c("depth") + c("_d") + 1).alias("depth"))
+        now = now.filter("_up IS NULL").unionByName(step)
+    raise ValueError(f"the tree is deeper than {depth}, or has a cycle")
 
 
-def paths(nodes: DataFrame, node: str, parent: str, label: str, depth: int = 16, sep: str = "/") -> DataFrame:
-    """Every node's path from its root. One join per level; a deeper tree than ``depth`` is an error."""
-    level = nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("_id"), F.col(label).cast("string").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        kids = nodes.select(F.col(node).alias("_k"), F.col(parent).alias("_id"), F.col(label).cast("string").alias("_l"))
-        level = kids.join(level, "_id").select(F.col("_k").alias("_id"), F.concat_ws(sep, "path", "_l").alias("path"), F.lit(d).alias("depth"))
-        if level.isEmpty():
-            return out.withColumnRenamed("_id", node)
-        out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {depth}")
+def family_maps(df: DataFrame, family: str, region: str, year: Column) -> DataFrame:
+    """A family's frequency, and its maps by region and by year; maps are as large as there are regions and years."""
+    s = family_stats(df, family, region, year)
+    key = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(k).isNotNull() & (F.col("level") != 3), F.struct(F.col(k).cast("string"), "frequency")))))
+    return s.groupBy(family).agg(F.max(F.when(F.col("level") == 3, F.col("frequency"))).alias("frequency"), key(region).alias("by_region"), key("year").alias("by_year"))
 
 
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

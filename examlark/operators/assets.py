@@ -65,10 +65,12 @@ def hybrid_union(primary: DataFrame, fallback: DataFrame, index: str, hash_: str
     return top.withColumn("hybrid_index", F.row_number().over(Window.orderBy("_o", index))).drop("_o", "_f")
 
 
-def metrics(entries: DataFrame, group: str, width: str, height: str, size: str, expected: Column, tiny_px: int = 12) -> DataFrame:
+def metrics(entries: DataFrame, group: str, width: str, height: str, size: str, expected: Column, near_white: Column | None = None, tiny_px: int = 12) -> DataFrame:
+    """Per group: entries, tiny and nearly white ones, bytes and coverage."""
     w, h = first_number(width), first_number(height)
     return entries.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.count_if((w > 0) & (h > 0) & ((w <= tiny_px) | (h <= tiny_px))).alias("tiny_image_count"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"),
+        F.count_if(F.lit(False) if near_white is None else near_white).alias("near_white_count"),
         coverage(F.count(F.lit(1)), expected).alias("coverage_ratio"),
     )
 

@@ -18,17 +18,28 @@ def upsert(current: DataFrame, catalog: DataFrame, key: str, fields: list[str])
     return j.select(key, *[F.when(F.col("_b").isNull(), F.col(f"_a_{f}")).otherwise(F.col(f"_b_{f}")).alias(f) for f in fields], "action")
 
 
-def insert(current: DataFrame, rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """The new rows with dense ids after the largest so far.
+def numbered(rows: DataFrame, order: list[str], name: str, slices: int = 64) -> DataFrame:
+    """Dense numbers from 1 in an order that tells all rows apart, without bringing the rows together.
+
+    The order is cut into slices at bounds from a sample chosen by hash (at most about 16 for each slice); a row's slice
+    depends on its own values and these bounds alone, so that nothing changes if a task runs again."""
+    key = F.struct(*order)
+    n = rows.count()
+    sample = rows.filter(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (16 * slices)))) == 0).select(*order).distinct().orderBy(*order)
+    found = sample.collect() if n > 1024 * slices else []
+    bounds = found[:: max(1, len(found) // slices)][1:]
+    at = reduce(lambda a, b: a + b, [(key >= F.struct(*[F.lit(v).cast(sample.schema[c].dataType) for c, v in zip(order, r)])).cast("int") for r in bounds], F.lit(0))
+    sliced = rows.withColumn("_s", at)
+    counts = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))  # a row for each slice
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_before")
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy(*order))
+    return sliced.withColumn("_r", rank).join(F.broadcast(before), "_s").withColumn(name, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_s", "_r", "_before")
+
 
-    Ids need one order of all new rows; ranks inside slices of that order and the slices' offsets give it
-    without bringing the rows together."""
+def insert(current: DataFrame, rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """The new rows with dense ids after the largest so far."""
     top = current.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    sliced = rows.repartitionByRange(*order).withColumn("_s", F.spark_partition_id())
-    sliced = sliced.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(*order)))
-    n = sliced.groupBy("_s").agg(F.max("_r").alias("_n"))  # a row for each partition
-    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_before")
-    return sliced.join(F.broadcast(n), "_s").crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("_top") + F.col("_before") + F.col("_r")).cast("bigint")).drop("_s", "_r", "_before", "_top")
+    return numbered(rows, order, id_col).crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("_top") + F.col(id_col)).cast("bigint")).drop("_top")  # one row
 
 
 def update(df: DataFrame, where: Column, values: dict[str, Column], check: Column | None = None) -> DataFrame:
@@ -71,6 +82,14 @@ def modes(wanted: Column, known: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.concat(w, need(["clean", "hybrid"], ["raw"]), need(["hybrid"], ["clean", "picture"]))))
 
 
+def modes_of(text: str, known: list[str]) -> list[str]:
+    """The modes that a comma-separated option names, all if none; an unknown one is an error."""
+    asked = [m.strip() for m in text.split(",") if m.strip()]
+    if unknown := [m for m in asked if m not in known]:
+        raise ValueError(f"unknown modes {unknown}, known are {known}")
+    return asked or list(known)
+
+
 def comment_ddl(table: str, comment: str, columns: dict[str, str]) -> list[str]:
     """COMMENT statements, quotes doubled as Spark SQL escapes them."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -93,6 +112,21 @@ def drop_ddl(table: str) -> str:
     return f"DROP TABLE IF EXISTS `{table}`"
 
 
+def drop_all_ddl(references: dict[str, list[str]]) -> list[str]:
+    """Drops of all tables, those that reference others first."""
+    return [drop_ddl(t) for t in reversed(create_order(references))]
+
+
+def clear_comments_ddl(table: str, columns: list[str]) -> list[str]:
+    """Takes the comments of a table and its columns away."""
+    return [f"COMMENT ON TABLE `{table}` IS NULL", *[f"ALTER TABLE `{table}` ALTER COLUMN `{c}` COMMENT ''" for c in columns]]
+
+
+def cluster_ddl(table: str, columns: list[str]) -> str:
+    """What Spark has in place of an index: the rows of each key together in files, for pruning."""
+    return f"ALTER TABLE `{table}` CLUSTER BY ({', '.join(f'`{c}`' for c in columns)})"
+
+
 def create_order(references: dict[str, list[str]]) -> list[str]:
     """Tables in an order in which those that they reference come first, as far as there are no cycles."""
     done: list[str] = []

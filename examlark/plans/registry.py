@@ -7,8 +7,6 @@ orders and lineitem for sessions and questions, region > nation > customer for t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +14,12 @@ from examlark.functions import contracts as C
 from examlark.functions import scalars as S
 from examlark.operators import analytics as A
 from examlark.operators import assets, bindings, matching, prompts, tables, versions
+from examlark.plans import packages  # noqa: F401  its queries register themselves
+from examlark.plans.base import ORACLE_SQL, QUERIES, query
 from examlark.sources import files
 from examlark.sources.config import scan
 from examlark.streaming import events as stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def _versions(s: SparkSession, d: str) -> DataFrame:
     c = scan(s, d, "conversations", ["conv_id", "turn", "role", "text"])
     return c.select("conv_id", (F.col("turn") + 1).alias("version"), F.when(F.col("role") == "assistant", "published").otherwise("draft").alias("status"), "text")
@@ -261,10 +246,25 @@ def polymorphic_join(s: SparkSession, d: str) -> DataFrame:
     return tables.polymorphic(links, kinds, "kind", "ref").select("doc_id", "kind", "target_label")
 
 
-@query("""SELECT * FROM (VALUES (1, 'clean,raw'), (2, 'clean,hybrid,picture,raw'), (3, 'raw'), (4, 'clean,hybrid,object,picture,raw')) t(id, modes)""")
+M_SQL = "SELECT c_custkey AS id, list_filter([CASE WHEN c_custkey % 2 = 1 THEN 'raw' END, CASE WHEN c_custkey // 2 % 2 = 1 THEN 'clean' END, CASE WHEN c_custkey // 4 % 2 = 1 THEN 'picture' END, CASE WHEN c_custkey // 8 % 2 = 1 THEN 'object' END, CASE WHEN c_custkey // 16 % 2 = 1 THEN 'hybrid' END], lambda x: x IS NOT NULL) AS w FROM customer"
+MODES = ["raw", "clean", "picture", "object", "hybrid"]
+
+
+def _wanted(s: SparkSession, d: str) -> DataFrame:
+    bits = F.array(*[F.when(F.shiftright("c_custkey", i).bitwiseAND(1) == 1, m) for i, m in enumerate(MODES)])
+    return scan(s, d, "customer", ["c_custkey"]).select(F.col("c_custkey").alias("id"), F.filter(bits, lambda x: x.isNotNull()).alias("wanted"))
+
+
+@query(f"""SELECT id, array_to_string(list_sort(list_distinct(CASE WHEN len(w) = 0 THEN ['raw', 'clean', 'picture', 'object', 'hybrid']
+ ELSE w || CASE WHEN list_has_any(w, ['clean', 'hybrid']) THEN ['raw'] ELSE [] END || CASE WHEN list_contains(w, 'hybrid') THEN ['clean', 'picture'] ELSE [] END END)), ',') AS modes FROM ({M_SQL})""")
 def mode_closure(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(1, ["clean"]), (2, ["hybrid"]), (3, ["raw"]), (4, [])], "id int, wanted array<string>")
-    return rows.select("id", F.concat_ws(",", tables.modes(F.col("wanted"), ["raw", "clean", "picture", "object", "hybrid"])).alias("modes"))
+    return _wanted(s, d).select("id", F.concat_ws(",", tables.modes(F.col("wanted"), MODES)).alias("modes"))
+
+
+@query(f"SELECT id, array_to_string(list_filter(w || CASE WHEN id % 3 = 0 THEN ['odd'] ELSE [] END, lambda x: x IN ('odd', 'object')), ',') AS unknown FROM ({M_SQL})")
+def mode_errors(s: SparkSession, d: str) -> DataFrame:
+    w = _wanted(s, d).withColumn("wanted", F.concat("wanted", F.when(F.col("id") % 3 == 0, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))))
+    return w.select("id", F.concat_ws(",", tables.array_difference(F.col("wanted"), F.array(*map(F.lit, ["raw", "clean", "picture", "hybrid"])))).alias("unknown"))
 
 
 # assets -------------------------------------------------------------------------------------------
@@ -313,9 +313,9 @@ def hybrid_union(s: SparkSession, d: str) -> DataFrame:
     return assets.hybrid_union(e.filter("src = 'src1'").drop("src"), e.filter("src IS DISTINCT FROM 'src1'").drop("src"), "doc_id", "hash", 60, 2000).select("doc_id", "hash", "source", "hybrid_index")
 
 
-@query(f"""SELECT source, count(*) AS n, count(*) FILTER (width > 0 AND height > 0 AND (width <= 12 OR height <= 12)) AS tiny_image_count, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, round_even(CAST(count(*) AS DOUBLE) / 64, 4) AS coverage_ratio FROM {E_SQL} GROUP BY source""")
+@query(f"""SELECT source, count(*) AS n, count(*) FILTER (width > 0 AND height > 0 AND (width <= 12 OR height <= 12)) AS tiny_image_count, count(*) FILTER (white AND NOT gone) AS near_white_count, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, round_even(CAST(count(*) AS DOUBLE) / 64, 4) AS coverage_ratio FROM {E_SQL} GROUP BY source""")
 def coverage_ratio(s: SparkSession, d: str) -> DataFrame:
-    return assets.metrics(_entries(s, d), "source", "width", "height", "n_chars", F.lit(64))
+    return assets.metrics(_entries(s, d), "source", "width", "height", "n_chars", F.lit(64), F.col("white") & ~F.col("gone"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS succeeded, count(*) FILTER (event_type NOT IN ('click', 'error')) AS skipped, count(*) FILTER (event_type = 'error') AS failed, CAST(sum(user_id) AS BIGINT) AS amount FROM events""")
@@ -331,7 +331,8 @@ def suffix_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '/[0-9]+') ORDER BY url, page_id LIMIT 50")
 def doc_scan_limit(s: SparkSession, d: str) -> DataFrame:
-    return scan(s, d, "pages", ["page_id", "url"]).filter(F.lower("url").rlike("/[0-9]+")).orderBy("url", "page_id").limit(50)
+    p = scan(s, d, "pages", ["page_id", "url"]).withColumn("path", F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/page.HTML")))
+    return files.listing(p.filter(F.lower("url").rlike("/[0-9]+")), "*.HTML", 50, [".html"], ["url", "page_id"]).select("page_id", "url")
 
 
 # scalars and contracts ----------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,21 @@ def scan(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None
 
 
 def catalog(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
-    """A list in the program as a small table, to be broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A list in the program as a table, which is broadcast if it is small."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= 10_000 else table
 
 
 def first_existing(*candidates: str | None) -> str | None:
     return next((c for c in candidates if c), None)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, from the folder that spark.checkpoint.dir names; a temporary one only on a local master."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="examlark-"))
+    return df.checkpoint()

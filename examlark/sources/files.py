@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlark.functions.scalars import IMAGE_SUFFIXES, suffix
+from examlark.functions.scalars import IMAGE_SUFFIXES, safe_stem, suffix
 
 #: Suffixes of documents, and the body's elements that are counted.
 DOCUMENT_SUFFIXES = [".doc", ".docx"]
@@ -19,11 +20,21 @@ ELEMENTS = ["object", "pict", "shape", "imagedata", "OLEObject", "oMath", "oMath
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+def listing(files: DataFrame, pattern: str = "*", limit: int = 0, suffixes: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows with a path, by suffix (any case) and glob of the name, in order; limit 0 is none."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    got = files.filter(suffix("path").isin(*(suffixes or DOCUMENT_SUFFIXES)) & name.rlike(fnmatch.translate(pattern).replace("\\Z", "$").replace("\\z", "$")))
+    return got.orderBy(*(order or ["path"])).limit(limit) if limit else got
+
+
 def collect_documents(spark: SparkSession, folder: str, pattern: str = "*", limit: int = 0, suffixes: list[str] | None = None) -> DataFrame:
     """Files of a folder (not of its subfolders) by suffix and glob, in order of path; limit 0 is none. A missing folder raises."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
-    got = files.filter(suffix("path").isin(*(suffixes or DOCUMENT_SUFFIXES)))
-    return got.orderBy("path").limit(limit) if limit else got
+    got = listing(files, limit=0, suffixes=suffixes)
+    if not limit:
+        return got
+    first = listing(got.select("path"), "*", limit, suffixes)  # the contents are not sorted with their paths
+    return got.join(F.broadcast(first) if limit <= 100_000 else first, "path", "left_semi")
 
 
 PROFILE = "path string, status string, reason string, counts map<string,bigint>, media array<struct<name:string,bytes:bigint,hash:string>>, ole_count int, objects array<struct<index:int,prog_id:string,shape_id:string,image_rel_id:string>>"
@@ -33,8 +44,8 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def profile_package(content: bytes, samples: int = 12) -> dict[str, object]:
-    """Element counts of the body, the first objects, and what a package embeds."""
+def profile_package(content: bytes, samples: int = 12, visit: Callable[[ElementTree.Element, str], None] | None = None) -> dict[str, object]:
+    """Element counts of the body, the first objects, and what a package embeds; visit, if given, sees every element and its name."""
     import hashlib
 
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -46,6 +57,8 @@ def profile_package(content: bytes, samples: int = 12) -> dict[str, object]:
         with z.open("word/document.xml") as body:
             for _, node in ElementTree.iterparse(body):
                 name = _local(node.tag)
+                if visit:
+                    visit(node, name)
                 if name in counts:
                     counts[name] += 1
                 if name == "object" and len(objects) < samples:
@@ -88,3 +101,22 @@ def media_entries(profiles: DataFrame, max_media: int = 80) -> DataFrame:
 
 def suffix_counts(df: DataFrame, name: str, empty: str = "<no_suffix>") -> DataFrame:
     return df.groupBy(suffix(name, empty).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_summaries(profiles: DataFrame, output_root: str) -> DataFrame:
+    """The 14 fields of each document's run; profiles: document_index and the columns of ``package_profiles``."""
+    done = F.col("status") == "success"
+    folder = F.format_string(f"{output_root.rstrip('/')}/%04d_%s", F.col("document_index").cast("int"), safe_stem(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)))
+    images = F.filter("media", lambda x: suffix(x["name"]).isin(*IMAGE_SUFFIXES))
+    count = lambda name: F.when(done, F.coalesce(F.col("counts")[name], F.lit(0))).otherwise(0).cast("int")
+    return profiles.select(
+        F.col("document_index").cast("int").alias("document_index"), F.col("path").alias("source_path"), suffix("path").alias("source_extension"), "status", "reason",
+        F.when(done, F.col("path")).alias("normalized_docx_path"), folder.alias("document_output_dir"), F.when(done, F.concat(folder, F.lit("/assets"))).alias("asset_output_dir"), F.concat(folder, F.lit("/run.log")).alias("log_path"),
+        count("shape").alias("block_count"), count("oMath").alias("omml_formula_count"), count("object").alias("legacy_object_encountered_count"),
+        F.when(done, F.size(images)).otherwise(0).alias("exported_formula_object_image_count"), F.when(done, F.transform(images, lambda x: x["name"])).alias("exported_formula_object_images"),
+    )
+
+
+def ole_only(objects: DataFrame, prog_id: str = "prog_id", class_type: str = "class_type") -> DataFrame:
+    """Objects that name a program or a class; an empty name is none."""
+    return objects.filter(F.coalesce(F.nullif(F.col(prog_id), F.lit("")), F.nullif(F.col(class_type), F.lit(""))).isNotNull())

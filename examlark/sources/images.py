@@ -95,7 +95,15 @@ def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.n
     return np.frombuffer(bytes(out), np.uint8)
 
 
-FIELDS = "width int, height int, bytes bigint, hash string, near_white boolean, box struct<left:int,top:int,right:int,bottom:int>"
+def average_hash(g: np.ndarray | None) -> str | None:
+    """64 bits as hexadecimal digits: which of 8 x 8 sampled pixels are lighter than their mean."""
+    if g is None or not g.size:
+        return None
+    small = g[np.arange(8) * g.shape[0] // 8][:, np.arange(8) * g.shape[1] // 8].astype(np.float64)
+    return np.packbits((small > small.mean()).ravel()).tobytes().hex()
+
+
+FIELDS = "width int, height int, bytes bigint, hash string, near_white boolean, box struct<left:int,top:int,right:int,bottom:int>, phash string"
 
 
 def measure(files: DataFrame, near_white: int = 250, ink: int = 245) -> DataFrame:
@@ -116,7 +124,7 @@ def measure(files: DataFrame, near_white: int = 250, ink: int = 245) -> DataFram
                 g = grey(b)
                 dark = np.argwhere(g <= ink) if g is not None else np.zeros((0, 2))
                 box = dict(zip(("top", "left"), map(int, dark.min(axis=0)))) | dict(zip(("bottom", "right"), map(int, dark.max(axis=0) + 1))) if len(dark) else None
-                rows.append({"path": path, "width": w, "height": h, "bytes": len(b), "hash": hashlib.sha256(b).hexdigest(), "near_white": bool(g is not None and g.size and g.max() >= near_white and g.min() >= max(0, near_white - 10)), "box": box})
+                rows.append({"path": path, "width": w, "height": h, "bytes": len(b), "hash": hashlib.sha256(b).hexdigest(), "near_white": bool(g is not None and g.size and g.max() >= near_white and g.min() >= max(0, near_white - 10)), "box": box, "phash": average_hash(g)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, kind)
