@@ -73,8 +73,10 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """What the budgets choose; a document of two epochs appears twice.
 
     Texts without a word are never chosen; null languages and sources are leaves of their own; equal doc_ids go together."""
-    chosen = mixing.mix(docs, mixing.WEIGHTS, share=0.5)
-    return _renamed(chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # its columns may have the names of new ones
+    chosen = mixing.mix(docs.select("doc_id", "text", "lang", "source", whole), mixing.WEIGHTS, share=0.5)
+    copies = chosen.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
