@@ -31,11 +31,12 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, text: str, k
     q = terms(queries, qkey, text).withColumnRenamed("tf", "qtf")
     vocabulary = q.select("term").distinct()
     small = vocabulary.limit(PROBE_ROWS * 100 + 1).count() <= PROBE_ROWS * 100
-    lengths = docs.select(F.col(dkey), F.size(F.filter(F.split(normal_stem(text), " "), lambda w: w != "")).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    t = terms(docs, dkey, text).join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-    df_ = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = t.join(df_, "term").join(lengths, dkey).crossJoin(F.broadcast(stats))  # one row of statistics
+    words = docs.select(dkey, F.filter(F.split(normal_stem(text), " "), lambda w: w != "").alias("ws"))
+    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ws")).alias("avgdl"))
+    t = words.select(dkey, F.size("ws").alias("dl"), F.explode("ws").alias("term")).join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+    t = t.groupBy(dkey, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df_ = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # no larger than the vocabulary
+    w = t.join(F.broadcast(df_) if small else df_, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = w.select("term", dkey, (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
     return q.join(w, "term").groupBy(qkey, dkey).agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
