@@ -101,26 +101,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
     """Prototypes (unit vectors) by language, from rows that are not held out."""
-    rows = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull())
-    sizes = rows.groupBy(F.col(lang).cast("string").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
-    unit = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.join(F.broadcast(sizes), rows[lang].cast("string") == F.col("_lang")).filter(unit * F.col("_n") < max_train)  # MAX_LANGS rows
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = rows.filter(~held_out("id") & F.col("lang").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    unit = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(F.broadcast(sizes), "lang").filter(unit * F.col("n") < max_train)  # MAX_LANGS rows
 
     @common.tidy
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in common.slices(batch, text, common.CHUNK_BYTES // 2):
-                v = text_vectors(common.column(part, text))
+            for part in common.slices(batch, "text", common.CHUNK_BYTES // 2):
+                v = text_vectors(common.column(part, "text"))
                 norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
                 unit = np.rint(v / np.maximum(norm, 1e-9) * SCALE).astype(np.int64)
-                names = np.array(common.column(part, lang).to_pylist(), object)
+                names = np.array(common.column(part, "lang").to_pylist(), object)
                 for name in set(names.tolist()):
                     sums[name] = sums.get(name, 0) + unit[names == name].sum(axis=0)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = rows.select(F.col(lang).cast("string").alias(lang), text).mapInArrow(bundle, "lang string, v array<bigint>")
+    parts = rows.select("lang", "text").mapInArrow(bundle, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).collect()  # a row of DIM numbers for each of MAX_LANGS languages
     out = {r["lang"]: np.array([p["x"] for p in r["v"]], float) / SCALE for r in found}
