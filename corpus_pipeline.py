@@ -28,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no letter; a null or wrong lang is replaced; if no row has a language, nothing can be
     learnt and every document goes; repeated rows are judged alike; clashing column names pass through."""
-    found = langid.identify(docs, langid.learn(docs), docs.columns, names=("_lang_pred", "_lang_score"))
-    found = found.filter((F.col("_lang_pred") != langid.UND) & (F.col("_lang_score") >= MIN_COSINE))
-    return _renamed(found.withColumn("lang", F.col("_lang_pred").cast(docs.schema["lang"].dataType)), docs.columns)
+    pred, score = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("pred", "score"))  # longer than any other name
+    found = langid.identify(docs, langid.learn(docs), docs.columns, names=(pred, score))
+    found = found.filter((F.col(pred) != langid.UND) & (F.col(score) >= MIN_COSINE))
+    return _renamed(found.withColumn("lang", F.col(pred).cast(docs.schema["lang"].dataType)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
