@@ -82,12 +82,13 @@ def mix(
     The budget is ``share`` of all tokens. Columns of the input with these three names are replaced."""
     new = ("domain", "n_tokens", "copies")
     cols = [c for c in df.columns if c not in new]
-    base = df.select(
+    base = df.filter(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(  # has a token
         F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.coalesce(domain if domain is not None else domain_of(source), F.lit("")).alias("domain"),
         F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("n_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
-    ).filter("n_tokens > 0")
-    light = common.materialize(base.drop("_row"), "token-counts")  # a few bytes for a document, without its text
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
+    )
+    n_tokens = F.regexp_count(F.col(f"_row.`{text}`"), F.lit(WORDS)).cast("bigint")
+    light = common.materialize(base.withColumn("n_tokens", n_tokens).drop("_row"), "token-counts")  # a few bytes for a document, without its text
     leaves = light.groupBy("domain", "lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     leaves = common.materialize(leaves, "leaves")
     given = budgets(leaves, F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(share)), max_epochs, weights)
@@ -116,7 +117,7 @@ def mix(
     chosen = placed(base).join(hint(ends), key, "left")
     part = (F.col("rest") > 0) & (F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut")) | ((F.col("_slice") == F.col("_cut")) & F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False))))
     chosen = chosen.withColumn("copies", F.col("whole") + F.when(part, 1).otherwise(0)).filter("copies > 0")
-    return chosen.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols], *[F.col(c) for c in new])
+    return chosen.withColumn("n_tokens", n_tokens).select(*[F.col(f"_row.`{c}`").alias(c) for c in cols], *[F.col(c) for c in new])  # counted again for what is chosen alone
 
 
 #: Production weights.
