@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +63,9 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vec: str, k:
 
 
 def fuse(text: Column, vector: Column, formula: Column, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> Column:
-    """Weighted sum as DECIMAL(5,4); missing scores are 0."""
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    return F.round(z(text) * weights[0] + z(vector) * weights[1] + z(formula) * weights[2], 4).cast("decimal(5,4)")
+    """Weighted sum of decimals as DECIMAL(5,4), halves up; missing scores are 0."""
+    part = lambda c, w: F.coalesce(c, F.lit(0.0)).cast("decimal(12,8)") * F.lit(Decimal(str(w)))
+    return F.round(part(text, weights[0]) + part(vector, weights[1]) + part(formula, weights[2]), 4).cast("decimal(5,4)")
 
 
 def accept(scored: DataFrame, query: str, candidate: str, score: str, least: float) -> DataFrame:

@@ -426,7 +426,7 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
     return matching.vector_top_k(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
-@query(BM25_SQL + ", top AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS m FROM sc) SELECT item_id, doc_id, CAST(round(coalesce(round(score / m, 6), 0) * 0.5::DOUBLE + (doc_id % 100) / 100.0::DOUBLE * 0.3::DOUBLE + 0.0::DOUBLE * 0.2::DOUBLE, 4) AS DECIMAL(5,4))::DOUBLE AS final_score FROM top")
+@query(BM25_SQL + ", top AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS m FROM sc) SELECT item_id, doc_id, CAST(round(CAST(coalesce(round(score / m, 6), 0) AS DECIMAL(12,8)) * CAST(0.5 AS DECIMAL(2,1)) + CAST((doc_id % 100) / 100.0::DOUBLE AS DECIMAL(12,8)) * CAST(0.3 AS DECIMAL(2,1)), 4) AS DECIMAL(5,4))::DOUBLE AS final_score FROM top")
 def hybrid_match(s: SparkSession, d: str) -> DataFrame:
     sc = _bm25(s, d)
     top = sc.join(sc.groupBy("item_id").agg(F.max("score").alias("m")), "item_id")
