@@ -22,7 +22,7 @@ rows are one document, which is compared once; a null doc_id comes before all ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -333,6 +333,22 @@ def _as(df: DataFrame, old: list[str], new: list[str], *more: Column) -> DataFra
     return df.select(*[F.col(a).alias(b) for a, b in zip(old, new)], *more)
 
 
+def _told_apart(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Sets th to 0 where an id has one text alone, so that a hash travels only where it tells texts apart."""
+    several = common.materialize(docs.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("id"), "several-texts")
+    n = several.limit(common.BROADCAST_KEYS + 1).count()
+    if not n:
+        return lambda df: df.withColumn("th", F.lit(0).cast("bigint"))
+    flags = several.withColumn("_several", F.lit(True))
+    flags = F.broadcast(flags) if n <= common.BROADCAST_KEYS else flags
+
+    def narrow(df: DataFrame) -> DataFrame:
+        th = F.when(F.col("_several"), F.col("th")).otherwise(F.lit(0)).cast("bigint")
+        return df.join(flags, "id", "left").withColumn("th", th).select(*df.columns)
+
+    return narrow
+
+
 def _one_each(docs: DataFrame) -> DataFrame:
     """One of each rows that are equal in id and text."""
     several = common.materialize(docs.groupBy("id", "th").count().filter("count > 1").select("id", "th"), "repeated-rows")
@@ -347,10 +363,12 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     """The input's columns, the text without the lines that go, and `lines_kept` and `lines_removed`, which replace columns of these names."""
     th = F.xxhash64(F.col(text))
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.alias("th"), F.col(text).alias("text"))
-    gone = common.materialize(Lines(_one_each(docs), num, den, min_tokens).removed(), "removed-lines")
+    narrow = _told_apart(docs)
+    gone = common.materialize(Lines(_one_each(narrow(docs)), num, den, min_tokens).removed(), "removed-lines")
     rest = [c for c in df.columns if c != text and c not in ("lines_kept", "lines_removed")]
     names = [f"c{i}" for i in range(len(rest))]
     plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.alias("th"), F.col(text).alias("text"))
+    plain = narrow(plain)
     fields = plain.select(*names).schema.fields
 
     @common.tidy
