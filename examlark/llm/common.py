@@ -88,9 +88,15 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def map_appending(
     df: DataFrame, keep: list[str], text: str, new: str, fn: Callable[[pa.Array], dict[str, pa.Array]], done: Callable[[], None] | None = None
 ) -> DataFrame:
-    """mapInArrow that keeps some columns and appends what fn makes of the text column, a slice of rows at a time; done ends a task."""
-    schema = T.StructType([f for f in df.select(*keep).schema.fields] + T._parse_datatype_string(new).fields)
-    src = df.select(*keep) if text in keep else df.select(*keep, text)
+    """mapInArrow that keeps some columns and appends what fn makes of the text column, a slice of rows at a time; done ends a task.
+
+    A kept column that has the name of a new one (in whatever case) gives way to it."""
+    made = T._parse_datatype_string(new).fields
+    names = {f.name.lower() for f in made}
+    keep = [k for k in keep if k.lower() not in names]
+    read = [F.col(f"`{k}`") for k in keep]
+    schema = T.StructType([f for f in df.select(*read).schema.fields] + made)
+    src = df.select(*read) if text in keep else df.select(*read, text)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,10 @@ from .media import op6_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import op4_mixing
 from .ngram_join import op5_ngram_join
+from .pii import op11_pii
 from .quality import op3_quality
+from .resample import op13_resample
+from .spelling import op12_spelling
 from .substring import op8_substring
 from .topk import SQL as TOPK_SQL
 from .topk import op10_topk
@@ -31,6 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_lines": op9_lines,
     "op10_topk": op10_topk,
+    "op11_pii": op11_pii,
+    "op12_spelling": op12_spelling,
+    "op13_resample": op13_resample,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": MIXING_SQL,
@@ -38,4 +44,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring": sql.SUBSTRING,
     "op9_lines": sql.LINES,
     "op10_topk": TOPK_SQL,
+    "op12_spelling": sql.SPELLING,
+    "op13_resample": sql.RESAMPLE,
 }

@@ -46,3 +46,57 @@ SELECT d.doc_id, CAST(coalesce(kept.n, 0) AS BIGINT) AS lines_kept, CAST(coalesc
        CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN all_ USING (doc_id)
 """
+
+#: CRC-32 of the UTF-8 bytes of a text: the table by its rule, the bytes of each code point by its range.
+_CRC_TABLE = "(SELECT list(t ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS t FROM range(256) r(i)))"
+_BYTES = (
+    "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] WHEN unicode(x) < 2048 THEN [192 + unicode(x) // 64, 128 + unicode(x) % 64]"
+    " WHEN unicode(x) < 65536 THEN [224 + unicode(x) // 4096, 128 + unicode(x) // 64 % 64, 128 + unicode(x) % 64]"
+    " ELSE [240 + unicode(x) // 262144, 128 + unicode(x) // 4096 % 64, 128 + unicode(x) // 64 % 64, 128 + unicode(x) % 64] END))"
+)
+
+
+def crc32(text: str, table: str = "tab.t") -> str:
+    """DuckDB expression; a CROSS JOIN with ``tab`` (one row) is needed."""
+    step = f"xor(c // 256, {table}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_BYTES.format(text)}, lambda y: y::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+SPELLING = rf"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform({_CRC_TABLE}, lambda v: v::BIGINT) AS t),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, {_LOWER.replace("coalesce(text, '')", "w")} AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS w FROM documents)),
+h AS (SELECT w, {crc32("d || ':' || w")} AS h FROM r, tab),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word FROM h),
+words AS MATERIALIZED (SELECT word, count(*) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON c.d = w.word
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON c.d = w.word
+),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS b FROM near GROUP BY word),
+form AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * n THEN -b[1] END AS form_n FROM words LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM form UNION ALL SELECT path.word, form.form FROM path JOIN form ON form.word = path.at WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, path.at AS root, form.n, form.n_near, form.form_n
+FROM form JOIN path ON path.word = form.word JOIN form last ON last.word = path.at AND last.form IS NULL
+"""
+
+_FEATURES = rf"""
+  SELECT k, f FROM (SELECT k, unnest(w) AS f FROM {{0}}) UNION ALL
+  SELECT k, w[i] || ' ' || w[i + 1] FROM (SELECT k, w, unnest(range(1, len(w))) AS i FROM {{0}})
+"""
+RESAMPLE = rf"""
+WITH tab AS MATERIALIZED (SELECT list_transform({_CRC_TABLE}, lambda v: v::BIGINT) AS t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT row_number() OVER () AS k, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS MATERIALIZED ({_FEATURES.format("d")}), gf AS MATERIALIZED ({_FEATURES.format("g")}),
+b AS MATERIALIZED (SELECT f, {crc32("f")} % 10000 AS b FROM (SELECT f FROM df UNION SELECT f FROM gf), tab),
+s AS (SELECT b, count(*) AS s FROM df JOIN b USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM gf JOIN b USING (f) GROUP BY b),
+gain AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((s.s + 1)::DOUBLE * ((SELECT count(*) FROM gf) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+w AS (SELECT k, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM df JOIN b USING (f) JOIN gain USING (b) GROUP BY k),
+x AS (SELECT doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT)::DOUBLE AS h FROM d LEFT JOIN w USING (k)),
+y AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_words >= 20 AND r <= n * 25 // 100 THEN r END AS rank FROM z
+"""
