@@ -75,11 +75,6 @@ def knowledge_edges(df: DataFrame, parsed: str, key: str) -> tuple[DataFrame, Da
     return v, e.select(key, "source", "target", "type")
 
 
-def count_nodes(js: Column | str, kind: str = "formula") -> Column:
-    """How often a node says "type": kind, at any depth of a JSON document."""
-    return F.regexp_count(F.col(js) if isinstance(js, str) else js, F.lit(rf'"type"\s*:\s*"{kind}"'))
-
-
 #: States of an answer, of its correctness, and of a learner's mastery.
 ANSWER_STATES, CORRECTNESS, MASTERY = ["answered", "uncertain", "unanswered"], ["correct", "incorrect", "uncertain", "unknown"], ["mastered", "partial", "weak", "unknown"]
 
@@ -89,9 +84,8 @@ def _given(c: Column) -> Column:
 
 
 def regions_ok(r: Column, types: list[str]) -> Column:
-    """At least one question; each with a number, a known type, and four corners in 0..1000."""
-    corners = lambda q: [q["points"][n] for n in ("top_left", "top_right", "bottom_right", "bottom_left")]
-    good = lambda q: F.coalesce(_given(q["number"]) & q["type"].isin(*types) & _point_ok(corners(q)[0]) & _point_ok(corners(q)[1]) & _point_ok(corners(q)[2]) & _point_ok(corners(q)[3]), F.lit(False))
+    """At least one question; each with a number, a known type, and four corners in 0..1000 that form a convex shape."""
+    good = lambda q: F.coalesce(_given(q["number"]) & q["type"].isin(*types) & corners_ok(q["points"]), F.lit(False))
     return F.coalesce((F.size(r["questions"]) > 0) & F.forall(r["questions"], good), F.lit(False))
 
 

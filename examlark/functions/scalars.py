@@ -30,9 +30,12 @@ def parse_version(v: Column | str) -> Column:
 
 
 def safe_int(v: Column | str) -> Column:
-    """An integer literal's value, or null."""
+    """The value of an integer literal; of a number, its whole part; else null."""
     text = F.trim(col(v).cast("string"))
-    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
+    literal = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
+    number = col(v).try_cast("double")
+    kind = F.typeof(col(v))
+    return F.when(kind.rlike("^(double|float|decimal|boolean)"), F.when(~F.isnan(number), number.try_cast("int"))).otherwise(literal)
 
 
 def safe_stem(v: Column | str) -> Column:
@@ -134,12 +137,19 @@ def natural_key(number: Column | str) -> Column:
     return F.nullif(F.regexp_extract(col(number).cast("string"), "([0-9]+)", 1), F.lit("")).try_cast("int")
 
 
-def expand_range(number: Column | str) -> Column:
-    """'1-5' -> [1, 2, 3, 4, 5]; '7' -> [7]; anything else -> []."""
+def range_bounds(number: Column | str) -> Column:
+    """'1-5' -> (1, 5); '7' -> (7, 7); anything else, and a range that runs backwards, -> null. For joins by range, which need no list."""
     n = F.trim(col(number))
-    lo = F.regexp_extract(n, r"^([0-9]+)(?:\s*[-~]\s*([0-9]+))?$", 1).try_cast("int")
-    hi = F.coalesce(F.nullif(F.regexp_extract(n, r"^([0-9]+)(?:\s*[-~]\s*([0-9]+))?$", 2), F.lit("")).try_cast("int"), lo)
-    return F.when(lo.isNotNull() & (hi >= lo) & (hi - lo < 1000), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    part = lambda i: F.nullif(F.regexp_extract(n, r"^([0-9]+)(?:\s*[-~]\s*([0-9]+))?$", i), F.lit(""))
+    lo = part(1).try_cast("int")
+    hi = F.when(part(2).isNull(), lo).otherwise(part(2).try_cast("int"))
+    return F.when(hi >= lo, F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def expand_range(number: Column | str) -> Column:
+    """'1-5' -> [1, 2, 3, 4, 5]; '7' -> [7]; anything else -> []. Ranges of any length are spread out: join very long ones by ``range_bounds``."""
+    r = range_bounds(number)
+    return F.when(r.isNotNull(), F.sequence(r["lo"], r["hi"])).otherwise(F.array().cast("array<int>"))
 
 
 def to_bytes(numbers: Column | str) -> Column:
@@ -147,32 +157,6 @@ def to_bytes(numbers: Column | str) -> Column:
     return F.unhex(F.array_join(F.transform(col(numbers), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), ""))
 
 
-#: LaTeX commands and their linear signs.
-LATEX_SIGNS = {r"\times": "*", r"\cdot": "*", r"\div": "/", r"\leq": "<=", r"\geq": ">=", r"\neq": "!=", r"\pm": "+-"}
-
-
-def latex_to_linear(latex: Column | str) -> Column:
-    """One line for a formula without nested braces: fractions, roots, powers and indices in brackets, no white space."""
-    out = F.regexp_replace(col(latex), r"\\left|\\right|\\,|\s+", "")
-    out = F.regexp_replace(out, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)")
-    out = F.regexp_replace(out, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
-    out = F.regexp_replace(out, r"([\^_])\{([^{}]*)\}", "$1($2)")
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LATEX_SIGNS.items(), out)
-
-
-def mathml_to_linear(mathml: Column | str) -> Column:
-    """The same for MathML whose fractions, roots, powers and indices hold single tokens or flat rows."""
-    out = F.regexp_replace(col(mathml), r">\s+<", "><")
-    out = F.regexp_replace(out, r"</?(?:math|mi|mn|mo)(?:\s[^>]*)?>", "\u0001")  # token borders
-    out = F.regexp_replace(out, "\u0001+", "\u0001")
-    part = "\u0001?([^<\u0001]*)\u0001?"
-    out = F.regexp_replace(out, r"<mrow>(.*?)</mrow>", "\u0001$1\u0001")
-    for tag, to in (("mfrac", "($1)/($2)"), ("msup", "$1^($2)"), ("msub", "$1_($2)")):
-        out = F.regexp_replace(out, f"<{tag}>\u0001*([^<\u0001]+)\u0001+([^<\u0001]+)\u0001*</{tag}>", to)
-    out = F.regexp_replace(out, f"<msqrt>{part}</msqrt>", "sqrt($1)")
-    return F.regexp_replace(out, "[\u0001\\s]", "")
-
-
 def formula_signature(linear: Column) -> Column:
     """A hash of the linear form that does not see white space, case or how multiplication is written."""
     return F.sha2(F.lower(F.regexp_replace(linear, r"[\s*]+", "")), 256)

@@ -36,8 +36,34 @@ def job_metrics(df: DataFrame, stage: str, status: str, start: str, end: str) ->
 
 
 def in_section(questions: DataFrame, sections: DataFrame, paper: str, number: Column, lo: str, hi: str) -> DataFrame:
-    """Range join inside a paper: an equi-join on the paper, the range as its condition."""
-    return questions.withColumn("_n", number).join(sections, paper).filter(F.col("_n").between(F.col(lo), F.col(hi))).drop("_n")
+    """Range join inside a paper: a row for each question and section of its paper with lo <= number <= hi.
+
+    An interval index: a section is the union of at most two aligned ranges of 2^l numbers for each l, and a question lies in one
+    such range for each l. Both meet on paper, l and range, an equi-join that compares nothing it does not return: sections may
+    overlap, have any length, and a single paper may hold all rows. Questions have rows for those l alone that
+    sections use (32 at most). Null and negative numbers lie in no section; a section that ends before it starts is empty."""
+    pieces = sections.withColumn("_r", aligned(F.col(lo), F.col(hi))).withColumn("_r", F.explode("_r")).select(*sections.columns, F.col("_r.level").alias("_level"), F.col("_r.place").alias("_place"))
+    used = sorted(r["_level"] for r in pieces.select("_level").distinct().collect())  # 32 at most
+    at = questions.withColumn("_n", number.cast("bigint")).filter("_n >= 0").withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
+    at = at.withColumn("_place", F.expr("shiftright(_n, _level)"))
+    return at.join(pieces, [paper, "_level", "_place"]).drop("_n", "_level", "_place")
+
+
+def aligned(lo: Column, hi: Column) -> Column:
+    """The ranges of 2^level numbers, (level, place) from place * 2^level on, whose union is lo..hi: at each level the odd ends."""
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
+    piece = lambda level, place: F.struct(level.cast("int").alias("level"), place.cast("bigint").alias("place"))
+
+    def step(s: Column, level: Column) -> Column:
+        a, b, got = s["a"], s["b"], s["got"]
+        live = a < b
+        left, right = live & (a % 2 == 1), live & (b % 2 == 1)
+        got = F.concat(got, F.when(left, F.array(piece(level, a))).otherwise(none), F.when(right & (b - 1 >= F.when(left, a + 1).otherwise(a)), F.array(piece(level, b - 1))).otherwise(none))
+        return F.struct(F.floor((F.when(left, a + 1).otherwise(a)) / 2).cast("bigint").alias("a"), F.floor((F.when(right, b - 1).otherwise(b)) / 2).cast("bigint").alias("b"), got.alias("got"))
+
+    start = F.struct(F.greatest(lo, F.lit(0)).cast("bigint").alias("a"), (hi.cast("bigint") + 1).alias("b"), none.alias("got"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(32)), start, step, lambda s: s["got"])
+    return F.when(lo.isNotNull() & hi.isNotNull(), found).otherwise(none)
 
 
 def visible(tenant: str, own: object) -> Column:
@@ -52,7 +78,8 @@ def licensed(flag: Column, expires: str, as_of: Column, *more: Column) -> Column
 
 def paths(nodes: DataFrame, node: str, parent: str, label: str, depth: int = 1 << 20, sep: str = "/") -> DataFrame:
     """Every node's path from its root, and its depth: each step doubles the number of ancestors that a path holds, so that
-    a tree of depth d takes log2 d joins. Nodes that no root reaches are left out; a tree deeper than ``depth`` is an error."""
+    a tree of depth d takes log2 d joins. A node whose parent is missing, and those below it, have a null path and depth; a
+    tree deeper than ``depth``, or a cycle, is an error."""
     c = F.col
     now = nodes.select(c(node).alias("_id"), c(parent).alias("_up"), c(label).cast("string").alias("path"), F.lit(0).alias("depth"))
     for _ in range(max(1, depth).bit_length() + 1):
@@ -60,7 +87,9 @@ def paths(nodes: DataFrame, node: str, parent: str, label: str, depth: int = 1 <
         if now.filter("_up IS NOT NULL").isEmpty():
             return now.select(c("_id").alias(node), "path", "depth")
         up = now.select(c("_id").alias("_up"), c("_up").alias("_next"), c("path").alias("_p"), c("depth").alias("_d"))
-        step = now.filter("_up IS NOT NULL").join(up, "_up").select("_id", c("_next").alias("_up"), F.concat_ws(sep, "_p", "path").alias("path"), (c("depth") + c("_d") + 1).alias("depth"))
+        far = now.filter("_up IS NOT NULL").join(up.withColumn("_there", F.lit(True)), "_up", "left")
+        there = c("_there") & c("_d").isNotNull()  # else its parent, or one further up, is missing
+        step = far.select("_id", F.when(there, c("_next")).alias("_up"), F.when(there, F.concat_ws(sep, "_p", "path")).alias("path"), F.when(there, c("depth") + c("_d") + 1).alias("depth"))
         now = now.filter("_up IS NULL").unionByName(step)
     raise ValueError(f"the tree is deeper than {depth}, or has a cycle")
 

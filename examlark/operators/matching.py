@@ -52,11 +52,13 @@ def top_k(scored: DataFrame, query: str, candidate: str, score: str, k: int) ->
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     """Cosine top-k of a query set of any size: the queries, counted first, are broadcast; more than PROBE_ROWS meet the
-    vectors in blocks of about that many, each block with each partition of the vectors in a task."""
+    vectors in blocks of about that many, each block with each partition of the vectors in a task.
+
+    A vector of norm zero has no cosine: it is no candidate, and as a query it has no row."""
     n = queries.count()
     norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("q"), norm(vec).alias("qn"))
-    c = vectors.select(key, F.col(vec).alias("v"), norm(vec).alias("vn"))
+    q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("q"), norm(vec).alias("qn")).filter("qn > 0")
+    c = vectors.select(key, F.col(vec).alias("v"), norm(vec).alias("vn")).filter("vn > 0")
     few = F.broadcast(q) if n <= PROBE_ROWS else q.repartition(-(-n // PROBE_ROWS)).hint("shuffle_replicate_nl")
     s = c.join(few, F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot("q", "v") / (F.col("qn") * F.col("vn")), 6).alias("score"))
     return top_k(s, "query_id", key, "score", k)
@@ -74,8 +76,23 @@ def accept(scored: DataFrame, query: str, candidate: str, score: str, least: flo
     return best.select(query, F.negative(F.col("b.c")).alias(candidate), F.col(f"b.{score}").alias(score), (F.col(f"b.{score}") >= least).alias("accepted"))
 
 
-def blocked_pairs(df: DataFrame, key: str, block: list[str], score: Column, least: float, columns: list[str]) -> DataFrame:
-    """Pairs i < j inside a block whose score (over a.* and b.*) reaches a threshold."""
-    a, b = df.select(key, *block, *columns).alias("a"), df.select(key, *block, *columns).alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block] + [F.col(f"a.{key}") < F.col(f"b.{key}")]
-    return a.join(b, on).withColumn("pair_score", score).filter(F.col("pair_score") >= least).select(F.col(f"a.{key}").alias("source_id"), F.col(f"b.{key}").alias("target_id"), "pair_score")
+def blocked_pairs(df: DataFrame, key: str, block: list[str], score: Column, least: float, columns: list[str], near: tuple[str, float] | None = None) -> DataFrame:
+    """Pairs i < j inside a block whose score (over a.* and b.*) reaches a threshold.
+
+    near: a numeric column, and the most it may differ by in such a pair. A block is then cut into slices of that width and
+    a row meets its own slice and the next alone, so that a block with very many rows is many keys, and what is
+    compared grows with what is found. Where the column is null, a row has no pair."""
+    a, b = df.select(key, *block, *columns), df.select(key, *block, *columns)
+    on = list(block)
+    if near:  # two rows are in one slice, or in neighbours: each pair meets once
+        slice_ = F.floor(F.col(near[0]) / F.lit(near[1])).alias("_slice")
+        a, b = a.select("*", F.explode(F.array(slice_, slice_ + 1)).alias("_slice"), slice_.alias("_own")), b.select("*", slice_, slice_.alias("_own"))
+        on.append("_slice")
+    a, b = a.alias("a"), b.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
+    ordered = F.col(f"a.{key}") < F.col(f"b.{key}")
+    if near:  # of neighbours, either may have the smaller key
+        ordered = ordered | ((F.col("a._own") != F.col("b._own")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
+        pairs = a.join(b, [*on, ordered]).withColumn("pair_score", score).filter(F.col("pair_score") >= least)
+        return pairs.select(F.least(F.col(f"a.{key}"), F.col(f"b.{key}")).alias("source_id"), F.greatest(F.col(f"a.{key}"), F.col(f"b.{key}")).alias("target_id"), "pair_score")
+    return a.join(b, [*on, ordered]).withColumn("pair_score", score).filter(F.col("pair_score") >= least).select(F.col(f"a.{key}").alias("source_id"), F.col(f"b.{key}").alias("target_id"), "pair_score")

@@ -14,16 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlark.functions import contracts as C
+from examlark.functions import formulas
 from examlark.functions import scalars as S
 from examlark.operators import analytics as A
-from examlark.operators import tables
+from examlark.operators import hashes, relations, tables, trees
 from examlark.plans.base import query
-from examlark.sources import files, images
-from examlark.sources.config import scan
+from examlark.sources import extract, files, images
+from examlark.sources.config import cut, scan, work_folder
 
 # packages -----------------------------------------------------------------------------------------
 
@@ -99,38 +100,157 @@ def document_summary(s: SparkSession, d: str) -> DataFrame:
     return files.document_summaries(profiles, "/out").withColumn("exported_formula_object_images", F.when(F.col("status") == "success", F.array_join("exported_formula_object_images", ",")))
 
 
+def _illustrated(key: int, text: str | None) -> bytes:
+    """A zip with up to three pictures of this document and its neighbours, one broken, and other members."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<d>{len(text or '')}</d>")
+        for i in range(key % 4):
+            z.writestr(f"word/media/image{i + 1}{'.bmp' if (key + i) % 2 == 0 else '.PNG'}", _picture(key + i, text))
+        if key % 7 == 0:
+            z.writestr("word/media/z.wmf", "broken")
+        z.writestr("word/media/note.txt", "x")
+    return out.getvalue()
+
+
+@query("""WITH d AS (SELECT doc_id AS k FROM documents WHERE doc_id % 10 > 1),
+m AS (SELECT k, i + 1 AS index, 'word/media/image' || (i + 1) || CASE WHEN (k + i) % 2 = 0 THEN '.bmp' ELSE '.PNG' END AS source_name, CASE WHEN (k + i) % 2 = 0 THEN '.bmp' ELSE '.png' END AS source_suffix, '.png' AS normalized_suffix, 20 + (k + i) % 40 AS width, 15 + (k + i) % 30 AS height, (k + i) % 3 = 0 AS near_white FROM (SELECT k, unnest(range(0, k % 4)) AS i FROM d)
+ UNION ALL SELECT k, k % 4 + 1, 'word/media/z.wmf', '.wmf', '.wmf', NULL, NULL, false FROM d WHERE k % 7 = 0)
+SELECT k || '.docx' AS package, index, source_name, source_suffix, normalized_suffix, 'current_' || lpad(index::VARCHAR, 4, '0') || normalized_suffix AS target, width, height, near_white FROM m""")
+def package_export(s: SparkSession, d: str) -> DataFrame:
+    """Packages written to the shared folder, read as a source member by member; their pictures normalised, written under
+    numbered names, and measured as they are read back."""
+    from examlark.sources import packages as source
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                keys, texts = (c.slice(at, 256).to_pylist() for c in batch.columns)
+                name = [f"{k}.{'doc' if k % 10 == 0 else 'docx'}" for k in keys]
+                content = [b"no zip" if k % 10 == 1 else _illustrated(k, t) for k, t in zip(keys, texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(content, pa.binary())], names=["name", "content"])
+
+    folder = work_folder(s, "packages")
+    source.write_packages(scan(s, d, "documents", ["doc_id", "text"]).mapInArrow(run, "name string, content binary"), f"{folder}/in")
+    media = source.read(s, f"{folder}/in", members="word/media/*", content=True)
+    done = cut(source.export_media(media, f"{folder}/out"))
+    back = images.measure(s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/out"))
+    tail = lambda c: F.regexp_extract(c, "([^/]+/[^/]+)$", 1).alias("_tail")
+    big = lambda c: F.col(c).cast("bigint").alias(c)
+    both = done.withColumn("_tail", tail("output_path")).join(back.select(tail("path"), "width", "height", "near_white"), "_tail")
+    return both.select(F.regexp_extract("path", "([^/]+)$", 1).alias("package"), big("index"), "source_name", "source_suffix", "normalized_suffix", F.regexp_extract("output_path", "([^/]+)$", 1).alias("target"), big("width"), big("height"), "near_white")
+
+
+# extractors ---------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, CAST(i AS INTEGER) AS position, replace(replace(replace(replace(replace(h[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS href, contains(h[i], '://') AS is_absolute
+FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages))""")
+def page_links(s: SparkSession, d: str) -> DataFrame:
+    return extract.extract(scan(s, d, "pages", ["page_id", "html"]), "links", "html").drop("html")
+
+
+@query(r"""SELECT page_id, element, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS element FROM pages) GROUP BY ALL""")
+def page_elements(s: SparkSession, d: str) -> DataFrame:
+    """Elements as a parser of HTML meets them, which knows that scripts hold none."""
+    return extract.extract(scan(s, d, "pages", ["page_id", "html"]), "elements", "html").select("page_id", "element", "n")
+
+
+# relations ----------------------------------------------------------------------------------------
+
+EDGE_SQL = """e AS (SELECT p_partkey // 2 AS source, p_partkey AS target FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey >= 3 AND p_partkey % 5 = 0
+ UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 97 = 96 UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 389 = 388)"""
+
+
+def _prerequisites(s: SparkSession, d: str) -> DataFrame:
+    """Which part leads to which: a tree, with some shortcuts and some ways back."""
+    p = F.col("p_partkey")
+    half, third, quarter = (F.floor(p / n).cast("bigint") for n in (2, 3, 4))
+    ways = F.array(F.when(p >= 2, F.struct(half.alias("source"), p.alias("target"))), F.when((p >= 3) & (p % 5 == 0), F.struct(third.alias("source"), p.alias("target"))), F.when(p % 97 == 96, F.struct(p.alias("source"), half.alias("target"))), F.when(p % 389 == 388, F.struct(p.alias("source"), quarter.alias("target"))))
+    return scan(s, d, "part", ["p_partkey"]).select(F.inline(F.filter(ways, lambda x: x.isNotNull())))
+
+
+@query(f"""WITH RECURSIVE {EDGE_SQL}, r AS (SELECT source, target, 1 AS distance FROM e UNION SELECT r.source, e.target, r.distance + 1 FROM r JOIN e ON e.source = r.target WHERE r.distance < 24)
+SELECT source, target, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY ALL""")
+def knowledge_closure(s: SparkSession, d: str) -> DataFrame:
+    """What each entity leads to, and in how many steps."""
+    return relations.closure(_prerequisites(s, d))
+
+
+@query(f"""WITH RECURSIVE {EDGE_SQL}, r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.target),
+back AS (SELECT a.source AS node, min(a.target) AS cycle FROM r a JOIN r b ON b.source = a.target AND b.target = a.source GROUP BY 1),
+bad AS (SELECT node FROM back UNION SELECT target FROM r WHERE source IN (SELECT node FROM back)),
+n AS (SELECT source AS node FROM e UNION SELECT target FROM e),
+l AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT target FROM e) UNION SELECT e.target, l.level + 1 FROM l JOIN e ON e.source = l.node WHERE e.target NOT IN (SELECT node FROM bad))
+SELECT n.node, CAST(max(l.level) AS INTEGER) AS level, any_value(back.cycle) AS cycle FROM n LEFT JOIN l USING (node) LEFT JOIN back USING (node) GROUP BY n.node""")
+def knowledge_levels(s: SparkSession, d: str) -> DataFrame:
+    """Each entity's level, and the cycle that it is on."""
+    e = _prerequisites(s, d)
+    rings = relations.cycles(cut(relations.closure(e)))
+    return relations.levels(e).join(rings.select("node", "cycle"), "node", "left")
+
+
 # images -------------------------------------------------------------------------------------------
 
 
-def _picture(key: int) -> bytes:
-    """White, with a black rectangle for two ids of three: a PNG for odd ids, a 24-bit BMP for others."""
-    w, h = 20 + key % 40, 15 + key % 30
-    px = np.full((h, w), 255, np.uint8)
-    if key % 3:
-        px[3 + key % 5 : 9 + key % 6, 4 + key % 7 : 12 + key % 8] = 0
-    if key % 2:
-        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-        raw = b"".join(b"\0" + r.tobytes() for r in px)
-        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+def _png(px: np.ndarray, kind: int, filters: list[int]) -> bytes:
+    """A PNG of 8-bit pixels (rows x columns x channels); filters of the rows, in turns."""
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    h, w, channels = px.shape
+    rows = px.reshape(h, w * channels).astype(np.int64)
+    left, above = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, channels:], above[1:] = rows[:, :-channels], rows[:-1]
+    corner = np.zeros_like(rows)
+    corner[1:, channels:] = rows[:-1, :-channels]
+    e = left + above - corner
+    nearest = np.stack([left, above, corner])
+    nearest = np.take_along_axis(nearest, np.abs(nearest - e).argmin(axis=0)[None], 0)[0]
+    taken = [np.zeros_like(rows), left, above, (left + above) // 2, nearest]
+    raw = b"".join(bytes([f]) + ((rows[y] - taken[f][y]) & 255).astype(np.uint8).tobytes() for y, f in enumerate(filters[i % len(filters)] for i in range(h)))
+    palette = chunk(b"PLTE", bytes(x for i in range(256) for x in (i, i, i))) if kind == 3 else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + palette + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def _bmp(px: np.ndarray) -> bytes:
+    h, w = px.shape
     rows = b"".join(np.repeat(r, 3).tobytes() + bytes(-3 * w % 4) for r in px[::-1])
     return b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(rows), 0, 54, 40, w, h, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
 
 
-def _pixels(key: int) -> bytes:
-    """8 x 8 grey pixels as a PNG, white where (key + place) is divisible by 3."""
-    px = np.where((key + np.arange(64)) % 3 == 0, 255, 0).astype(np.uint8).reshape(8, 8)
-    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in px))) + chunk(b"IEND", b"")
+def _picture(key: int, text: str | None) -> bytes:
+    """White, with a black rectangle for two ids of three: a PNG for odd ids, some with a transparent border, a 24-bit BMP for others."""
+    w, h = 20 + key % 40, 15 + key % 30
+    px = np.full((h, w), 255, np.uint8)
+    if key % 3:
+        px[3 + key % 5 : 9 + key % 6, 4 + key % 7 : 12 + key % 8] = 0
+    if key % 2 == 0:
+        return _bmp(px)
+    if key % 5:
+        return _png(px[:, :, None], 3 if key % 5 == 1 else 0, [key % 5, 0, 2])
+    alpha = np.zeros((h, w), np.uint8)
+    alpha[1 : h - 2, 2 : w - 1] = 255
+    return _png(np.stack([px, px, px, alpha], axis=2), 6, [1, 4])
+
+
+def _written(key: int, text: str | None) -> bytes:
+    """The whole text as a picture as square as it can be: a grey level for each character, the rest white. PNGs of every filter and kind, and BMPs."""
+    level = [ord(c) % 256 for c in text or ""]
+    w = max(1, int(np.ceil(np.sqrt(len(level)))))
+    h = max(1, -(-len(level) // w))
+    px = np.array(level + [255] * (w * h - len(level)), np.uint8).reshape(h, w)
+    if key % 4 == 0:
+        return _bmp(px)
+    return _png(px[:, :, None], 3, [0, 1]) if key % 4 == 1 else _png(px[:, :, None], 0, [1, 2] if w > 40 else [3, 4, 0]) if key % 4 == 2 else _png(np.stack([px, px, px], axis=2), 2, [2, 1])
 
 
 def _pictures(s: SparkSession, d: str, make) -> DataFrame:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                keys = batch.column(0).slice(at, 1024).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys]), pa.array([make(k) for k in keys], pa.binary())], names=["path", "content"])
+            for at in range(0, batch.num_rows, 256):
+                keys, texts = (c.slice(at, 256).to_pylist() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys]), pa.array([make(k, t) for k, t in zip(keys, texts)], pa.binary())], names=["path", "content"])
 
-    return scan(s, d, "documents", ["doc_id"]).mapInArrow(run, "path string, content binary")
+    return scan(s, d, "documents", ["doc_id", "text"]).mapInArrow(run, "path string, content binary")
 
 
 I_SQL = """(SELECT doc_id AS k, 20 + doc_id % 40 AS w, 15 + doc_id % 30 AS h, 4 + doc_id % 7 AS l, 3 + doc_id % 5 AS t, least(12 + doc_id % 8, 20 + doc_id % 40) AS r, least(9 + doc_id % 6, 15 + doc_id % 30) AS b, doc_id % 3 > 0 AS ink FROM documents)"""
@@ -143,12 +263,12 @@ def image_measure(s: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", big("width"), big("height"), F.when(F.col("doc_id") % 2 == 0, F.col("bytes")).alias("bmp_bytes"), "near_white")
 
 
-@query(f"""SELECT k AS doc_id, greatest(l - 2, 0) AS "left", greatest(t - 2, 0) AS top, least(r + 2, w) AS "right", least(b + 2, h) AS bottom FROM {I_SQL} WHERE ink""")
+@query(f"""SELECT k AS doc_id, CASE WHEN ink THEN greatest(l - 2, al) ELSE al END AS "left", CASE WHEN ink THEN greatest(t - 2, a_t) ELSE a_t END AS top, CASE WHEN ink THEN least(least(r, ar) + 2, ar) ELSE ar END AS "right", CASE WHEN ink THEN least(least(b, ab) + 2, ab) ELSE ab END AS bottom
+FROM (SELECT *, CASE WHEN k % 2 = 1 AND k % 5 = 0 THEN 2 ELSE 0 END AS al, CASE WHEN k % 2 = 1 AND k % 5 = 0 THEN 1 ELSE 0 END AS a_t, CASE WHEN k % 2 = 1 AND k % 5 = 0 THEN w - 1 ELSE w END AS ar, CASE WHEN k % 2 = 1 AND k % 5 = 0 THEN h - 2 ELSE h END AS ab FROM {I_SQL})""")
 def image_crop(s: SparkSession, d: str) -> DataFrame:
-    """The box of what is no background, padded and clamped."""
-    m = images.measure(_pictures(s, d, _picture)).filter("box IS NOT NULL")
-    box = S.trim_box(F.col("box.left"), F.col("box.top"), F.col("box.right"), F.col("box.bottom"), F.col("width"), F.col("height"))
-    return m.select(F.col("path").cast("bigint").alias("doc_id"), box.alias("b")).select("doc_id", *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("left", "top", "right", "bottom")])
+    """Every picture's crop: what is not transparent, then the ink with a margin; all of it where there is no ink."""
+    m = images.measure(_pictures(s, d, _picture))
+    return m.select(F.col("path").cast("bigint").alias("doc_id"), *[F.col(f"crop.{c}").cast("bigint").alias(c) for c in ("left", "top", "right", "bottom")])
 
 
 @query(f"""SELECT k AS doc_id, CASE WHEN w * 10 < 300 OR h * 4 < 100 THEN w * 30 ELSE w * 10 END AS width, CASE WHEN w * 10 < 300 OR h * 4 < 100 THEN h * 12 ELSE h * 4 END AS height FROM {I_SQL}""")
@@ -157,9 +277,38 @@ def image_upscale(s: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", F.col("z.width").cast("bigint").alias("width"), F.col("z.height").cast("bigint").alias("height"))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(range(0, 16), lambda j: substr('0123456789abcdef', CAST(1 + 8 * ((doc_id + 4 * j) % 3 = 0)::INT + 4 * ((doc_id + 4 * j + 1) % 3 = 0)::INT + 2 * ((doc_id + 4 * j + 2) % 3 = 0)::INT + ((doc_id + 4 * j + 3) % 3 = 0)::INT AS INTEGER), 1)), '') AS phash FROM documents""")
+#: The hash in SQL: pictures from whole texts, averages of areas, the cosine transform of the lowest frequencies, all in whole numbers.
+PHASH_SQL = """WITH p AS (SELECT doc_id, coalesce(text, '') AS text, greatest(1, CAST(ceil(sqrt(length(coalesce(text, '')))) AS BIGINT)) AS w FROM documents),
+s AS (SELECT doc_id, w, greatest(1, (length(text) + w - 1) // w) AS h, string_split(text, '') AS chars, length(text) AS n FROM p),
+px AS (SELECT doc_id, w, h, i % w AS x, i // w AS y, CASE WHEN i < n THEN unicode(chars[i + 1]) % 256 ELSE 255 END AS v FROM (SELECT *, unnest(range(0, w * h)) AS i FROM s)),
+across AS (SELECT doc_id, w, h, y, i, CAST(sum((least((x + 1) * 32, (i + 1) * w) - greatest(x * 32, i * w)) * v) AS BIGINT) AS v FROM (SELECT *, unnest(range(x * 32 // w, ((x + 1) * 32 - 1) // w + 1)) AS i FROM px) GROUP BY ALL),
+area AS (SELECT doc_id, i, j, CAST(sum((least((y + 1) * 32, (j + 1) * h) - greatest(y * 32, j * h)) * v) AS BIGINT) * 16 // (w * h) AS a FROM (SELECT *, unnest(range(y * 32 // h, ((y + 1) * 32 - 1) // h + 1)) AS j FROM across) GROUP BY doc_id, i, j, w, h),
+cs AS (SELECT u, i, CAST(round_even(1024 * cos(pi() * u * (2 * i + 1) / 64), 0) AS BIGINT) AS c FROM range(8) a(u), range(32) b(i)),
+half AS (SELECT doc_id, j, u AS p, CAST(sum(a * c) AS BIGINT) AS a FROM area JOIN cs USING (i) GROUP BY ALL),
+wave AS (SELECT doc_id, u AS q, p, CAST(sum(a * c) AS BIGINT) AS a FROM half JOIN (SELECT u, i AS j, c FROM cs) USING (j) GROUP BY ALL),
+mid AS (SELECT doc_id, list_sort(list(a))[32] AS m FROM wave WHERE p + q > 0 GROUP BY doc_id),
+bits AS (SELECT doc_id, q * 8 + p AS k, CASE WHEN p + q > 0 AND a > m THEN 1 ELSE 0 END AS bit FROM wave JOIN mid USING (doc_id)),
+hash AS (SELECT doc_id, CAST(sum(CASE WHEN k < 32 THEN bit << (31 - k) ELSE 0 END) AS BIGINT) AS hi, CAST(sum(CASE WHEN k >= 32 THEN bit << (63 - k) ELSE 0 END) AS BIGINT) AS lo FROM (SELECT doc_id, CAST(k AS BIGINT) AS k, bit::BIGINT AS bit FROM bits) GROUP BY doc_id)"""
+
+
+def _hashes(s: SparkSession, d: str) -> DataFrame:
+    return images.measure(_pictures(s, d, _written)).select(F.col("path").cast("bigint").alias("doc_id"), "phash")
+
+
+@query(PHASH_SQL + " SELECT doc_id, printf('%08x%08x', hi, lo) AS phash FROM hash")
 def perceptual_hash(s: SparkSession, d: str) -> DataFrame:
-    return images.measure(_pictures(s, d, _pixels)).select(F.col("path").cast("bigint").alias("doc_id"), "phash")
+    """Hashes of pictures of all sizes."""
+    return _hashes(s, d)
+
+
+RADIUS = 6
+
+
+@query(PHASH_SQL + f""", g AS (SELECT hi, lo, min(doc_id) AS id FROM hash GROUP BY hi, lo)
+SELECT a.id AS source_id, b.id AS target_id, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM g a JOIN g b ON a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {RADIUS}""")
+def perceptual_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Classes of equal hashes that are near each other, by their smallest documents."""
+    return hashes.similar(_hashes(s, d).withColumn("h", F.conv("phash", 16, -10).cast("bigint")), "doc_id", "h", RADIUS)
 
 
 @query("SELECT event_id, upper(hex(chr(CAST(event_id % 94 + 33 AS INTEGER)) || chr(CAST(user_id % 94 + 33 AS INTEGER)))) AS hex FROM events")
@@ -172,16 +321,61 @@ def bytes_coerced(s: SparkSession, d: str) -> DataFrame:
 # forms, contracts, views --------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_linenumber, '(x' || l_linenumber || ')/(' || CAST(l_quantity AS INTEGER) || ')+sqrt(y)*z^(' || l_linenumber || ')' AS linear,
-sha256('(x' || l_linenumber || ')/(' || CAST(l_quantity AS INTEGER) || ')+sqrt(y)z^(' || l_linenumber || ')') AS signature, true AS same FROM lineitem""")
+#: A formula of each order: from the first line item outwards, each wraps what is there by its kind.
+FORMULA_SQL = """SELECT o AS l_orderkey, linear, sha256(lower(replace(linear, '*', ''))) AS signature, true AS same FROM (
+SELECT l_orderkey AS o, list_reduce(list_prepend('x_(' || l_orderkey || ')', list(k || ':' || q ORDER BY l_linenumber, q, k)), lambda e, s: CASE split_part(s, ':', 1)
+ WHEN '0' THEN '(' || e || ')/(' || split_part(s, ':', 2) || ')' WHEN '1' THEN 'sqrt(' || e || '+' || split_part(s, ':', 2) || ')'
+ WHEN '2' THEN '(' || e || '*y)^(' || split_part(s, ':', 2) || ')' WHEN '3' THEN '(1)/(' || e || '-alpha)' ELSE 'root(' || split_part(s, ':', 2) || ',' || e || ')<=z' END) AS linear
+FROM (SELECT l_orderkey, l_linenumber, l_partkey % 5 AS k, CAST(l_quantity AS INTEGER) AS q FROM lineitem) GROUP BY l_orderkey)"""
+
+
+@query(FORMULA_SQL)
 def formula_signatures(s: SparkSession, d: str) -> DataFrame:
-    """LaTeX and MathML of one formula have one linear form and signature."""
-    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
-    latex = F.concat(F.lit(r"\frac{x"), n, F.lit("}{"), q, F.lit(r"} + \sqrt{y} \times z^{"), n, F.lit("}"))
-    mathml = F.concat(F.lit("<math><mfrac><mi>x"), n, F.lit("</mi><mn>"), q, F.lit("</mn></mfrac> <mo>+</mo><msqrt><mi>y</mi></msqrt><msup><mi>z</mi><mn>"), n, F.lit("</mn></msup></math>"))
-    line = scan(s, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"]).withColumn("linear", S.latex_to_linear(latex))
+    """LaTeX and MathML of one formula, nested as deep as its order has lines, have one linear form and signature."""
+    item = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), (F.col("l_partkey") % 5).alias("k"))
+    orders = scan(s, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    n = F.col("l_orderkey").cast("string")
+
+    def nested(start: Column, forms: list[list[str]]) -> Column:
+        """forms: of each kind, what stands before, between and behind; @ is the inner formula, # the number."""
+
+        def wrap(e: Column, x: Column) -> Column:
+            parts = [F.concat(*[e if p == "@" else x["q"].cast("string") if p == "#" else F.lit(p) for p in f]) for f in forms]
+            return F.when(x["k"] == 0, parts[0]).when(x["k"] == 1, parts[1]).when(x["k"] == 2, parts[2]).when(x["k"] == 3, parts[3]).otherwise(parts[4])
+
+        return F.aggregate("items", start, wrap)
+
+    latex = nested(F.concat(F.lit("x_{"), n, F.lit("}")), [
+        [r"\frac{", "@", "}{", "#", "}"], [r"\sqrt{ ", "@", " + ", "#", "}"], ["{", "@", r" \times y}^{", "#", "}"], [r"\dfrac 1{", "@", r" - \alpha}"], [r"\sqrt[", "#", "]{", "@", r"} \leq z"],
+    ])
+    mathml = nested(F.concat(F.lit("<msub><mi>x</mi><mn>"), n, F.lit("</mn></msub>")), [
+        ["<mfrac><mrow>", "@", "</mrow> <mn>", "#", "</mn></mfrac>"], ["<msqrt>", "@", "<mo>+</mo><mn>", "#", "</mn></msqrt>"], ["<msup><mrow>", "@", "<mo>&#xD7;</mo><mi>y</mi></mrow><mn>", "#", "</mn></msup>"],
+        ["<mfrac><mn>1</mn><mrow>", "@", "<mo>\u2212</mo><mi>\u03b1</mi></mrow></mfrac>"], ["<mroot><mrow>", "@", "</mrow><mn>", "#", "</mn></mroot><mo>&#8804;</mo><mi>z</mi>"],
+    ])
+    both = orders.select("l_orderkey", formulas.linear(latex, "latex").alias("linear"), formulas.linear(F.concat(F.lit("<math xmlns='m'>\n"), mathml, F.lit("</math>")), "mathml").alias("other"))
     one = S.formula_signature(F.col("linear"))
-    return line.select("l_orderkey", "l_linenumber", "linear", one.alias("signature"), (one == S.formula_signature(S.mathml_to_linear(mathml))).alias("same"))
+    return both.select("l_orderkey", "linear", one.alias("signature"), (one == S.formula_signature(F.col("other"))).alias("same"))
+
+
+TREE_SQL = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS r FROM conversations),
+w AS (SELECT conv_id, r, unnest(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS word FROM t)
+SELECT conv_id, CAST(r AS INTEGER) AS depth, role AS type, count(*) AS n FROM t GROUP BY ALL
+UNION ALL SELECT conv_id, CAST(r + 2 AS INTEGER), CASE WHEN length(word) > 5 THEN 'long' ELSE 'short' END, count(*) FROM w GROUP BY ALL
+UNION ALL SELECT conv_id, CAST(r + 2 AS INTEGER), 'empty', count(*) FROM t WHERE len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) = 0 GROUP BY ALL"""
+
+
+@query(TREE_SQL)
+def tree_counts(s: SparkSession, d: str) -> DataFrame:
+    """Nodes by depth and type in a JSON tree of each conversation, in which a turn holds its words and the turn that replies to it; and its empty lists."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    nodes = F.to_json(F.transform(words, lambda w: F.struct(F.when(F.length(w) > 5, "long").otherwise("short").alias("type"))))
+    head = F.concat(F.lit('{"type":"'), "role", F.lit('","words":'), nodes)
+    c = scan(s, d, "conversations", ["conv_id", "turn", "role", "text"]).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", head.alias("head"))), asc=False).alias("turns"))
+    js = F.aggregate("turns", F.lit(""), lambda e, t: F.concat(t["head"], F.when(e == "", "").otherwise(F.concat(F.lit(',"reply":'), e)), F.lit("}")))
+    w = trees.walk(c.select("conv_id", js.alias("js")), "conv_id", "js")
+    # words of no turn have an outer row; other empty things do not occur
+    kind = F.when(F.col("empty"), "empty").otherwise(trees.field("type"))
+    return w.select("conv_id", "depth", kind.alias("type")).filter("type IS NOT NULL").groupBy("conv_id", "depth", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT doc_id, doc_id % 2 = 0 AS regions, doc_id % 3 > 0 AS whole_page, doc_id % 4 > 0 AS single_question, doc_id % 5 > 0 AS observation, doc_id % 6 > 0 AS conclusion, doc_id % 7 > 0 AS corners, doc_id % 8 > 0 AS page_type, doc_id % 9 BETWEEN 3 AND 6 AS keywords FROM documents""")
@@ -220,6 +414,16 @@ def question_ranges(s: SparkSession, d: str) -> DataFrame:
     return A.in_section(q, F.broadcast(sections), "paper", S.natural_key("number"), "lo", "hi").select("o_orderkey", F.col("number").cast("bigint").alias("number"), "section")  # two rows
 
 
+@query("""WITH q AS (SELECT l_orderkey % 3 AS paper, l_partkey AS n FROM lineitem), sec AS (SELECT p_partkey AS section, p_partkey % 3 AS paper, p_partkey % 4999 AS lo, p_partkey % 4999 + CASE WHEN p_partkey % 50 = 0 THEN 1500 ELSE p_size * 3 - 5 END AS hi FROM part)
+SELECT section, count(*) AS questions, CAST(sum(n) AS BIGINT) AS numbers FROM sec JOIN q ON q.paper = sec.paper AND n BETWEEN lo AND hi GROUP BY section""")
+def section_overlap(s: SparkSession, d: str) -> DataFrame:
+    """Overlapping sections, some of more than a thousand numbers, some empty, over three papers that hold all questions."""
+    q = scan(s, d, "lineitem", ["l_orderkey", "l_partkey"]).select((F.col("l_orderkey") % 3).alias("paper"), F.col("l_partkey").alias("n"))
+    lo = F.col("p_partkey") % 4999
+    sections = scan(s, d, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("section"), (F.col("p_partkey") % 3).alias("paper"), lo.alias("lo"), (lo + F.when(F.col("p_partkey") % 50 == 0, 1500).otherwise(F.col("p_size") * 3 - 5)).alias("hi"))
+    return A.in_section(q, sections, "paper", F.col("n"), "lo", "hi").groupBy("section").agg(F.count(F.lit(1)).alias("questions"), F.sum("n").alias("numbers"))
+
+
 FAMILY = "(SELECT c_mktsegment AS family, n_name AS region, year(o_orderdate)::VARCHAR AS year FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)"
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from examlark.functions import contracts as C
 from examlark.functions import scalars as S
 from examlark.operators import analytics as A
-from examlark.operators import assets, bindings, matching, prompts, tables, versions
+from examlark.operators import assets, bindings, matching, prompts, retrieval, tables, trees, versions
 from examlark.plans import packages  # noqa: F401  its queries register themselves
 from examlark.plans.base import ORACLE_SQL, QUERIES, query
-from examlark.sources import files
+from examlark.sources import extract, files
 from examlark.sources.config import scan
 from examlark.streaming import events as stream
 
@@ -415,7 +415,7 @@ def _bm25(s: SparkSession, d: str) -> DataFrame:
 
 @query(BM25_SQL + " SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5")
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return matching.top_k(_bm25(s, d), "item_id", "doc_id", "score", 5)
+    return retrieval.bm25_top_k(scan(s, d, "benchmark"), scan(s, d, "documents", ["doc_id", "text"]), "item_id", "doc_id", "text", 5)
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v),
@@ -435,13 +435,14 @@ def hybrid_match(s: SparkSession, d: str) -> DataFrame:
 
 @query(BM25_SQL + " SELECT item_id, doc_id, score, score >= 40 AS accepted FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1")
 def match_accept(s: SparkSession, d: str) -> DataFrame:
-    return matching.accept(_bm25(s, d), "item_id", "doc_id", "score", 40.0)
+    best = retrieval.bm25_top_k(scan(s, d, "benchmark"), scan(s, d, "documents", ["doc_id", "text"]), "item_id", "doc_id", "text", 1)
+    return best.select("item_id", "doc_id", "score", (F.col("score") >= 40.0).alias("accepted"))
 
 
 @query("""SELECT a.p_partkey AS source_id, b.p_partkey AS target_id, 1 - abs(a.p_size - b.p_size) / 50.0::DOUBLE AS pair_score FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE 1 - abs(a.p_size - b.p_size) / 50.0::DOUBLE >= 0.9""")
 def similar_pairs(s: SparkSession, d: str) -> DataFrame:
     score = F.lit(1) - F.abs(F.col("a.p_size") - F.col("b.p_size")) / F.lit(50.0)
-    return matching.blocked_pairs(scan(s, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], score, 0.9, ["p_size"])
+    return matching.blocked_pairs(scan(s, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], score, 0.9, ["p_size"], near=("p_size", 5))
 
 
 # analytics ----------------------------------------------------------------------------------------
@@ -496,7 +497,7 @@ def taxonomy_path(s: SparkSession, d: str) -> DataFrame:
     n = scan(s, d, "region").select(key("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
     n = n.unionByName(scan(s, d, "nation").select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("label")))
     n = n.unionByName(scan(s, d, "customer").select(key("c", "c_custkey").alias("node"), key("n", "c_nationkey").alias("parent"), F.col("c_name").alias("label")))
-    return A.paths(n, "node", "parent", "label", depth=4)
+    return A.paths(n, "node", "parent", "label")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value), 6) AS mean_value FROM events GROUP BY 1, 2")
@@ -507,13 +508,17 @@ def windowed_attempts(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links FROM pages")
 def element_profile(s: SparkSession, d: str) -> DataFrame:
-    return scan(s, d, "pages", ["page_id", "html"]).select("page_id", F.regexp_count("html", F.lit("<p[ >]")).cast("bigint").alias("paragraphs"), F.regexp_count("html", F.lit("<a ")).cast("bigint").alias("links"))
+    pages = scan(s, d, "pages", ["page_id", "html"])
+    n = extract.extract(pages, "elements", "html").groupBy("page_id").agg(*[F.coalesce(F.sum(F.when(F.col("element") == e, F.col("n"))), F.lit(0)).alias(name) for e, name in (("p", "paragraphs"), ("a", "links"))])
+    return pages.select("page_id").join(n, "page_id", "left").select("page_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("paragraphs", "links")])
 
 
 @query("SELECT user_id, count(*) FILTER (event_id % 2 = 0) * 3 AS formulas FROM events GROUP BY user_id")
 def formula_node_count(s: SparkSession, d: str) -> DataFrame:
     block = F.when(F.col("event_id") % 2 == 0, F.lit('{"type": "p", "items": [{"type": "formula", "x": {"type":"formula"}}, {"type" : "formula"}]}')).otherwise(F.lit('{"type": "text"}'))
-    return scan(s, d, "events", ["event_id", "user_id"]).groupBy("user_id").agg(F.sum(C.count_nodes(block)).alias("formulas"))
+    e = scan(s, d, "events", ["event_id", "user_id"]).select("event_id", "user_id", block.alias("js"))
+    n = trees.count_kind(e.select(F.struct("event_id", "user_id").alias("event"), "js"), "event", "js", "formula")
+    return n.groupBy("event.user_id").agg(F.sum("n").alias("formulas"))
 
 
 # steps, end to end --------------------------------------------------------------------------------

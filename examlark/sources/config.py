@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Texts that mean yes.
 YES = ["1", "true", "yes", "on"]
+#: Environments without a fallback.
+PRODUCTION = ["prod", "production", "staging"]
 
 
 def env_flag(env: Mapping[str, str], name: str, default: bool = False) -> bool:
@@ -20,11 +23,11 @@ def env_flag(env: Mapping[str, str], name: str, default: bool = False) -> bool:
 
 
 def resolve_warehouse(env: Mapping[str, str] | None = None, default: str = "warehouse") -> str:
-    """The configured place; the default only outside production."""
+    """The configured place, else the default; in production and staging that is an error, unless ALLOW_SQLITE_FALLBACK permits it."""
     env = os.environ if env is None else env
     if url := (env.get("DATABASE_URL") or "").strip():
         return url
-    if env_flag(env, "REQUIRE_DATABASE_URL") or (env.get("APP_ENV") or "").strip().lower() in ("prod", "production"):
+    if (env.get("APP_ENV") or "").strip().lower() in PRODUCTION and not env_flag(env, "ALLOW_SQLITE_FALLBACK"):
         raise RuntimeError("DATABASE_URL must be set in production")
     return default
 
@@ -44,6 +47,14 @@ def first_existing(*candidates: str | None) -> str | None:
     return next((c for c in candidates if c), None)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's place below the shared one that spark.checkpoint.dir names; a temporary one only on a local master."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(at or 'file://' + tempfile.mkdtemp(prefix='examlark-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, from the folder that spark.checkpoint.dir names; a temporary one only on a local master."""
     sc = df.sparkSession.sparkContext

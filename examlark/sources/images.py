@@ -44,49 +44,81 @@ def size(b: bytes) -> tuple[int, int] | None:
     return None
 
 
-def grey(b: bytes) -> np.ndarray | None:
-    """Grey pixels of an 8-bit PNG (not interlaced) or 24-bit BMP; transparent ones are white. None if unreadable."""
+def pixels(b: bytes) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Grey pixels of an 8-bit PNG (grey, colour or palette, not interlaced) or 24-bit BMP, and their alpha, if they have one. None if unreadable."""
     try:
         if b[:8] == b"\x89PNG\r\n\x1a\n":
             w, h, depth, kind, _, _, lace = struct.unpack_from(">IIBBBBB", b, 16)
-            channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
+            channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
             if depth != 8 or lace or channels is None:
-                return None
-            at, data = 8, b""
+                return None, None
+            at, data, palette = 8, b"", b""
             while at + 12 <= len(b):
                 n, name = struct.unpack_from(">I", b, at)[0], b[at + 4 : at + 8]
                 data += b[at + 8 : at + 8 + n] if name == b"IDAT" else b""
+                palette = b[at + 8 : at + 8 + n] if name == b"PLTE" else palette
                 at += 12 + n
             raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
             out = np.zeros((h, w * channels), np.uint8)
             for y in range(h):
                 out[y] = _unfilter(raw[y, 0], raw[y, 1:], out[y - 1] if y else np.zeros(w * channels, np.uint8), channels)
             px = out.reshape(h, w, channels).astype(np.float64)
+            if kind == 3:
+                px = np.frombuffer(palette, np.uint8).reshape(-1, 3)[out.reshape(h, w)].astype(np.float64)
         elif b[:2] == b"BM" and struct.unpack_from("<H", b, 28)[0] == 24:
             w, h = size(b)
             first, row = struct.unpack_from("<I", b, 10)[0], (w * 3 + 3) // 4 * 4
             px = np.frombuffer(b, np.uint8, row * h, first).reshape(h, row)[:, : w * 3].reshape(h, w, 3)[::-1, :, ::-1].astype(np.float64)
         else:
-            return None
-    except (struct.error, zlib.error, ValueError):
-        return None
+            return None, None
+    except (struct.error, zlib.error, ValueError, IndexError):
+        return None, None
     light = px[..., 0] if px.shape[2] < 3 else px[..., :3] @ np.array([0.299, 0.587, 0.114])
-    if px.shape[2] in (2, 4):
-        light = np.where(px[..., -1] == 0, 255, light)
-    return np.rint(light).astype(np.uint8)
+    return np.rint(light).astype(np.uint8), px[..., -1] if px.shape[2] in (2, 4) else None
+
+
+def grey(b: bytes) -> np.ndarray | None:
+    """Grey pixels; transparent ones are white. None if unreadable."""
+    light, alpha = pixels(b)
+    return light if alpha is None or light is None else np.where(alpha == 0, 255, light).astype(np.uint8)
+
+
+def png(light: np.ndarray) -> bytes:
+    """A grey PNG."""
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    h, w = light.shape
+    raw = np.zeros((h, w + 1), np.uint8)
+    raw[:, 1:] = light
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
+
+
+def _around(mask: np.ndarray) -> tuple[int, int, int, int] | None:
+    """Left, top, right, bottom of what is set."""
+    at = np.argwhere(mask)
+    return (*map(int, at.min(axis=0)[::-1]), *map(int, at.max(axis=0)[::-1] + 1)) if len(at) else None
+
+
+def crop_box(light: np.ndarray, alpha: np.ndarray | None, ink: int = 245, pad: int = 2) -> tuple[int, int, int, int]:
+    """Left, top, right, bottom of the trimmed picture: first to what is not transparent, then, inside, to the ink with a margin. A picture without either stays whole."""
+    h, w = light.shape
+    l, t, r, b = (_around(alpha > 0) if alpha is not None else None) or (0, 0, w, h)  # noqa: E741
+    box = _around(light[t:b, l:r] <= ink)
+    if box is None:
+        return l, t, r, b
+    return l + max(box[0] - pad, 0), t + max(box[1] - pad, 0), min(l + box[2] + pad, r), min(t + box[3] + pad, b)
 
 
 def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return line
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
     if kind == 2:
         return line + above
     out, x, up = bytearray(len(line)), line.tolist(), above.tolist()
     for i in range(len(x)):
         a, c = (out[i - step], up[i - step]) if i >= step else (0, 0)
-        if kind == 1:
-            p = a
-        elif kind == 3:
+        if kind == 3:
             p = (a + up[i]) // 2
         else:
             e = a + up[i] - c
@@ -95,19 +127,39 @@ def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.n
     return np.frombuffer(bytes(out), np.uint8)
 
 
-def average_hash(g: np.ndarray | None) -> str | None:
-    """64 bits as hexadecimal digits: which of 8 x 8 sampled pixels are lighter than their mean."""
+#: Side of the averaged picture, and of the square of low frequencies that is hashed.
+SIDE, LOW = 32, 8
+#: Cosines of the transform, as whole numbers: with whole sums a hash is the same everywhere.
+COSINES = np.rint(1024 * np.cos(np.pi * np.outer(np.arange(LOW), 2 * np.arange(SIDE) + 1) / (2 * SIDE))).astype(np.int64)
+
+
+def averaged(g: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """side x side means of the picture's areas in sixteenths; pixels count by what of them lies in an area, so that any size fits."""
+
+    def shares(n: int) -> np.ndarray:
+        area, pixel = np.arange(side)[:, None], np.arange(n)[None]
+        return np.maximum(0, np.minimum((pixel + 1) * side, (area + 1) * n) - np.maximum(pixel * side, area * n)).astype(np.float64)
+
+    sums = shares(g.shape[0]) @ g.astype(np.float64) @ shares(g.shape[1]).T  # whole numbers below 2 ** 53
+    return np.rint(sums).astype(np.int64) * 16 // g.size
+
+
+def dct_hash(g: np.ndarray | None) -> str | None:
+    """64 bits as hexadecimal digits: which of the 8 x 8 lowest frequencies of the averaged picture's cosine transform are
+    above the median of all but the constant one, whose bit is 0."""
     if g is None or not g.size:
         return None
-    small = g[np.arange(8) * g.shape[0] // 8][:, np.arange(8) * g.shape[1] // 8].astype(np.float64)
-    return np.packbits((small > small.mean()).ravel()).tobytes().hex()
+    waves = (COSINES @ averaged(g) @ COSINES.T).ravel()
+    bits = waves > np.sort(waves[1:])[31]
+    bits[0] = False
+    return np.packbits(bits).tobytes().hex()
 
 
-FIELDS = "width int, height int, bytes bigint, hash string, near_white boolean, box struct<left:int,top:int,right:int,bottom:int>, phash string"
+FIELDS = "width int, height int, bytes bigint, hash string, near_white boolean, box struct<left:int,top:int,right:int,bottom:int>, crop struct<left:int,top:int,right:int,bottom:int>, phash string"
 
 
 def measure(files: DataFrame, near_white: int = 250, ink: int = 245) -> DataFrame:
-    """path, size, hash, whether nearly white (max >= t and min >= t - 10), and the box of pixels <= ink; unreadable: null or false."""
+    """path, size, hash, whether nearly white (max >= t and min >= t - 10), the box of pixels <= ink, the crop, and the perceptual hash; unreadable: null or false."""
     import hashlib
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,10 +173,13 @@ def measure(files: DataFrame, near_white: int = 250, ink: int = 245) -> DataFram
             rows = []
             for path, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w, h = size(b) or (None, None)
-                g = grey(b)
-                dark = np.argwhere(g <= ink) if g is not None else np.zeros((0, 2))
-                box = dict(zip(("top", "left"), map(int, dark.min(axis=0)))) | dict(zip(("bottom", "right"), map(int, dark.max(axis=0) + 1))) if len(dark) else None
-                rows.append({"path": path, "width": w, "height": h, "bytes": len(b), "hash": hashlib.sha256(b).hexdigest(), "near_white": bool(g is not None and g.size and g.max() >= near_white and g.min() >= max(0, near_white - 10)), "box": box, "phash": average_hash(g)})
+                light, alpha = pixels(b)
+                g = light if alpha is None or light is None else np.where(alpha == 0, 255, light).astype(np.uint8)
+                sides = ("left", "top", "right", "bottom")
+                box = _around(g <= ink) if g is not None else None
+                box = dict(zip(sides, box)) if box else None
+                crop = dict(zip(sides, crop_box(light, alpha, ink))) if light is not None and light.size else None
+                rows.append({"path": path, "width": w, "height": h, "bytes": len(b), "hash": hashlib.sha256(b).hexdigest(), "near_white": bool(g is not None and g.size and g.max() >= near_white and g.min() >= max(0, near_white - 10)), "box": box, "crop": crop, "phash": dct_hash(g)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, kind)

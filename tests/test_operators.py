@@ -161,6 +161,13 @@ def test_config():
     assert config.resolve_warehouse({"DATABASE_URL": " x "}) == "x" and config.resolve_warehouse({}) == "warehouse"
     with pytest.raises(RuntimeError):
         config.resolve_warehouse({"APP_ENV": "Production"})
+    for env, allow, ok in [("staging", None, False), (" PROD ", None, False), ("dev", None, True), ("", None, True), ("prod", "yes", True), ("dev", "0", True), ("staging", "off", False), ("production", "1", True)]:
+        given = {"APP_ENV": env} | ({} if allow is None else {"ALLOW_SQLITE_FALLBACK": allow})
+        if ok:
+            assert config.resolve_warehouse(given) == "warehouse"
+        else:
+            with pytest.raises(RuntimeError):
+                config.resolve_warehouse(given)
 
 
 def test_stream(spark, tmp_path):
