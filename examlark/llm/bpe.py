@@ -429,6 +429,7 @@ def decode(df: DataFrame, keep: list[str], ids: str = "token_ids", path: str | N
     path = path or default_path()
     from pyspark.sql import types as T
 
+    keep = [k for k in keep if k.lower() != "decoded"]  # gives way to the new one
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,9 +86,9 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def map_appending(
-    df: DataFrame, keep: list[str], text: str, new: str, fn: Callable[[pa.Array], dict[str, pa.Array]], done: Callable[[], None] | None = None
+    df: DataFrame, keep: list[str], text: str, new: str, fn: Callable[[pa.Array], dict[str, pa.Array]], done: Callable[[], None] | None = None, most: int = CHUNK_BYTES
 ) -> DataFrame:
-    """mapInArrow that keeps some columns and appends what fn makes of the text column, a slice of rows at a time; done ends a task.
+    """mapInArrow that keeps some columns and appends what fn makes of the text column, a slice of rows of about ``most`` bytes of text at a time; done ends a task.
 
     A kept column that has the name of a new one (in whatever case) gives way to it."""
     made = T._parse_datatype_string(new).fields
@@ -101,7 +101,7 @@ def map_appending(
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 yield appended(part, keep, fn(column(part, text)))
         if done:
             done()

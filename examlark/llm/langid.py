@@ -7,8 +7,7 @@ whose prototype has the largest cosine, and that cosine, clipped to 0..1, as sco
 
 Texts are lower-cased; what is not a letter counts as a word boundary. Prototypes are sums of integers, so
 they do not depend on the order of rows. Of each language about ``max_train`` training texts are used, at most, chosen
-by a hash of doc_id and text, so that a rare language keeps all of its own; of more than MAX_LANGS languages the most
-frequent are learnt, ties by name.
+by a hash of doc_id and text, so that a rare language keeps all of its own. Every language that has a row is learnt.
 
 Cases: a null text or one without letters is `und` with score 0, as is every text when nothing can be
 learnt; ties go to the first language in alphabetical order; a null doc_id is not held out; repeated rows
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM, GRAM, SEED = 512, 3, 20240601
-#: Training texts of each language, about, and languages, the most frequent ones; documented bounds.
-MAX_TRAIN, MAX_LANGS = 10_000, 1000
+#: Training texts of each language, about; a documented bound.
+MAX_TRAIN = 10_000
 #: Texts whose n-grams are counted in one matrix.
 ROWS = 512
 SCALE = 1 << 20
@@ -103,9 +102,10 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Prototypes (unit vectors) by language, from rows that are not held out."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.filter(~held_out("id") & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
     unit = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.join(F.broadcast(sizes), "lang").filter(unit * F.col("n") < max_train)  # MAX_LANGS rows
+    rows = rows.join(F.broadcast(sizes) if few else sizes, "lang").filter(unit * F.col("n") < max_train)
 
     @common.tidy
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     parts = rows.select("lang", "text").mapInArrow(bundle, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
-    found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).collect()  # a row of DIM numbers for each of MAX_LANGS languages
+    found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).collect()  # a row of DIM numbers for each language
     out = {r["lang"]: np.array([p["x"] for p in r["v"]], float) / SCALE for r in found}
     return {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(out.items())}
 

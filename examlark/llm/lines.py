@@ -359,7 +359,7 @@ def _one_each(docs: DataFrame) -> DataFrame:
     return docs.join(keys, ["id", "th"], "left_anti").select("id", "th", "text").unionByName(common.materialize(one, "single-rows"))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, min_tokens: int = ALL) -> DataFrame:
     """The input's columns, the text without the lines that go, and `lines_kept` and `lines_removed`, which replace columns of these names."""
     th = F.xxhash64(F.col(text))
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), th.alias("th"), F.col(text).alias("text"))

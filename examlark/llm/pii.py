@@ -33,6 +33,8 @@ from . import common
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "id", "name", "secret"]
 LABELS = ["o", *KINDS]
+#: Bytes of text whose tokens and scores are held at once (a longer text goes alone).
+SLICE = common.CHUNK_BYTES // 4
 #: Added to the score of ``o`` after training: real texts hold far less personal data than the labelled table.
 MARGIN = 3.0
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -576,7 +578,7 @@ def find(df: DataFrame, keep: list[str], field: Field | None = None, text: str =
             out[name] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), s)
         return out
 
-    return common.map_appending(df, keep, text, f"base_spans {SPAN}, spans {SPAN}", fn)
+    return common.map_appending(df, keep, text, f"base_spans {SPAN}, spans {SPAN}", fn, most=SLICE)
 
 
 def written(spans: str) -> Column:
@@ -605,7 +607,7 @@ def redact(df: DataFrame, keep: list[str], field: Field | None = None, text: str
             out.append(b"".join([*parts, data[at : offsets[i + 1]].tobytes()]).decode())
         return {"redacted": pa.array(out, pa.string())}
 
-    return common.map_appending(df, keep, text, "redacted string", fn)
+    return common.map_appending(df, keep, text, "redacted string", fn, most=SLICE)
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Operator 10: exact top-k by inner product, with ball-tree branch and bound in every shard.
 
 Rows are dealt into shards by a hash of vec_id. A shard's rows come to one task, which builds a ball tree over them once
-and streams the queries past it. A node's inner products are at most q.centre + |q| radius; a descent leaves nodes out
-whose bound is below a query's current k-th score, and every query then visits its leaves in the order of that
-bound, until it falls below the k-th score, which rises on the way. One shard of sixteen is searched first; the k-th
-scores that it gives travel with the queries to the others, so that each shard prunes with what is already known. A k-th
+and streams the queries past it. A node's inner products are at most q.centre + |q| radius. Every query first goes down
+to the child of the higher bound, level by level, and scores that leaf, so that it has a k-th score before anything else. A descent then leaves nodes out, inner ones as well,
+whose bound is below a query's current k-th score, and every query visits its leaves in the order of that
+bound, until it falls below the k-th score, which rises on the way. Shards are searched in waves: one of sixteen, then four times as many, then the others; the k-th
+scores that a wave gives travel with the queries to the next, so that each shard prunes with what is already known. A k-th
 score is a lower bound of the true one, so no result is lost; nodes whose bound equals it are searched, for ties.
 
 Components become floor(64 x). Scores are exact (in doubles while they stay below 2^53, in 64-bit integers
@@ -38,6 +39,7 @@ class Ball:
         far = ((part - self.centre) ** 2).sum(axis=1)
         self.radius = math.sqrt(float(far.max()))
         self.children: list[Ball] = []
+        self.number = int(rows[0])  # of a leaf: no other has this row
         if len(rows) > LEAF and self.radius > 0:
             a = part[far.argmax()]
             b = part[((part - a) ** 2).sum(axis=1).argmax()]
@@ -59,12 +61,14 @@ class Search:
         self.score = np.full((len(q), k), -np.inf if exact == np.float64 else np.iinfo(np.int64).min, exact)
         self.id = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
         self.full = np.zeros(len(q), np.int64)
+        self.scored = 0  # pairs, for tests
 
     def bound(self, ball: Ball, rows: np.ndarray) -> np.ndarray:
         top = self.wide[rows] @ ball.centre + self.norm[rows] * ball.radius
         return top + 1e-9 * (1 + np.abs(top))
 
     def visit(self, root: Ball) -> None:
+        first = self.descend(root)
         found: list[tuple[Ball, np.ndarray, np.ndarray]] = []  # leaves, with the rows that reach them and their bounds
         open_ = [(root, np.arange(len(self.q)))]
         while open_:
@@ -75,7 +79,8 @@ class Search:
             if len(rows) and ball.children:
                 open_ += [(child, rows) for child in ball.children]
             elif len(rows):
-                found.append((ball, rows, bound))
+                new = first[rows] != ball.number
+                found.append((ball, rows[new], bound[new]))
         if not found:
             return
         leaf = np.repeat(np.arange(len(found)), [len(r) for _, r, _ in found])
@@ -92,8 +97,27 @@ class Search:
             if len(mine):
                 self.take(found[leaf[a]][0], mine)
 
+    def descend(self, root: Ball) -> np.ndarray:
+        """Scores each query's leaf at the end of the way down by the higher bound; the leaf's number, by query."""
+        first = np.full(len(self.q), -1, np.int64)
+        open_ = [(root, np.arange(len(self.q)))]
+        while open_:
+            ball, rows = open_.pop()
+            rows = rows[self.bound(ball, rows) >= self.floor[rows]]
+            if not len(rows):
+                continue
+            if not ball.children:
+                first[rows] = ball.number
+                self.take(ball, rows)
+                continue
+            left, right = ball.children
+            go = self.bound(left, rows) >= self.bound(right, rows)
+            open_ += [(left, rows[go]), (right, rows[~go])]
+        return first
+
     def take(self, ball: Ball, rows: np.ndarray) -> None:
         """Merges a leaf into the best k of some queries."""
+        self.scored += len(rows) * len(ball.ids)
         got = self.q[rows] @ ball.x.T
         good = (got >= self.floor[rows][:, None]) & (ball.ids[None, :] != self.qid[rows][:, None])
         for i in np.flatnonzero(good.any(axis=1)):
@@ -184,14 +208,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     def to(low: int, high: int) -> Column:
         return F.explode(F.sequence(F.lit(low), F.lit(high)).cast("array<int>")).alias("shard") if high >= low else F.explode(F.array().cast("array<int>")).alias("shard")
 
-    start = asked.select("dim", to(0, first - 1), "id", "v", F.lit(None).cast("bigint").alias("floor"))
-    found = common.materialize(searched(rows.filter(F.col("shard") < first), start, k), "topk-first")
-    if shards > first:
-        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-        floor = ranked.filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-        rest = asked.join(floor, "id", "left").select("dim", to(first, shards - 1), "id", "v", "floor")
-        found = found.union(searched(rows.filter(F.col("shard") >= first), rest, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for low, high in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(sorted({0, min(first, shards), min(5 * first, shards), shards}))):
+        floor = asked.select("id").limit(0).withColumn("floor", F.lit(0).cast("bigint")) if found is None else found.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        wave = asked.join(floor, "id", "left").select("dim", to(low, high - 1), "id", "v", "floor")
+        got = searched(rows.filter(F.col("shard").between(low, high - 1)), wave, k)
+        if high < shards:
+            got = common.materialize(got, "topk-wave")
+        found = got if found is None else found.union(got)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

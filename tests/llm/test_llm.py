@@ -281,7 +281,7 @@ def test_lines(spark):
         return " ".join(x)
 
     rows = [(i, "\n".join(line() for _ in range(rnd.randrange(8)))) for i in range(200)] + EDGE
-    done = lines.dedup_lines(frame(spark, rows))
+    done = lines.dedup_lines(frame(spark, rows), min_tokens=5)
     assert done.columns == ["doc_id", "text", "lang", "source", "score", "n_words", "component_id", "copies", "lines_kept", "lines_removed"]
     assert {r.doc_id: r.text for r in done.collect()} == brute.without_similar_lines(rows)
     assert lines.dedup_lines(empty(spark)).count() == 0

@@ -302,3 +302,25 @@ def test_clashing_names_give_way(spark):
         low = [c.lower() for c in out.columns]
         assert len(low) == len(set(low)) and name in low
         assert all(r[name] != "mine" for r in out.collect())
+
+
+# 10: what is scored
+
+
+def test_first_leaf_cuts_inner_nodes():
+    from examlark.llm import topk
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(64, 32)) * 60
+    x = np.floor(np.repeat(centres, 128, axis=0) + rng.normal(size=(64 * 128, 32))).astype(np.int64)
+    ids = rng.permutation(len(x)).astype(np.int64)
+    tree = topk.Shard(x, ids)
+    q, qid = x[::80], ids[::80]
+    tree.search(q[:1], qid[:1], np.full(1, -np.inf), 20)
+    s = topk.Search(q, qid, np.full(len(q), -np.inf), 20, np.dtype(np.float64))
+    s.visit(next(iter(tree.trees.values())))
+    assert s.scored < 0.4 * len(q) * len(x)  # few leaves are needed, though no k-th score was known
+    scores = q @ x.T
+    for i in range(len(q)):
+        order = sorted((-int(v), int(j)) for v, j in zip(scores[i], ids) if j != qid[i])[:20]
+        assert sorted((-int(v), int(j)) for v, j in zip(s.score[i], s.id[i])) == sorted(order)
