@@ -26,6 +26,23 @@ def attempt_metrics(df: DataFrame, by: list[str], correct: Column, score: Column
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"), F.count(correct).alias("judged"), F.round(F.avg(correct.cast("int")), 6).alias("correct_rate"), F.round(exact_sum(score), 2).cast("double").alias("score"), F.sum(seconds).alias("seconds"))
 
 
+def session_profiles(df: DataFrame, student: str, ts: str, tag: str, correct: Column, score: Column, gap: str = "30 minutes") -> DataFrame:
+    """(student, session_start, session_end, attempts, profile): of each session of a student a map from tag to its metrics.
+
+    A session ends after ``gap`` without an attempt. Metrics are aggregated before they meet: a map is as large as there are tags."""
+    e = df.withColumn("_session", F.col(ts).cast("timestamp"))
+    one = e.groupBy(F.col(student), F.session_window("_session", gap).alias("_w")).agg(F.count(F.lit(1)).alias("attempts"))
+    # each tag's metrics inside the sessions found: a join by range, inside a student
+    spans = one.select(F.col(student), F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "attempts")
+    e = e.select(F.col(student), "_session", F.col(tag).alias("_tag"), correct.alias("_correct"), score.alias("_score"))
+    day = lambda c: F.to_date(c)
+    spans_by_day = spans.withColumn("_day", F.explode(F.sequence(day("session_start"), day("session_end"))))
+    inside = e.withColumn("_day", day("_session")).join(spans_by_day, [student, "_day"]).filter((F.col("_session") >= F.col("session_start")) & (F.col("_session") < F.col("session_end")))
+    tags = inside.groupBy(student, "session_start", "session_end", "attempts", "_tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("_correct").cast("int")), 6).alias("rate"), F.round(exact_sum(F.col("_score")), 2).cast("double").alias("score"))
+    entry = F.struct(F.col("_tag"), F.struct("n", "rate", "score"))
+    return tags.groupBy(student, "session_start", "session_end", "attempts").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("profile"))
+
+
 def latest_by(df: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The last row of each key, as an aggregate."""
     return df.groupBy(*by).agg(F.max(F.struct(*order, *keep)).alias("b")).select(*by, *[F.col(f"b.{c}") for c in [*order, *keep]])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examlark.functions.scalars import coverage, parse_version, render
 from examlark.operators.analytics import exact_sum
-from examlark.operators.versions import published
+from examlark.operators.versions import chosen, source_of
 
 
 def resolve_steps(steps: DataFrame, versions: DataFrame, variables: Column, override: Column | None = None) -> DataFrame:
@@ -18,11 +18,9 @@ def resolve_steps(steps: DataFrame, versions: DataFrame, variables: Column, over
     own = parse_version("selected_version")
     asked = own if override is None else F.coalesce(parse_version(override), own)
     s = steps.filter("is_active").withColumn("requested_version", asked).withColumn("config_source", F.when(own.isNull(), "latest").otherwise("step_config")).withColumn("_vars", variables)
-    v = versions.select("prompt_key", F.col("version").alias("_v"), F.col("status").alias("_s"), F.col("prompt_text").alias("_t"))
-    order = F.struct(F.coalesce(F.col("_v") == F.col("requested_version"), F.lit(False)).alias("hit"), published(F.col("_s")).alias("pub"), F.col("_v").alias("v"), F.col("_t").alias("t"))
-    best = s.join(v, "prompt_key").groupBy("step_key", "prompt_key", "requested_version", "config_source").agg(F.max(order).alias("b"), F.first("_vars").alias("_vars"))
-    source = F.when(F.col("b.hit"), "requested").when(F.col("b.pub"), "highest_published").otherwise("highest_version")
-    return best.select("step_key", "prompt_key", "requested_version", F.col("b.v").alias("resolved_version"), source.alias("version_source"), "config_source", render("b.t", "_vars").alias("prompt_text"))
+    s = s.withColumn("requested", F.col("requested_version").cast(versions.schema["version"].dataType))
+    best = chosen(s.select("step_key", "prompt_key", "requested_version", "requested", "config_source", "_vars"), versions, "prompt_key", "version", "status", "prompt_text").filter("b IS NOT NULL")
+    return best.select("step_key", "prompt_key", "requested_version", F.col("b.v").alias("resolved_version"), source_of().alias("version_source"), "config_source", render("b.t", "_vars").alias("prompt_text"))
 
 
 def bound_to(steps: DataFrame, parent: str, key: str, order: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from examlark.sources.config import cut
+
 
 def upsert(current: DataFrame, catalog: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """All rows after the merge and what happened: inserted, updated, unchanged, kept (not in the catalogue)."""
@@ -18,22 +20,22 @@ def upsert(current: DataFrame, catalog: DataFrame, key: str, fields: list[str])
     return j.select(key, *[F.when(F.col("_b").isNull(), F.col(f"_a_{f}")).otherwise(F.col(f"_b_{f}")).alias(f) for f in fields], "action")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, slices: int = 64) -> DataFrame:
-    """Dense numbers from 1 in an order that tells all rows apart, without bringing the rows together.
+def numbered(rows: DataFrame, order: list[str], name: str, slices: int | None = None) -> DataFrame:
+    """Dense numbers from 1 in an order, without bringing the rows together: rows are dealt by ranges of the order into as many
+    slices as shuffles have partitions (or ``slices``), so that a slice holds no more than any other shuffle's.
 
-    The order is cut into slices at bounds from a sample chosen by hash (at most about 16 for each slice); a row's slice
-    depends on its own values and these bounds alone, so that nothing changes if a task runs again."""
-    key = F.struct(*order)
-    n = rows.count()
-    sample = rows.filter(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (16 * slices)))) == 0).select(*order).distinct().orderBy(*order)
-    found = sample.collect() if n > 1024 * slices else []
-    bounds = found[:: max(1, len(found) // slices)][1:]
-    at = reduce(lambda a, b: a + b, [(key >= F.struct(*[F.lit(v).cast(sample.schema[c].dataType) for c, v in zip(order, r)])).cast("int") for r in bounds], F.lit(0))
-    sliced = rows.withColumn("_s", at)
-    counts = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))  # a row for each slice
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_before")
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy(*order))
-    return sliced.withColumn("_r", rank).join(F.broadcast(before), "_s").withColumn(name, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_s", "_r", "_before")
+    A row's number is its place in its slice after the rows of the slices before. Slices are written once, so that nothing
+    changes if a task runs again. Rows that the order does not tell apart have numbers in any order."""
+    parts = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_r", F.monotonically_increasing_id()))  # slice << 33 | place
+    slice_ = F.shiftright("_r", 33)
+    sizes = sorted((r["s"], r["n"]) for r in placed.groupBy(slice_.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each slice
+    before, at = [], 0
+    for s, n in sizes:
+        before.append((s, at))
+        at += n
+    table = rows.sparkSession.createDataFrame(before, "_s bigint, _before bigint")
+    return placed.join(F.broadcast(table), slice_ == F.col("_s")).withColumn(name, F.col("_before") + F.col("_r").bitwiseAND((1 << 33) - 1) + 1).drop("_s", "_r", "_before")
 
 
 def insert(current: DataFrame, rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
@@ -96,6 +98,35 @@ def comment_ddl(table: str, comment: str, columns: dict[str, str]) -> list[str]:
     return [f"COMMENT ON TABLE `{table}` IS {q(comment)}", *[f"ALTER TABLE `{table}` ALTER COLUMN `{c}` COMMENT {q(t)}" for c, t in columns.items()]]
 
 
+def quoted(text: Column) -> Column:
+    """A string literal of Spark SQL."""
+    return F.concat(F.lit("'"), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def comment_statement(table: Column, comment: Column) -> Column:
+    """The COMMENT statement of each row's table."""
+    return F.concat(F.lit("COMMENT ON TABLE `"), table, F.lit("` IS "), quoted(comment))
+
+
+def drop_statement(table: Column) -> Column:
+    return F.concat(F.lit("DROP TABLE IF EXISTS `"), table, F.lit("`"))
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """The first row (a run's summary) as one JSON document in UTF-8, not escaped; df has one row."""
+    write_text(df.limit(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("js")).first()["js"], path)
+
+
+def write_text(text: str, path: str) -> None:
+    """A small file in UTF-8."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as out:
+        out.write(text.encode())
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """JSON lines; the summary of a run is small."""
     df.write.mode("overwrite").json(path)

@@ -22,14 +22,27 @@ def resolve(versions: DataFrame, key: str, version: str, status: Column, request
     return best.select(key, F.col("b.v").alias(version), source.alias("version_source"), *[F.col(f"b.{c}").alias(c) for c in keep])
 
 
+def chosen(requests: DataFrame, versions: DataFrame, key: str, version: str, status: str, text: str) -> DataFrame:
+    """requests (key, requested, ...) with b: hit, pub, v and t of the version that is asked for, else of the best; null without any.
+
+    Two joins that multiply nothing: one with each (key, version), one with each key's best."""
+    pub = published(F.col(status)).alias("pub")
+    exact = versions.filter(F.col(version).isNotNull()).groupBy(F.col(key), F.col(version).alias("requested")).agg(F.max(F.struct(pub, F.col(version).alias("v"), F.col(text).alias("t"))).alias("_exact"))
+    best = versions.filter(F.col(version).isNotNull()).groupBy(key).agg(F.max(F.struct(pub, F.col(version).alias("v"), F.col(text).alias("t"))).alias("_best"))
+    told = lambda c, hit: F.struct(F.lit(hit).alias("hit"), F.col(f"{c}.pub"), F.col(f"{c}.v"), F.col(f"{c}.t"))
+    j = requests.join(exact, [key, "requested"], "left").join(best, key, "left")
+    return j.withColumn("b", F.when(F.col("_exact").isNotNull(), told("_exact", True)).when(F.col("_best").isNotNull(), told("_best", False))).drop("_exact", "_best")
+
+
+def source_of(b: str = "b") -> Column:
+    """How the version was found."""
+    return F.when(F.col(b).isNull(), "version_not_found").when(F.col(f"{b}.hit"), "requested").when(F.col(f"{b}.pub"), "highest_published").otherwise("highest_version")
+
+
 def resolve_requests(requests: DataFrame, versions: DataFrame, key: str, version: str, status: str, text: str) -> DataFrame:
-    """requests (key, requested): as resolve for each, and version_not_found or prompt_not_found where nothing fits."""
-    v = versions.select(F.col(key), F.col(version).alias("_v"), F.col(status).alias("_s"), F.col(text).alias("_t"))
-    j = requests.join(v, key, "left")
-    order = F.struct(F.coalesce(F.col("_v") == F.col("requested"), F.lit(False)).alias("hit"), published(F.col("_s")).alias("pub"), F.col("_v").alias("v"), F.col("_t").alias("t"))
-    best = j.groupBy(key, "requested").agg(F.max(F.when(F.col("_v").isNotNull(), order)).alias("b"))
-    source = F.when(F.col("b").isNull(), "version_not_found").when(F.col("b.hit"), "requested").when(F.col("b.pub"), "highest_published").otherwise("highest_version")
-    return best.select(key, "requested", F.col("b.v").alias("resolved"), source.alias("version_source"), F.col("b.t").alias("text"))
+    """requests (key, requested): as resolve for each distinct one, and version_not_found where nothing fits."""
+    best = chosen(requests.select(key, "requested").distinct(), versions, key, version, status, text)
+    return best.select(key, "requested", F.col("b.v").alias("resolved"), source_of().alias("version_source"), F.col("b.t").alias("text"))
 
 
 def bounded_fallback(versions: DataFrame, key: str, version: str, requested: Column, depth: int = 5) -> DataFrame:
@@ -77,9 +90,9 @@ def children(parents: DataFrame, kids: DataFrame, key: str, fields: list[str]) -
     return parents.join(lists, key, "left")
 
 
-def summary_map(resolved: DataFrame, step: str, fields: list[str]) -> DataFrame:
-    """One row: step -> struct, for the steps that resolved."""
-    return resolved.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(step), F.struct(*fields))))).alias("summary"))
+def summary_map(resolved: DataFrame, step: str, fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each group (one without): step -> struct, for the steps that resolved. A group's map is as large as it has steps."""
+    return resolved.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(step), F.struct(*fields))))).alias("summary"))
 
 
 def catalog_position(df: DataFrame, key: str, keys: list[str], unknown: int = 9999) -> DataFrame:

@@ -34,7 +34,7 @@ def _package(key: int, text: str) -> bytes:
     lines = text.split("\n")
     body = "".join(f"<w:p><shape/><t>{len(x)}</t></w:p>" for x in lines)
     body += "<oMathPara><oMath/></oMathPara>" * (key % 5)
-    body += "".join(f'<w:object><shape/><imagedata r:id="rId{i}"/><OLEObject ProgID="{"Equation.3" if i % 2 else ""}" ShapeID="s{i}"/></w:object>' for i in range(key % 4))
+    body += "".join(f'<w:object><shape/><imagedata r:id="rId{i}"/><OLEObject ProgID="{"Equation.3" if i % 2 else ""}" ShapeID="s{i}"/></w:object>' for i in range(key % 15))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         ns = 'xmlns:w="w" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -67,7 +67,7 @@ K_SQL = """(SELECT doc_id AS k, '/in/' || doc_id || CASE WHEN doc_id % 10 = 0 TH
  CASE doc_id % 10 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' ELSE 'success' END AS status FROM documents)"""
 
 
-@query(f"""SELECT path, status, CASE status WHEN 'success' THEN n + k % 4 END AS shapes, CASE status WHEN 'success' THEN k % 5 END AS formulas, CASE status WHEN 'success' THEN k % 4 END AS objects, CASE status WHEN 'success' THEN k % 2 END AS embedded FROM {K_SQL}""")
+@query(f"""SELECT path, status, CASE status WHEN 'success' THEN n + k % 15 END AS shapes, CASE status WHEN 'success' THEN k % 5 END AS formulas, CASE status WHEN 'success' THEN k % 15 END AS objects, CASE status WHEN 'success' THEN k % 2 END AS embedded FROM {K_SQL}""")
 def package_profile(s: SparkSession, d: str) -> DataFrame:
     """A row for each package: a broken one fails alone, others are skipped by suffix."""
     p = files.package_profiles(_packages(s, d))
@@ -82,16 +82,16 @@ def package_media(s: SparkSession, d: str) -> DataFrame:
     return m.select("path", F.col("index").cast("bigint").alias("index"), "file_name", S.numbered_name("object", "index", F.regexp_extract("file_name", "([^/]+)$", 1)).alias("target"), "hash")
 
 
-@query(f"""SELECT path, i + 1 AS index, 'Equation.3' AS prog_id, 'rId' || i AS image_rel_id FROM (SELECT *, unnest(range(0, k % 4)) AS i FROM {K_SQL} WHERE status = 'success') WHERE i % 2 = 1""")
+@query(f"""SELECT path, i + 1 AS index, 'Equation.3' AS prog_id, 's' || i AS shape_id, 'rId' || i AS image_rel_id FROM (SELECT *, unnest(range(0, least(12, k % 15))) AS i FROM {K_SQL} WHERE status = 'success') WHERE i % 2 = 1""")
 def ole_objects(s: SparkSession, d: str) -> DataFrame:
-    """Objects of packages that name a program."""
+    """Objects that name a program, of the first twelve of each package."""
     o = files.package_profiles(_packages(s, d)).select("path", F.inline("objects")).withColumn("class_type", F.lit(None).cast("string"))
-    return files.ole_only(o).select("path", F.col("index").cast("bigint").alias("index"), "prog_id", "image_rel_id")
+    return files.ole_only(o).select("path", F.col("index").cast("bigint").alias("index"), "prog_id", "shape_id", "image_rel_id")
 
 
 @query(f"""SELECT k AS document_index, path AS source_path, CASE status WHEN 'skipped' THEN '.doc' ELSE '.docx' END AS source_extension, status, CASE status WHEN 'skipped' THEN 'not_docx' WHEN 'failed' THEN 'BadZipFile: File is not a zip file' END AS reason,
 CASE status WHEN 'success' THEN path END AS normalized_docx_path, '/out/' || lpad(k::VARCHAR, 4, '0') || '_' || k AS document_output_dir, CASE status WHEN 'success' THEN '/out/' || lpad(k::VARCHAR, 4, '0') || '_' || k || '/assets' END AS asset_output_dir,
-'/out/' || lpad(k::VARCHAR, 4, '0') || '_' || k || '/run.log' AS log_path, CASE status WHEN 'success' THEN n + k % 4 ELSE 0 END AS block_count, CASE status WHEN 'success' THEN k % 5 ELSE 0 END AS omml_formula_count, CASE status WHEN 'success' THEN k % 4 ELSE 0 END AS legacy_object_encountered_count,
+'/out/' || lpad(k::VARCHAR, 4, '0') || '_' || k || '/run.log' AS log_path, CASE status WHEN 'success' THEN n + k % 15 ELSE 0 END AS block_count, CASE status WHEN 'success' THEN k % 5 ELSE 0 END AS omml_formula_count, CASE status WHEN 'success' THEN k % 15 ELSE 0 END AS legacy_object_encountered_count,
 CASE status WHEN 'success' THEN k % 3 ELSE 0 END AS exported_formula_object_image_count, CASE status WHEN 'success' THEN array_to_string(list_transform(range(0, k % 3), lambda i: 'word/media/image' || (i + 1) || '.png'), ',') END AS exported_formula_object_images FROM {K_SQL}""")
 def document_summary(s: SparkSession, d: str) -> DataFrame:
     """The 14 fields of every document's run."""
@@ -465,10 +465,22 @@ def command_arguments(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT n_nationkey, 'COMMENT ON TABLE `' || n_name || '` IS ''it\\''s ' || n_nationkey || '''' AS comment, 'DROP TABLE IF EXISTS `' || n_name || '`' AS drop FROM nation""")
 def ddl_statements(s: SparkSession, d: str) -> DataFrame:
     """Statements for each table of a small catalogue."""
-    rows = scan(s, d, "nation", ["n_nationkey", "n_name"]).collect()  # 25 tables
-    made = [(r.n_nationkey, tables.comment_ddl(r.n_name, f"it's {r.n_nationkey}", {})[0], tables.drop_ddl(r.n_name)) for r in rows]
-    kind = scan(s, d, "nation").schema["n_nationkey"].dataType.simpleString()
-    return s.createDataFrame(made, f"n_nationkey {kind}, comment string, drop string")
+    name = F.col("n_name")
+    return scan(s, d, "nation", ["n_nationkey", "n_name"]).select("n_nationkey", tables.comment_statement(name, F.concat(F.lit("it's "), F.col("n_nationkey").cast("string"))).alias("comment"), tables.drop_statement(name).alias("drop"))
+
+
+SESSION_SQL = """(SELECT user_id, ts, event_id, event_type, value, min(ts) OVER (PARTITION BY user_id, g) AS session_start, max(ts) OVER (PARTITION BY user_id, g) + INTERVAL 30 MINUTE AS session_end FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g
+ FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)))"""
+
+
+@query(f"""WITH t AS (SELECT user_id, session_start, session_end, event_type, count(*) AS n, round(avg(CASE WHEN event_type <> 'error' THEN CAST(value > 10 AS INTEGER) END), 6) AS rate, CAST(round(sum(CAST(value AS DECIMAL(18,6))), 2) AS DOUBLE) AS score FROM {SESSION_SQL} GROUP BY ALL)
+SELECT user_id, session_start, session_end, CAST(sum(n) AS BIGINT) AS attempts, string_agg(event_type || ':' || n || ':' || coalesce(CAST(CAST(round(rate * 1000) AS BIGINT) AS VARCHAR), '-') || ':' || CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY event_type) AS profile FROM t GROUP BY ALL""")
+def student_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Each student's sessions with a map from kind of attempt to its metrics, written out."""
+    p = A.session_profiles(scan(s, d, "events"), "user_id", "ts", "event_type", F.when(F.col("event_type") != "error", F.col("value") > 10), F.col("value"))
+    whole = lambda c, by: F.round(c * by).cast("bigint").cast("string")
+    text = F.transform(F.map_entries("profile"), lambda e: F.concat_ws(":", e["key"], e["value"]["n"].cast("string"), F.coalesce(whole(e["value"]["rate"], 1000), F.lit("-")), whole(e["value"]["score"], 100)))
+    return p.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "attempts", F.array_join(text, ",").alias("profile"))
 
 
 @query("SELECT user_id, session_start, count(*) AS n, max(ts) + INTERVAL 30 MINUTE AS session_end FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, g) AS session_start FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))) GROUP BY user_id, session_start")

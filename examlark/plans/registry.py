@@ -538,6 +538,16 @@ def step_prompt_resolve(s: SparkSession, d: str) -> DataFrame:
     return prompts.resolve_steps(steps, v, F.create_map(F.lit("key"), F.col("step_key").cast("string")))
 
 
+@query(f"""SELECT prompt_key, string_agg(step_key || '=' || version, ',' ORDER BY step_key) AS summary FROM (SELECT c_custkey AS step_key, c_custkey % 60 AS prompt_key, v.version FROM customer JOIN {V} v ON v.conv_id = c_custkey % 60 WHERE c_acctbal > 0
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY v.status = 'published' DESC, v.version DESC) = 1) GROUP BY prompt_key""")
+def prompt_summary(s: SparkSession, d: str) -> DataFrame:
+    """Of each template, the steps that resolve and their versions; steps that do not resolve are left out."""
+    c = scan(s, d, "customer").select(F.col("c_custkey").alias("step_key"), (F.col("c_custkey") % 60).alias("prompt_key"), F.lit(None).cast("string").alias("selected_version"), (F.col("c_acctbal") > 0).alias("is_active"))
+    v = _versions(s, d).select(F.col("conv_id").alias("prompt_key"), "version", "status", F.col("text").alias("prompt_text"))
+    m = versions.summary_map(prompts.resolve_steps(c, v, F.create_map().cast("map<string,string>")), "step_key", ["resolved_version"], ("prompt_key",))
+    return m.select("prompt_key", F.array_join(F.transform(F.map_entries("summary"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"]["resolved_version"].cast("string"))), ",").alias("summary"))
+
+
 @query("SELECT c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_name, c_custkey) AS step_keys FROM customer GROUP BY c_nationkey")
 def steps_of_template(s: SparkSession, d: str) -> DataFrame:
     return prompts.bound_to(scan(s, d, "customer"), "c_nationkey", "c_custkey", "c_name").select("c_nationkey", F.concat_ws(",", F.col("step_keys").cast("array<string>")).alias("step_keys"))

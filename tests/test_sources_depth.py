@@ -162,3 +162,27 @@ def test_stages_of_a_stream_are_those_of_the_batch(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = [tuple(r) for r in spark.sql("select * from stage_rows where job <> 'end'").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+# relational -----------------------------------------------------------------------------------------
+
+
+def test_tables_of_a_database(spark, tmp_path):
+    from examlark.sources import relational
+
+    rows = [(i, f"name {i % 7}", i * 0.5 if i % 3 else None) for i in range(1, 501)]
+    df = spark.createDataFrame(rows, "id int, name string, points double")
+    df.write.parquet(str(tmp_path / "w/answers.parquet"))
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    relational.write_jdbc(df.repartition(2), url, "answers", options={"createTableColumnTypes": "name VARCHAR(64)"})
+    env = {"DATABASE_URL": f" {url} "}
+    got = relational.table(spark, "answers", env, by="id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, relational.table(spark, "answers", {"DATABASE_URL": str(tmp_path / "w")}).collect())) == rows
+    cut = relational.read_jdbc(spark, url, "answers", by="id", rows=100)
+    assert cut.rdd.getNumPartitions() == 5 and sorted(map(tuple, cut.collect())) == rows
+    some = cut.filter("id > 490 AND name = 'name 1'").select("id")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(" in plan and "EqualTo(" in plan and "ReadSchema: struct<id" in plan.replace("ID", "id").replace("Id", "id") and "POINTS" not in plan.upper().split("READSCHEMA")[1]
+    assert sorted(r[0] for r in some.collect()) == [i for i in range(491, 501) if i % 7 == 1]
+    relational.write_jdbc(df.filter("false"), url, "nothing")
+    assert relational.read_jdbc(spark, url, "nothing", by="id").count() == 0
