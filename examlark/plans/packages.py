@@ -483,6 +483,18 @@ def student_sessions(s: SparkSession, d: str) -> DataFrame:
     return p.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "attempts", F.array_join(text, ",").alias("profile"))
 
 
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS job, strftime(ts, '%Y-%m-%d') AS stage, min(CASE WHEN event_id % 2 = 0 THEN ts END) AS started, min(CASE WHEN event_id % 2 = 1 THEN ts END) AS first FROM events GROUP BY ALL),
+t AS (SELECT *, CASE WHEN started IS NULL THEN 'orphan' WHEN first >= started AND epoch_ms(first) <= epoch_ms(started) + 14400000 THEN 'done' ELSE 'timeout' END AS status FROM s)
+SELECT job, stage, status, started, CASE WHEN status <> 'timeout' THEN first END AS finished, CASE WHEN status <> 'timeout' THEN date_sub('second', started, first) END AS seconds FROM t""")
+def stage_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """A day of a user as a job's stage, even events its start and odd ones its finish, with four hours for it; a stream says the same."""
+    from examlark.streaming import stages
+
+    e = scan(s, d, "events", ["event_id", "user_id", "ts"])
+    e = e.select(F.col("user_id").cast("string").alias("job"), F.date_format("ts", "yyyy-MM-dd").alias("stage"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("finish").alias("kind"), "ts")
+    return stages.stages(e, 4 * 3600).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "finished")})
+
+
 @query("SELECT user_id, session_start, count(*) AS n, max(ts) + INTERVAL 30 MINUTE AS session_end FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, g) AS session_start FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))) GROUP BY user_id, session_start")
 def attempt_sessions(s: SparkSession, d: str) -> DataFrame:
     from examlark.streaming import events as stream

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +45,30 @@ def catalog(spark: SparkSession, rows: list[tuple], schema: T.StructType | str)
     return F.broadcast(table) if len(rows) <= 10_000 else table
 
 
-def first_existing(*candidates: str | None) -> str | None:
-    return next((c for c in candidates if c), None)
+def first_executable(*candidates: str | None) -> str | None:
+    """The first candidate that is a command on the PATH, or a path that exists; as the path that was found."""
+    for c in candidates:
+        if c and (found := shutil.which(c) or (c if Path(c).exists() else None)):
+            return found
+    return None
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder's place below the shared one that spark.checkpoint.dir names; a temporary one only on a local master."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(at or 'file://' + tempfile.mkdtemp(prefix='examlark-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_examlark_work", None)
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = sc._examlark_work = "file://" + tempfile.mkdtemp(prefix="examlark-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder: computed once, read by columns, without lineage."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

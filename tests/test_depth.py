@@ -49,8 +49,7 @@ def test_block_top_k_is_the_whole_ranking(spark):
     docs, rnd = [*_corpus(1, 900), (900, None), (901, ""), (902, "w5 w5 w5"), (903, "w5 w5 w5")], random.Random(2)
     queries = [(i, " ".join(f"w{rnd.randrange(200)}" for _ in range(rnd.randrange(1, 6)))) for i in range(20)] + [(20, "nothing here"), (21, "w0 w0 w1"), (22, "w5")]
     q, d = spark.createDataFrame(queries, "q int, text string"), spark.createDataFrame(docs, "d long, text string")
-    found = retrieval.impacts(d, "d", "text", matching.terms(q, "q", "text").select("term"))
-    index, most = retrieval.blocks(found, size=16)
+    index, most = retrieval.build(d, "d", "text", matching.terms(q, "q", "text").select("term").distinct(), size=16)
     best, scored = retrieval.block_top_k(q, "q", "text", index, most, 3)
     got = defaultdict(list)
     for r in sorted(best.collect(), key=lambda r: (r["query"], r["rank"])):
@@ -66,9 +65,9 @@ def test_block_top_k_is_the_whole_ranking(spark):
         full = len(got[query]) == 3
         if (query, block) not in done:
             assert full and bound < got[query][-1][1]
-    sizes = index.groupBy("block").count().collect()
-    assert sum(r["count"] for r in sizes) == index.count() and len(sizes) > 20
-    for r in index.select("block", F.inline("weights")).groupBy("block", "term").agg(F.max("w").alias("m")).join(most, ["block", "term"], "full").collect():
+    sizes = index.groupBy("block").agg(F.count_distinct("doc").alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == index.select("doc").distinct().count() and len(sizes) > 20
+    for r in index.groupBy("block", "term").agg(F.max("w").alias("m")).join(most, ["block", "term"], "full").collect():
         assert r["m"] == r["w"]
 
 

@@ -170,6 +170,12 @@ def test_config():
                 config.resolve_warehouse(given)
 
 
+def test_executables(tmp_path):
+    (tmp_path / "tool").write_text("x")
+    assert config.first_executable(None, "", "no-such-tool-here", str(tmp_path / "none"), str(tmp_path / "tool"), "sh") == str(tmp_path / "tool")
+    assert config.first_executable("no-such-tool-here", "sh").endswith("/sh") and config.first_executable(None, "no-such-tool-here") is None
+
+
 def test_stream(spark, tmp_path):
     e = spark.createDataFrame([(1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-01 00:50:00", "a", 3.0), (3, "2024-01-01 01:10:00", "b", 5.0)], "user_id int, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     e.write.parquet(str(tmp_path / "in"))
