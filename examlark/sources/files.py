@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlark.functions.scalars import IMAGE_SUFFIXES, safe_stem, suffix
@@ -103,10 +103,13 @@ def suffix_counts(df: DataFrame, name: str, empty: str = "<no_suffix>") -> DataF
     return df.groupBy(suffix(name, empty).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def document_summaries(profiles: DataFrame, output_root: str) -> DataFrame:
-    """The 14 fields of each document's run; profiles: document_index and the columns of ``package_profiles``."""
+def document_summaries(profiles: DataFrame, output_root: str, number: Column | None = None) -> DataFrame:
+    """The 14 fields of each document's run; profiles: document_index and the columns of ``package_profiles``.
+
+    number: how a folder's name writes document_index; by default with four digits at least, and with all that it has."""
     done = F.col("status") == "success"
-    folder = F.format_string(f"{output_root.rstrip('/')}/%04d_%s", F.col("document_index").cast("int"), safe_stem(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)))
+    number = F.format_string("%04d", F.col("document_index").cast("int")) if number is None else number
+    folder = F.concat(F.lit(f"{output_root.rstrip('/')}/"), number, F.lit("_"), safe_stem(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)))
     images = F.filter("media", lambda x: suffix(x["name"]).isin(*IMAGE_SUFFIXES))
     count = lambda name: F.when(done, F.coalesce(F.col("counts")[name], F.lit(0))).otherwise(0).cast("int")
     return profiles.select(
