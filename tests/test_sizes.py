@@ -27,3 +27,9 @@ def same(spark, folder: Path, name: str, **tables: str) -> list[tuple]:
 def test_document_summary_numbers_of_five_digits(spark, tmp_path):
     rows = same(spark, tmp_path, "document_summary", documents="SELECT x AS doc_id, 'a' || chr(10) || 'b' AS text FROM (VALUES (7), (9999), (10000), (43438)) t(x)")
     assert len({r[6] for r in rows}) == 4
+
+
+def test_knowledge_closure_ends_where_its_sql_does(spark, tmp_path):
+    """A way of 30 steps, and some ways back."""
+    rows = same(spark, tmp_path, "knowledge_closure", part="SELECT CAST(pow(2, i) AS BIGINT) AS p_partkey FROM range(1, 31) t(i)")
+    assert max(r[2] for r in rows) == 24
