@@ -33,3 +33,16 @@ def test_knowledge_closure_ends_where_its_sql_does(spark, tmp_path):
     """A way of 30 steps, and some ways back."""
     rows = same(spark, tmp_path, "knowledge_closure", part="SELECT CAST(pow(2, i) AS BIGINT) AS p_partkey FROM range(1, 31) t(i)")
     assert max(r[2] for r in rows) == 24
+
+
+def test_rings_are_those_of_the_closure(spark):
+    import random
+
+    from examlark.operators import relations
+
+    dice = random.Random(3)
+    edges = {(dice.randrange(60), dice.randrange(60)) for _ in range(75)} | {(100 + i, 101 + i) for i in range(9)} | {(109, 100), (5, 5), (200, 200)}
+    e = spark.createDataFrame(sorted(edges), "source long, target long")
+    want = {(r["node"], r["cycle"]) for r in relations.cycles(relations.closure(e)).collect()}
+    assert len(want) > 12 and {(r["node"], r["cycle"]) for r in relations.rings(e).collect()} == want
+    assert relations.rings(e.filter("source < 0")).count() == 0
