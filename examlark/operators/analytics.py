@@ -52,35 +52,62 @@ def job_metrics(df: DataFrame, stage: str, status: str, start: str, end: str) ->
     return df.groupBy(stage, status).agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.timestamp_diff("SECOND", F.col(start), F.col(end))).alias("seconds"))
 
 
+#: Sections of a paper that each of its questions is compared with.
+FEW_SECTIONS = 16
+
+
 def in_section(questions: DataFrame, sections: DataFrame, paper: str, number: Column, lo: str, hi: str) -> DataFrame:
     """Range join inside a paper: a row for each question and section of its paper with lo <= number <= hi.
 
     An interval index: a section is the union of at most two aligned ranges of 2^l numbers for each l, and a question lies in one
     such range for each l. Both meet on paper, l and range, an equi-join that compares nothing it does not return: sections may
     overlap, have any length, and a single paper may hold all rows. Questions have rows for those l alone that
-    sections use (32 at most). Null and negative numbers lie in no section; a section that ends before it starts is empty."""
-    pieces = sections.withColumn("_r", aligned(F.col(lo), F.col(hi))).withColumn("_r", F.explode("_r")).select(*sections.columns, F.col("_r.level").alias("_level"), F.col("_r.place").alias("_place"))
-    used = sorted(r["_level"] for r in pieces.select("_level").distinct().collect())  # 32 at most
-    at = questions.withColumn("_n", number.cast("bigint")).filter("_n >= 0").withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
-    at = at.withColumn("_place", F.expr("shiftright(_n, _level)"))
+    sections use (32 at most). Where no paper has more than ``FEW_SECTIONS``, counted first, both meet on the paper alone. Null and negative numbers lie in no section; a section that ends before it starts is empty."""
+    per_paper = sections.groupBy(paper).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if per_paper <= FEW_SECTIONS:  # a question meets a few sections at most
+        inside = (F.col("_n") >= F.greatest(F.col(lo), F.lit(0))) & (F.col("_n") <= F.col(hi)) & F.col(lo).isNotNull()
+        return questions.withColumn("_n", number.cast("bigint")).filter("_n >= 0").join(sections, paper).filter(inside).drop("_n")
+    pieces = _pieces(sections, lo, hi)
+    at = _placed(questions.withColumn("_n", number.cast("bigint")).filter("_n >= 0"), pieces)
     return at.join(pieces, [paper, "_level", "_place"]).drop("_n", "_level", "_place")
 
 
+def _pieces(sections: DataFrame, lo: str, hi: str) -> DataFrame:
+    """A row for each aligned range of a section."""
+    return sections.withColumn("_r", F.explode(aligned(F.col(lo), F.col(hi)))).select(*sections.columns, F.col("_r.level").alias("_level"), F.col("_r.place").alias("_place"))
+
+
+def _placed(at: DataFrame, pieces: DataFrame) -> DataFrame:
+    """A row for each number _n and each level that ranges have, with its place there."""
+    used = sorted(r["_level"] for r in pieces.select("_level").distinct().collect())  # 32 at most
+    return at.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_place", F.expr("shiftright(_n, _level)"))
+
+
 def aligned(lo: Column, hi: Column) -> Column:
-    """The ranges of 2^level numbers, (level, place) from place * 2^level on, whose union is lo..hi: at each level the odd ends."""
-    none = F.array().cast("array<struct<level:int,place:bigint>>")
+    """The ranges of 2^level numbers, (level, place) from place * 2^level on, whose union is lo..hi: at each level the odd ends.
+
+    At a level what is left of the range goes from ceil(lo / 2^level) to floor((hi + 1) / 2^level); no level beyond the range's own length has any."""
+    start, end = F.greatest(lo, F.lit(0)).cast("bigint"), hi.cast("bigint") + 1
     piece = lambda level, place: F.struct(level.cast("int").alias("level"), place.cast("bigint").alias("place"))
 
-    def step(s: Column, level: Column) -> Column:
-        a, b, got = s["a"], s["b"], s["got"]
-        live = a < b
-        left, right = live & (a % 2 == 1), live & (b % 2 == 1)
-        got = F.concat(got, F.when(left, F.array(piece(level, a))).otherwise(none), F.when(right & (b - 1 >= F.when(left, a + 1).otherwise(a)), F.array(piece(level, b - 1))).otherwise(none))
-        return F.struct(F.floor((F.when(left, a + 1).otherwise(a)) / 2).cast("bigint").alias("a"), F.floor((F.when(right, b - 1).otherwise(b)) / 2).cast("bigint").alias("b"), got.alias("got"))
+    def step(level: Column) -> Column:
+        a, b = F.negative(F.call_function("shiftright", F.negative(start), level)), F.call_function("shiftright", end, level)
+        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        return F.array(F.when(left, piece(level, a)), F.when(right & ((b - 1 > a) | ~left), piece(level, b - 1)))
+
+    found = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(end - start)).cast("int")), step)), lambda x: x.isNotNull())
+    return F.when(lo.isNotNull() & hi.isNotNull() & (start < end), found).otherwise(F.array().cast("array<struct<level:int,place:bigint>>"))
+
+
+def section_sums(questions: DataFrame, sections: DataFrame, paper: str, number: Column, lo: str, hi: str, by: list[str]) -> DataFrame:
+    """(by, questions, numbers): how many questions of its paper a section holds, and the sum of their numbers; none, no row.
 
-    start = F.struct(F.greatest(lo, F.lit(0)).cast("bigint").alias("a"), (hi.cast("bigint") + 1).alias("b"), none.alias("got"))
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(32)), start, step, lambda s: s["got"])
-    return F.when(lo.isNotNull() & hi.isNotNull(), found).otherwise(none)
+    The index of ``in_section`` with each range's own count and sum: questions are counted by paper and range before they meet
+    sections, so that rows are those of both sides, and never the pairs."""
+    pieces = _pieces(sections, lo, hi)
+    one = questions.select(F.col(paper), number.cast("bigint").alias("_n")).filter("_n >= 0").groupBy(paper, "_n").agg(F.count(F.lit(1)).alias("_count"))
+    sums = _placed(one, pieces).groupBy(paper, "_level", "_place").agg(F.sum("_count").alias("_count"), F.sum(F.col("_count") * F.col("_n")).alias("_sum"))
+    return sums.join(pieces, [paper, "_level", "_place"]).groupBy(*by).agg(F.sum("_count").alias("questions"), F.sum("_sum").alias("numbers"))
 
 
 def visible(tenant: str, own: object) -> Column:

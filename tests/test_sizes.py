@@ -46,3 +46,29 @@ def test_rings_are_those_of_the_closure(spark):
     want = {(r["node"], r["cycle"]) for r in relations.cycles(relations.closure(e)).collect()}
     assert len(want) > 12 and {(r["node"], r["cycle"]) for r in relations.rings(e).collect()} == want
     assert relations.rings(e.filter("source < 0")).count() == 0
+
+
+def test_section_sums_has_no_row_for_a_pair(spark):
+    """Half a billion pairs of one paper."""
+    from pyspark.sql import functions as F
+
+    from examlark.operators import analytics as A
+
+    q = spark.range(100_000).select(F.lit(1).alias("paper"), (F.col("id") % 2 + 40).alias("n"))
+    sections = spark.range(5_000).select(F.col("id").alias("section"), F.lit(1).alias("paper"), (F.col("id") % 42).alias("lo"), F.lit(900).alias("hi"))
+    got = {r["section"]: (r["questions"], r["numbers"]) for r in A.section_sums(q, sections, "paper", F.col("n"), "lo", "hi", ["section"]).collect()}
+    assert len(got) == 5_000 and all(v == ((50_000, 2_050_000) if k % 42 == 41 else (100_000, 4_050_000)) for k, v in got.items())
+
+
+def test_aligned_has_rows_for_the_levels_of_a_range_alone(spark):
+    from pyspark.sql import functions as F
+
+    from examlark.operators import analytics as A
+
+    ends = [(0, 0), (1, 2), (3, 5), (6, 7), (-4, 6), (5, 4), (0, 1023), (7, 900), (None, 3), (3, None), (3_000_000_000, 3_000_000_900)]
+    df = spark.createDataFrame(ends, "lo long, hi long").withColumn("r", A.aligned(F.col("lo"), F.col("hi")))
+    for r in df.collect():
+        want = [] if r["lo"] is None or r["hi"] is None else list(range(max(r["lo"], 0), r["hi"] + 1))
+        assert sorted(i for x in r["r"] for i in range(x["place"] << x["level"], (x["place"] + 1) << x["level"])) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # 33 steps for each section
