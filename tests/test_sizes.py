@@ -72,3 +72,37 @@ def test_aligned_has_rows_for_the_levels_of_a_range_alone(spark):
         assert sorted(i for x in r["r"] for i in range(x["place"] << x["level"], (x["place"] + 1) << x["level"])) == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan  # 33 steps for each section
+
+
+def test_vector_top_k_never_compares_pairs_in_the_plan(spark):
+    """Copies tie to the smaller key, across blocks and inside them; vectors without a norm take no part."""
+    import random
+
+    from examlark.operators import matching
+
+    dice = random.Random(5)
+    vectors = [[dice.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(i, vectors[0] if i % 3 == 0 else vectors[i % 40]) for i in range(400)] + [(400, [0.0] * 8), (401, None), (450, [0.0] * 8)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = matching.vector_top_k(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    live = [(i, v) for i, v in rows if v and norm(v) > 0]
+    want = []
+    for i, v in live:
+        if i % 50 == 0:
+            best = sorted((-round(sum(x * y for x, y in zip(v, u)) / (norm(v) * norm(u)), 6), j) for j, u in live if j != i)[:5]
+            want += [(i, j, r + 1) for r, (_, j) in enumerate(best)]
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()) == want
+
+
+def test_scores_of_documents_are_not_shuffled(spark):
+    """After the deal by document, words, counts and scores of a document follow without another shuffle of it."""
+    from examlark.operators import matching
+
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c c{i % 3}") for i in range(50)], "d long, text string")
+    items = spark.createDataFrame([(1, "a c"), (2, "b1 c2 zz")], "i long, text string")
+    got = matching.bm25(items, docs, "i", "d", "text")
+    assert got.count() == 50 + len([i for i in range(50) if i % 7 == 1 or i % 3 == 2])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(" in x and "Exchange" in x and ("d#" in x.split("hashpartitioning(")[1]) and "REPARTITION" not in x]
