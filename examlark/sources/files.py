@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -68,29 +68,37 @@ def profile_package(content: bytes, samples: int = 12, visit: Callable[[ElementT
     return {"counts": list(counts.items()), "media": found, "ole_count": ole, "objects": objects}
 
 
-def package_profiles(files: DataFrame) -> DataFrame:
-    """A row per package; one that cannot be read fails alone, with the reason, and others are skipped by suffix."""
+#: Packages whose profiles a task holds at once; of the packages themselves it holds one.
+SLICE = 256
+
+
+def package_profiles(files: DataFrame, make: Callable[[pa.RecordBatch], Iterable[tuple[str, bytes]]] | None = None) -> DataFrame:
+    """A row per package; one that cannot be read fails alone, with the reason, and others are skipped by suffix.
+
+    make: (path, content) of some rows of files, for packages that are derived from a table: each is made and read in one task, one at a
+    time, and its bytes go nowhere else. Without it, files has columns path and content."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(PROFILE))
 
+    def profile(path: str, content: bytes) -> dict:
+        row = {"path": path, "status": "success", "reason": None, "counts": None, "media": None, "ole_count": None, "objects": None}
+        if not path.lower().endswith(".docx"):
+            return row | {"status": "skipped", "reason": "not_docx"}
+        try:
+            return row | profile_package(content)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, RuntimeError, NotImplementedError) as e:
+            return row | {"status": "failed", "reason": f"{type(e).__name__}: {e}"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row = {"path": path, "status": "success", "reason": None, "counts": None, "media": None, "ole_count": None, "objects": None}
-                if not path.lower().endswith(".docx"):
-                    row |= {"status": "skipped", "reason": "not_docx"}
-                else:
-                    try:
-                        row |= profile_package(content)
-                    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, RuntimeError, NotImplementedError) as e:
-                        row |= {"status": "failed", "reason": f"{type(e).__name__}: {e}"}
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, PROFILE)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                made = make(part) if make else ((path.as_py(), content.as_py()) for path, content in zip(*part.columns))
+                yield pa.RecordBatch.from_pylist([profile(path, content) for path, content in made], schema=schema)
+
+    return (files if make else files.select("path", "content")).mapInArrow(run, PROFILE)
 
 
 def media_entries(profiles: DataFrame, max_media: int = 80) -> DataFrame:

@@ -106,3 +106,32 @@ def test_scores_of_documents_are_not_shuffled(spark):
     assert got.count() == 50 + len([i for i in range(50) if i % 7 == 1 or i % 3 == 2])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "hashpartitioning(" in x and "Exchange" in x and ("d#" in x.split("hashpartitioning(")[1]) and "REPARTITION" not in x]
+
+
+def test_made_packages_and_pictures_never_leave_their_task(spark):
+    """One pass of Python for each: what is made is read where it is made, one at a time."""
+    import pyarrow as pa
+
+    from examlark.plans import packages
+    from examlark.sources import files, images
+
+    for df in (packages._hashes(spark, "/root/testdata/sf0.001"), packages._packages(spark, "/root/testdata/sf0.001")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    live, most = [0], [0]
+
+    class Bytes(bytes):
+        def __init__(self, *_) -> None:
+            live[0] += 1
+            most[0] = max(most[0], live[0])
+
+        def __del__(self) -> None:
+            live[0] -= 1
+
+    made = lambda part: ((str(x), Bytes(b"no picture")) for x in part.column(0).to_pylist())
+    for module, call in ((images, images.measure), (files, files.package_profiles)):
+        caught = []
+        frame = type("Frame", (), {"mapInArrow": lambda self, run, kind: caught.append(run)})()
+        call(frame, make=made)
+        out = list(caught[0](iter([pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["k"])])))
+        assert sum(b.num_rows for b in out) == 1000 and max(b.num_rows for b in out) <= module.SLICE
+    assert most[0] <= 3
