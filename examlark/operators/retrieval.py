@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlark.functions.scalars import normal_stem
-from examlark.operators.matching import PROBE_ROWS, terms, top_k
+from examlark.operators.matching import PROBE_ROWS, bm25, terms, top_k
 from examlark.sources.config import stored
 
 #: Documents of a block, and blocks that a query scores in each wave before the last, which takes all that are left.
@@ -103,9 +103,15 @@ def block_top_k(queries: DataFrame, key: str, text: str, index: DataFrame, most:
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, text: str, k: int) -> DataFrame:
-    """(query, document, score, rank): the k best documents of each query that share a term with it."""
-    vocabulary = stored(terms(queries, qkey, text).select("term").distinct(), "vocabulary")
+    """(query, document, score, rank): the k best documents of each query that share a term with it.
+
+    A query set that can be broadcast is scored beside the documents, whose scores are cut to k in each task before anything is shuffled:
+    that costs less than an index that is used once. Larger ones go through the index."""
+    q = terms(queries, qkey, text)
+    if q.limit(FEW + 1).count() <= FEW:
+        scored = bm25(queries, docs, qkey, dkey, text)
+        return top_k(scored.withColumn("score", F.round("score", 6)), qkey, dkey, "score", k).select(qkey, dkey, "score", "rank")
+    vocabulary = stored(q.select("term").distinct(), "vocabulary")
     index, most = build(docs, dkey, text, vocabulary)
     best, _ = block_top_k(queries, qkey, text, index, most, k)
     return best.withColumnsRenamed({"query": qkey, "doc": dkey})
-

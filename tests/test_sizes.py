@@ -135,3 +135,12 @@ def test_made_packages_and_pictures_never_leave_their_task(spark):
         out = list(caught[0](iter([pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["k"])])))
         assert sum(b.num_rows for b in out) == 1000 and max(b.num_rows for b in out) <= module.SLICE
     assert most[0] <= 3
+
+
+def test_a_small_query_set_builds_no_index(spark, monkeypatch):
+    from examlark.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "build", None)
+    docs = spark.createDataFrame([(i, "a " * (1 + i % 4) + "b") for i in range(40)], "d long, text string")
+    got = retrieval.bm25_top_k(spark.createDataFrame([(1, "a")], "i long, text string"), docs, "i", "d", "text", 3).collect()
+    assert [(r["d"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 1), (7, 2), (11, 3)]
