@@ -144,3 +144,19 @@ def test_a_small_query_set_builds_no_index(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a " * (1 + i % 4) + "b") for i in range(40)], "d long, text string")
     got = retrieval.bm25_top_k(spark.createDataFrame([(1, "a")], "i long, text string"), docs, "i", "d", "text", 3).collect()
     assert [(r["d"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 1), (7, 2), (11, 3)]
+
+
+def test_papers_of_few_sections_join_without_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from examlark.operators import analytics as A
+
+    q = spark.createDataFrame([(p, n) for p in (1, 2, None) for n in (-1, 0, 1, 5, 9, None)], "paper int, n int")
+    sections = spark.createDataFrame([(1, "a", -3, 1), (1, "b", 1, 9), (2, "c", 9, 2), (2, "d", None, 9), (2, "e", 3, None), (2, "f", 5, 5), (None, "g", 0, 9)], "paper int, section string, lo int, hi int")
+    found = []
+    for few in (A.FEW_SECTIONS, 0):
+        monkeypatch.setattr(A, "FEW_SECTIONS", few)
+        df = A.in_section(q, sections, "paper", F.col("n"), "lo", "hi")
+        assert ("Generate" in df._jdf.queryExecution().optimizedPlan().toString()) == (few == 0)
+        found.append(sorted((r["paper"], r["n"], r["section"]) for r in df.collect()))
+    assert found[0] == found[1] == [(1, 0, "a"), (1, 1, "a"), (1, 1, "b"), (1, 5, "b"), (1, 9, "b"), (2, 5, "f")]
