@@ -13,7 +13,8 @@ earlier candidate alone, and says if there were more. Candidates are verified on
 candidate failed and that had more meet all others that pass. Groups of copies are so never spread out into all
 their pairs, and no candidate is lost. The bucket of a word that a sample finds in very many prefixes is dealt in blocks,
 and every two blocks meet in a task of their own; the sample only chooses the way. Texts are shuffled only for documents
-that lose lines, as long as these, counted, are few enough to be broadcast.
+that lose lines, as long as these, counted, are few enough to be broadcast. The first line of each set is found once and
+written. Prefix words are most of what is shuffled: they travel as packed columns (``packed``), many rows of a few buckets at a time.
 
 Cases: null texts stay null; empty texts, empty lines and white space are no lines to compare and stay; line
 ends are \\n; a document may become empty; rows that repeat a doc_id are told apart by their text, and equal
@@ -44,6 +45,8 @@ SLOT_BITS = 20
 WIDE = (40, 128)
 #: One of so many lines is sampled for frequent prefix words; lines of a block of a frequent word's bucket.
 SAMPLE, BUCKET_BLOCK = 16, 16384
+#: Rows of the part of the buckets that is compared at once, about, and prefix words that a task gathers before it deals them out.
+PART_ROWS, GATHERED = 200_000, 1_000_000
 
 
 def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +101,91 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 KEY, X, Y = ["id", "th", "ln"], ["xi", "xt", "xl"], ["yi", "yt", "yl"]
 
 
+#: What a bucket needs of a line, in order, and how it is packed.
+FACTS = {"w": "<i8", "id": "<i8", "th": "<i8", "ln": "<i4", "s": "<i4", "p": "<i4", "side": "u1", "b0": "<i8", "b1": "<i8", "b2": "<i8", "b3": "<i8"}
+
+
+def packed(cols: list[np.ndarray]) -> bytes:
+    """Columns of equal length, ``FACTS`` in order and sorted by the first, as planes of bytes: what varies little takes no room."""
+    step = cols[0].copy()
+    step[1:] = cols[0][1:] - cols[0][:-1]
+    return b"".join(np.ascontiguousarray(c.astype(kind, copy=False)).view(np.uint8).reshape(len(step), -1).T.tobytes() for c, kind in zip([step, *cols[1:]], FACTS.values()))
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    sizes = [np.dtype(kind).itemsize for kind in FACTS.values()]
+    n, at, out = len(blob) // sum(sizes), 0, []
+    for size, kind in zip(sizes, FACTS.values()):
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+PAIRS = "xi bigint, xt bigint, xl int, yi bigint, yt bigint, yl int, apart int, more boolean"
+
+
+def _pairs(t: pa.Table, num: int, den: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates among rows sorted by bucket (and side, if there is one)."""
+    sided = "side" in t.column_names
+    w, ids, th, ln = (t[c].to_numpy() for c in ("w", "id", "th", "ln"))
+    s, p = t["s"].to_numpy().astype(np.int64), t["p"].to_numpy().astype(np.int64)
+    b = np.stack([t[f"b{i}"].to_numpy() for i in range(4)]).view(np.uint64)
+    half = np.stack([b[0] ^ b[2], b[1] ^ b[3]])
+    fold = half[0] ^ half[1]
+    width = np.where(s > WIDE[1], 2, np.where(s > WIDE[0], 1, 0)) if not every else np.full(len(s), 2)
+    probe = t["probe"].to_numpy(zero_copy_only=False) if every else None
+    head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+    size = np.diff(np.r_[head, len(w)])
+    rank = np.arange(len(w)) - np.repeat(head, size)  # lines before it in the bucket
+    todo = rank
+    if sided:
+        side = t["side"].to_numpy()
+        todo = np.where(side == 2, rank, np.where(side == 1, np.repeat(np.add.reduceat((side == 0).astype(np.int64), head), size), 0))
+    elif probe is not None:
+        todo = np.where(probe, rank, 0)
+    done, total = 0, np.cumsum(todo)
+    while done < len(w):
+        base = total[done - 1] if done else 0
+        to = max(done + 1, int(np.searchsorted(total, base + 2_000_000, side="right")))
+        n = todo[done:to]
+        x = np.repeat(np.arange(done, to), n)
+        y = x - rank[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        done = to
+        ok = np.minimum(s[x], s[y]) * den >= np.maximum(s[x], s[y]) * num
+        x, y = x[ok], y[ok]
+        both = s[x] + s[y]
+        need = (both * num + den + num - 1) // (den + num)
+        ok = np.minimum(s[x] - p[x], s[y] - p[y]) >= need
+        x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
+        apart = np.bitwise_count(fold[x] ^ fold[y]).astype(np.int64)
+        both_wide = np.minimum(width[x], width[y])
+        for least, words_ in ((1, half), (2, b)):
+            some = np.flatnonzero((both_wide >= least) & (apart <= most))
+            if len(some):
+                apart[some] = sum(np.bitwise_count(v[x[some]] ^ v[y[some]]).astype(np.int64) for v in words_)
+        ok = (apart <= most) & ((ids[x] != ids[y]) | (th[x] != th[y]) | (ln[x] != ln[y]))
+        x, y, apart = x[ok], y[ok], apart[ok]
+        if not len(x):
+            continue
+        # the later line is x
+        swap = (ids[x] < ids[y]) | ((ids[x] == ids[y]) & ((th[x] < th[y]) | ((th[x] == th[y]) & (ln[x] < ln[y]))))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        more = np.zeros(len(x), bool)
+        if every:
+            mine = probe[x]
+            x, y, apart, more = x[mine], y[mine], apart[mine], more[mine]
+        else:  # of each x the nearest y
+            order = np.lexsort((y, apart, x))
+            x, y, apart = x[order], y[order], apart[order]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            more = np.diff(np.r_[first, len(x)]) > 1
+            x, y, apart = x[first], y[first], apart[first]
+        for at in range(0, len(x), 100_000):
+            i, j = x[at : at + 100_000], y[at : at + 100_000]
+            cols = [ids[i], th[i], ln[i], ids[j], th[j], ln[j], apart[at : at + 100_000].astype(np.int32), more[at : at + 100_000]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=[*X, *Y, "apart", "more"])
+
+
 class Lines:
     def __init__(self, docs: DataFrame, num: int, den: int, min_tokens: int) -> None:
         self.docs, self.num, self.den, self.min = docs, num, den, min_tokens  # id, th, text
@@ -140,6 +228,86 @@ class Lines:
 
         return self.docs.mapInArrow(run, "id bigint, th bigint, ln int, h1 bigint, h2 bigint, s int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, prefix array<int>")
 
+    def nearest(self, firsts: DataFrame, sample: DataFrame) -> DataFrame:
+        """Of rows (id, th, ln, s, b0..b3, prefix): each line's nearest earlier candidate of a block of a bucket, and whether there are
+        more. Rows of a part of the buckets meet in one task, those of a task's lines as one packed value. sample: as for ``candidates``."""
+        hot = sorted(self.frequent(sample))
+        hot_words, blocks = np.array([w for w, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
+        slots = 4 * int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        parts, num, den = max(slots, total // PART_ROWS), self.num, self.den
+
+        def dealt(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            counts = np.diff(t["prefix"].combine_chunks().offsets.to_numpy())
+            line = np.repeat(np.arange(len(counts)), counts)
+            p = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
+            w = t["prefix"].combine_chunks().flatten().to_numpy().astype(np.int64)
+            times = np.ones(len(w), np.int64)
+            if len(hot_words):
+                at = np.minimum(np.searchsorted(hot_words, w), len(hot_words) - 1)
+                times = np.where(hot_words[at] == w, blocks[at], 1)
+            cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum(), GATHERED), side="left").tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(w)]):
+                if lo < hi:
+                    yield from sent_off(t, line[lo:hi], p[lo:hi], w[lo:hi], times[lo:hi])
+
+        def sent_off(t: pa.Table, line: np.ndarray, p: np.ndarray, w: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            part, key, side = ((w + (1 << 31)) * parts) >> 32, w << 32, np.full(len(w), 2, np.uint8)
+            if times.max() > 1:  # a frequent word's line meets every block of its bucket
+                ids, th, ln = (t[c].to_numpy().astype(np.uint64) for c in KEY)
+                b = (common.mix(common.mix(ids ^ common.mix(th)) + ln)[line] % times.astype(np.uint64)).astype(np.int64)
+                j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                line, p, part, key, side, b, times = (np.repeat(x, times) for x in (line, p, part, key, side, b, times))
+                lo, hi, split = np.minimum(b, j), np.maximum(b, j), times > 1
+                key = key | (lo << 16) | hi  # 0 and 0 where there is one block
+                side = np.where(split & (lo != hi), np.where(b == lo, 0, 1), side).astype(np.uint8)
+                part = np.where(split, (common.mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64), part)
+            order = np.lexsort((key, part))
+            line, part = line[order], part[order]
+            cols = [key[order], *(t[c].to_numpy()[line] for c in ("id", "th", "ln", "s")), p[order], side[order], *(t[f"b{i}"].to_numpy()[line] for i in range(4))]
+            head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            z = zstandard.ZstdCompressor(level=1)
+            for at in range(0, len(head), 1024):
+                some = head[at : at + 1025].tolist()
+                some = some if len(some) == 1025 else [*some, len(line)]
+                blobs = [z.compress(packed([c[x:y] for c in cols])) for x, y in zip(some, some[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[some[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+        @common.tidy
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            n = 0
+            for batch in batches:
+                held.append(batch)
+                n += len(common.column(batch, "prefix").flatten())
+                if n >= GATHERED:
+                    yield from dealt(pa.Table.from_batches(held))
+                    held, n = [], 0
+            if n:
+                yield from dealt(pa.Table.from_batches(held))
+
+        def met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            z = zstandard.ZstdDecompressor()
+            cols = [np.concatenate(c) for c in zip(*(unpacked(z.decompress(b)) for b in blobs))]
+            order = np.lexsort((cols[6], cols[0]))
+            yield from _pairs(pa.table([pa.array(c[order]) for c in cols], names=list(FACTS)), num, den, False)
+
+        @common.tidy
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+            for batch in batches:
+                for part, blob in zip(common.column(batch, "part").to_pylist(), common.column(batch, "rows")):
+                    if part != now and held:
+                        yield from met(held)
+                        held = []
+                    now = part
+                    held.append(blob.as_py())
+            if held:
+                yield from met(held)
+
+        sent = firsts.select(*KEY, "s", "b0", "b1", "b2", "b3", "prefix").mapInArrow(deal, "part bigint, rows binary")
+        return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, PAIRS)
+
     def candidates(self, words: DataFrame, every: bool, sample: DataFrame) -> DataFrame:
         """Of rows (w, id, th, ln, s, p, b0..b3[, probe]): each line's nearest earlier candidate of a block of the bucket and
         whether there are more, or (every) all earlier candidates of the lines to probe. sample: the words of one of SAMPLE lines."""
@@ -164,65 +332,6 @@ class Lines:
         side 2. A bucket is a stream of blocks; what is open of it is a few numbers for each of its lines."""
         num, den, sided = self.num, self.den, "side" in words.columns
 
-        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            w, ids, th, ln = (t[c].to_numpy() for c in ("w", "id", "th", "ln"))
-            s, p = t["s"].to_numpy().astype(np.int64), t["p"].to_numpy().astype(np.int64)
-            b = np.stack([t[f"b{i}"].to_numpy() for i in range(4)]).view(np.uint64)
-            half = np.stack([b[0] ^ b[2], b[1] ^ b[3]])
-            fold = half[0] ^ half[1]
-            width = np.where(s > WIDE[1], 2, np.where(s > WIDE[0], 1, 0)) if not every else np.full(len(s), 2)
-            probe = t["probe"].to_numpy(zero_copy_only=False) if every else None
-            head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            size = np.diff(np.r_[head, len(w)])
-            rank = np.arange(len(w)) - np.repeat(head, size)  # lines before it in the bucket
-            todo = rank
-            if sided:
-                side = t["side"].to_numpy()
-                todo = np.where(side == 2, rank, np.where(side == 1, np.repeat(np.add.reduceat((side == 0).astype(np.int64), head), size), 0))
-            elif probe is not None:
-                todo = np.where(probe, rank, 0)
-            done, total = 0, np.cumsum(todo)
-            while done < len(w):
-                base = total[done - 1] if done else 0
-                to = max(done + 1, int(np.searchsorted(total, base + 2_000_000, side="right")))
-                n = todo[done:to]
-                x = np.repeat(np.arange(done, to), n)
-                y = x - rank[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-                done = to
-                ok = np.minimum(s[x], s[y]) * den >= np.maximum(s[x], s[y]) * num
-                x, y = x[ok], y[ok]
-                both = s[x] + s[y]
-                need = (both * num + den + num - 1) // (den + num)
-                ok = np.minimum(s[x] - p[x], s[y] - p[y]) >= need
-                x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
-                apart = np.bitwise_count(fold[x] ^ fold[y]).astype(np.int64)
-                both_wide = np.minimum(width[x], width[y])
-                for least, words_ in ((1, half), (2, b)):
-                    some = np.flatnonzero((both_wide >= least) & (apart <= most))
-                    if len(some):
-                        apart[some] = sum(np.bitwise_count(v[x[some]] ^ v[y[some]]).astype(np.int64) for v in words_)
-                ok = (apart <= most) & ((ids[x] != ids[y]) | (th[x] != th[y]) | (ln[x] != ln[y]))
-                x, y, apart = x[ok], y[ok], apart[ok]
-                if not len(x):
-                    continue
-                # the later line is x
-                swap = (ids[x] < ids[y]) | ((ids[x] == ids[y]) & ((th[x] < th[y]) | ((th[x] == th[y]) & (ln[x] < ln[y]))))
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                more = np.zeros(len(x), bool)
-                if every:
-                    mine = probe[x]
-                    x, y, apart, more = x[mine], y[mine], apart[mine], more[mine]
-                else:  # of each x the nearest y
-                    order = np.lexsort((y, apart, x))
-                    x, y, apart = x[order], y[order], apart[order]
-                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                    more = np.diff(np.r_[first, len(x)]) > 1
-                    x, y, apart = x[first], y[first], apart[first]
-                for at in range(0, len(x), 100_000):
-                    i, j = x[at : at + 100_000], y[at : at + 100_000]
-                    cols = [ids[i], th[i], ln[i], ids[j], th[j], ln[j], apart[at : at + 100_000].astype(np.int32), more[at : at + 100_000]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=[*X, *Y, "apart", "more"])
-
         @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest: list[pa.RecordBatch] = []
@@ -235,13 +344,13 @@ class Lines:
                     rest.append(batch)
                     continue
                 if ready := [*rest, batch.slice(0, cut)]:
-                    yield from pairs(pa.Table.from_batches(ready).combine_chunks())
+                    yield from _pairs(pa.Table.from_batches(ready).combine_chunks(), num, den, every)
                 rest = [batch.slice(cut)]
             if rest:
-                yield from pairs(pa.Table.from_batches(rest).combine_chunks())
+                yield from _pairs(pa.Table.from_batches(rest).combine_chunks(), num, den, every)
 
         order = ["w", *(["side"] if sided else []), *(KEY if every else [])]
-        return words.repartition("w").sortWithinPartitions(*order).mapInArrow(run, "xi bigint, xt bigint, xl int, yi bigint, yt bigint, yl int, apart int, more boolean")
+        return words.repartition("w").sortWithinPartitions(*order).mapInArrow(run, PAIRS)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(id, th, ln, words) of wanted lines; only these are cut out of the texts."""
@@ -296,12 +405,13 @@ class Lines:
         def words(rows: DataFrame, *more: str) -> DataFrame:
             return rows.select(*KEY, "s", "b0", "b1", "b2", "b3", *more, F.posexplode("prefix").alias("p", "w"))
 
-        firsts = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f"), *[F.first(x).alias(x) for x in facts]).select("f.*", *facts)
+        firsts = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f"), *[F.first(x).alias(x) for x in facts]).select("f.*", "h1", *facts)
+        firsts = common.materialize(firsts, "first-lines")
         zero, xor = F.lit(0).cast("bigint"), lambda *k: reduce(Column.bitwiseXOR, [c(f"b{i}") for i in k])
         tiers = {"b0": (xor(0, 1, 2, 3), xor(0, 2), c("b0")), "b1": (zero, xor(1, 3), c("b1")), "b2": (zero, zero, c("b2")), "b3": (zero, zero, c("b3"))}
         slim = firsts.withColumns({k: F.when(c("s") <= WIDE[0], v[0]).when(c("s") <= WIDE[1], v[1]).otherwise(v[2]) for k, v in tiers.items()})
-        some = lines.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).groupBy(*same).agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("w"))
-        near = self.candidates(words(slim), False, some).groupBy(*X).agg(F.min(F.struct("apart", *Y)).alias("m"), F.max("more").alias("more"), F.min(F.struct(*Y)).alias("lo"), F.max(F.struct(*Y)).alias("hi"))
+        some = firsts.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("w"))
+        near = self.nearest(slim, some).groupBy(*X).agg(F.min(F.struct("apart", *Y)).alias("m"), F.max("more").alias("more"), F.min(F.struct(*Y)).alias("lo"), F.max(F.struct(*Y)).alias("hi"))
         near = common.materialize(near.select(*X, *[c(f"m.{y}").alias(y) for y in Y], (c("more") | (c("lo") != c("hi"))).alias("more")), "nearest")
         gone = self.matched(near.select(*X, *Y))
 
@@ -309,23 +419,19 @@ class Lines:
         n = open_.count()
         if n:
             hint = F.broadcast if n <= common.BROADCAST_KEYS else (lambda x: x)  # counted
-            probes = lines.join(hint(open_), KEY, "left_semi")
+            probes = firsts.join(hint(open_), KEY, "left_semi")
             keys = words(probes).groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max(F.struct(*KEY)).alias("last"))
             keys = common.materialize(keys, "open-words")
             small = keys.limit(common.BROADCAST_KEYS + 1).count() <= common.BROADCAST_KEYS
-            rows, open_words = words(lines), (F.broadcast(keys) if small else keys)
+            rows, open_words = words(firsts), (F.broadcast(keys) if small else keys)
             fits = (c("s") * self.den >= c("lo") * self.num) & (c("hi") * self.den >= c("s") * self.num) & (F.struct(*KEY) <= c("last"))
             some = rows.join(open_words, (rows["w"] == open_words["w"]) & fits, "left_semi")
-            light = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f")).select("f.*")
-            some = some.join(light, KEY, "left_semi")  # first lines of their sets alone
             some = some.join(hint(open_.withColumn("probe", F.lit(True))), KEY, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
             some = common.materialize(some.select("w", *KEY, "s", "p", "b0", "b1", "b2", "b3", "probe"), "open-rows")
             all_ = self.candidates(some, True, some.filter(F.pmod(F.xxhash64(*KEY), F.lit(SAMPLE)) == 0)).select(*X, *Y).distinct()
             gone = gone.union(self.matched(all_.join(near.select(*X, *Y), [*X, *Y], "left_anti")))
 
-        first = lines.groupBy(*same).agg(F.min(F.struct(*KEY)).alias("f"))
-        first = first.join(gone.distinct().select(F.struct(*KEY).alias("f"), F.lit(True).alias("similar")), "f", "left")
-        later = lines.select(*KEY, *same).join(first, same).filter(F.col("similar") | (c("f") != F.struct(*KEY)))
+        later = lines.select(*KEY).join(firsts.select(*KEY), KEY, "left_anti").union(gone.distinct())
         return later.groupBy("id", "th").agg(F.collect_list("ln").alias("lines"))
 
 
