@@ -31,6 +31,8 @@ DIM, GRAM, SEED = 512, 3, 20240601
 MAX_TRAIN = 10_000
 #: Texts whose n-grams are counted in one matrix.
 ROWS = 512
+#: N-grams whose vectors and counts are held at once.
+GRAMS = 2048
 SCALE = 1 << 20
 UND = "und"
 _letters: np.ndarray | None = None
@@ -59,21 +61,32 @@ def text_vectors(col: pa.Array, dim: int = DIM) -> np.ndarray:
     codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
     letter = letters()[codes]
     lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    owner = np.repeat(np.arange(len(texts)), lens)  # a text and the separator after it
-    owner = np.r_[0, owner]
+    del texts
+    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)  # a text and the separator after it
+    owner = np.concatenate([owner[:1], owner])
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]  # one boundary after a word
-    codes, owner, letter = np.where(letter, codes, 32)[keep], owner[keep], letter[keep]
-    out = np.zeros((len(texts), dim), np.float32)
+    codes, owner, letter = np.where(letter, codes, np.uint32(32))[keep], owner[keep], letter[keep]
+    out = np.zeros((len(lens), dim), np.float32)
     if len(codes) < 3:
         return out
-    alphabet, index = np.unique(codes, return_inverse=True)
-    index = index.astype(np.int64)
+    known = np.zeros(0x110000, bool)
+    known[codes] = True
+    alphabet = np.flatnonzero(known)
     n = len(alphabet)
-    mid = np.flatnonzero(letter[1:-1]) + 1
-    gram = (index[mid - 1] * n + index[mid]) * n + index[mid + 1]
-    if n**3 <= 1 << 23:
+    few = n**3 <= 1 << 23
+    index = np.zeros(0x110000, np.int32 if few else np.int64)
+    index[alphabet] = np.arange(n)
+    index = index[codes]
+    mid = letter[1:-1]  # around each letter; between two texts stands a boundary
+    gram = index[:-2][mid] * n
+    gram += index[1:-1][mid]
+    gram *= n
+    gram += index[2:][mid]
+    text = owner[1:-1][mid]
+    del codes, owner, letter, keep, index, mid
+    if few:
         seen = np.zeros(n**3, bool)
         seen[gram] = True
         grams = np.flatnonzero(seen)
@@ -84,13 +97,12 @@ def text_vectors(col: pa.Array, dim: int = DIM) -> np.ndarray:
         grams, gram = np.unique(gram, return_inverse=True)
     vectors = letter_vectors(alphabet, dim)
     first, second = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
-    text = owner[mid]
-    for at in range(0, len(grams), 4096):  # bounded work arrays, whatever the alphabet
-        g = grams[at : at + 4096]
+    for at in range(0, len(grams), GRAMS):  # bounded work arrays, whatever the alphabet
+        g = grams[at : at + GRAMS]
         bound = (first[g // (n * n)] * second[g // n % n] * vectors[g % n]).astype(np.float32)
-        inside = (gram >= at) & (gram < at + len(g)) if len(grams) > 4096 else slice(None)
-        counts = np.bincount(text[inside] * len(g) + (gram[inside] - at), minlength=len(texts) * len(g))
-        out += counts.reshape(len(texts), len(g)).astype(np.float32) @ bound
+        inside = (gram >= at) & (gram < at + len(g)) if len(grams) > GRAMS else slice(None)
+        counts = np.bincount(text[inside] * np.int32(len(g)) + (gram[inside] - at), minlength=len(lens) * len(g))
+        out += counts.reshape(len(lens), len(g)).astype(np.float32) @ bound
     return out
 
 
