@@ -14,7 +14,7 @@ import fnmatch
 import hashlib
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import ArrowInvalid, NativeFile, fs
@@ -28,6 +28,8 @@ from examlark.sources import images
 SCHEMA = "path string, status string, reason string, member string, position int, bytes bigint, compressed bigint, offset bigint, hash string, content binary"
 #: Bytes of packages that one task takes, if they are small.
 TASK_BYTES = 64 << 20
+#: What opening a file counts for at least, so that a task does not get tens of thousands of tiny ones.
+OPEN_BYTES = 64 << 10
 
 
 @dataclass
@@ -71,6 +73,7 @@ class _Reader(DataSourceReader):
         out: list[Files] = []
         size = TASK_BYTES
         for path, n in found:
+            n = max(n, OPEN_BYTES)
             if size + n > TASK_BYTES:
                 out.append(Files([]))
                 size = 0
@@ -162,16 +165,27 @@ def export_media(packages: DataFrame, folder: str, most: int = 80, prefix: str =
     return out.mapInArrow(write, "path string, index int, source_name string, source_suffix string, normalized_suffix string, output_path string, output_hash string")
 
 
+def contents(paths: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of files whose names are known, one at a time; nothing is listed."""
+    for path in paths:
+        system, at = _open(path)
+        with system.open_input_file(at) as f:
+            yield path, f.read()
+
+
 def write_packages(made: DataFrame, folder: str) -> int:
     """Writes rows of (name, content) as files of a folder, by tasks; how many there are."""
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        there = set()
         for batch in batches:
             for name, content in zip(*(c.to_pylist() for c in batch.columns)):
                 system, at = _open(f"{folder.rstrip('/')}/{name}")
-                system.create_dir(at.rpartition("/")[0], recursive=True)
+                if (parent := at.rpartition("/")[0]) not in there:
+                    system.create_dir(parent, recursive=True)
+                    there.add(parent)
                 with system.open_output_stream(at) as stream:
                     stream.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
