@@ -47,6 +47,8 @@ WIDE = (40, 128)
 SAMPLE, BUCKET_BLOCK = 16, 16384
 #: Rows of the part of the buckets that is compared at once, about, and prefix words that a task gathers before it deals them out.
 PART_ROWS, GATHERED = 200_000, 1_000_000
+#: Gathered prefix words whose columns are laid out at once, about, and pairs that are compared at once.
+SPAN, AT_ONCE = 1 << 16, 500_000
 
 
 def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ def _pairs(t: pa.Table, num: int, den: int, every: bool) -> Iterator[pa.RecordBa
     done, total = 0, np.cumsum(todo)
     while done < len(w):
         base = total[done - 1] if done else 0
-        to = max(done + 1, int(np.searchsorted(total, base + 2_000_000, side="right")))
+        to = max(done + 1, int(np.searchsorted(total, base + AT_ONCE, side="right")))
         n = todo[done:to]
         x = np.repeat(np.arange(done, to), n)
         y = x - rank[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
@@ -232,46 +234,52 @@ class Lines:
         """Of rows (id, th, ln, s, b0..b3, prefix): each line's nearest earlier candidate of a block of a bucket, and whether there are
         more. Rows of a part of the buckets meet in one task, those of a task's lines as one packed value. sample: as for ``candidates``."""
         hot = sorted(self.frequent(sample))
-        hot_words, blocks = np.array([w for w, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
+        hot_words, blocks = np.array([w for w, _ in hot], np.int32), np.array([n for _, n in hot], np.int32)
         slots = 4 * int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         total = firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0
         parts, num, den = max(slots, total // PART_ROWS), self.num, self.den
 
         def dealt(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            counts = np.diff(t["prefix"].combine_chunks().offsets.to_numpy())
-            line = np.repeat(np.arange(len(counts)), counts)
-            p = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
-            w = t["prefix"].combine_chunks().flatten().to_numpy().astype(np.int64)
-            times = np.ones(len(w), np.int64)
+            lists_ = t["prefix"].combine_chunks()
+            counts, w = np.diff(lists_.offsets.to_numpy()), lists_.flatten().to_numpy()
+            line = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            p = np.arange(len(line), dtype=np.int32) - np.repeat(np.cumsum(counts, dtype=np.int32) - counts, counts)
+            times = np.ones(len(w), np.int32)
             if len(hot_words):
                 at = np.minimum(np.searchsorted(hot_words, w), len(hot_words) - 1)
                 times = np.where(hot_words[at] == w, blocks[at], 1)
             cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum(), GATHERED), side="left").tolist()
+            facts = {c: t[c].to_numpy() for c in (*KEY, "s", "b0", "b1", "b2", "b3")}
             for lo, hi in zip(cuts, [*cuts[1:], len(w)]):
                 if lo < hi:
-                    yield from sent_off(t, line[lo:hi], p[lo:hi], w[lo:hi], times[lo:hi])
+                    yield from sent_off(facts, line[lo:hi], p[lo:hi], w[lo:hi], times[lo:hi])
 
-        def sent_off(t: pa.Table, line: np.ndarray, p: np.ndarray, w: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-            part, key, side = ((w + (1 << 31)) * parts) >> 32, w << 32, np.full(len(w), 2, np.uint8)
+        def sent_off(facts: dict[str, np.ndarray], line: np.ndarray, p: np.ndarray, w: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, side = w.astype(np.int64), np.full(len(w), 2, np.uint8)
+            part = (((key + (1 << 31)) * parts) >> 32).astype(np.int32)
+            key <<= 32
             if times.max() > 1:  # a frequent word's line meets every block of its bucket
-                ids, th, ln = (t[c].to_numpy().astype(np.uint64) for c in KEY)
+                ids, th, ln = (facts[c].astype(np.uint64) for c in KEY)
                 b = (common.mix(common.mix(ids ^ common.mix(th)) + ln)[line] % times.astype(np.uint64)).astype(np.int64)
                 j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 line, p, part, key, side, b, times = (np.repeat(x, times) for x in (line, p, part, key, side, b, times))
                 lo, hi, split = np.minimum(b, j), np.maximum(b, j), times > 1
                 key = key | (lo << 16) | hi  # 0 and 0 where there is one block
                 side = np.where(split & (lo != hi), np.where(b == lo, 0, 1), side).astype(np.uint8)
-                part = np.where(split, (common.mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64), part)
+                part = np.where(split, (common.mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32), part)
+                del ids, th, ln, b, j, lo, hi, split
             order = np.lexsort((key, part))
-            line, part = line[order], part[order]
-            cols = [key[order], *(t[c].to_numpy()[line] for c in ("id", "th", "ln", "s")), p[order], side[order], *(t[f"b{i}"].to_numpy()[line] for i in range(4))]
+            part = part[order]
             head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            spans = head[np.flatnonzero(np.diff(head // SPAN, prepend=-1))].tolist()  # whole parts, whose columns are laid out together
             z = zstandard.ZstdCompressor(level=1)
-            for at in range(0, len(head), 1024):
-                some = head[at : at + 1025].tolist()
-                some = some if len(some) == 1025 else [*some, len(line)]
-                blobs = [z.compress(packed([c[x:y] for c in cols])) for x, y in zip(some, some[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(part[some[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+            for lo, hi in zip(spans, [*spans[1:], len(order)]):
+                rows = order[lo:hi]
+                own = line[rows]
+                cols = [key[rows], *(facts[c][own] for c in (*KEY, "s")), p[rows], side[rows], *(facts[f"b{i}"][own] for i in range(4))]
+                some = head[np.searchsorted(head, lo) : np.searchsorted(head, hi)] - lo
+                blobs = [z.compress(packed([c[x:y] for c in cols])) for x, y in zip(some.tolist(), [*some[1:].tolist(), hi - lo])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[lo + some].astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "rows"])
 
         @common.tidy
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +297,11 @@ class Lines:
         def met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             z = zstandard.ZstdDecompressor()
             cols = [np.concatenate(c) for c in zip(*(unpacked(z.decompress(b)) for b in blobs))]
+            blobs.clear()
             order = np.lexsort((cols[6], cols[0]))
-            yield from _pairs(pa.table([pa.array(c[order]) for c in cols], names=list(FACTS)), num, den, False)
+            for i, c in enumerate(cols):  # one at a time
+                cols[i] = c[order]
+            yield from _pairs(pa.table([pa.array(c) for c in cols], names=list(FACTS)), num, den, False)
 
         @common.tidy
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
