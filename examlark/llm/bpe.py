@@ -23,7 +23,7 @@ import heapq
 import json
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -297,8 +297,8 @@ class Codec:
         special = sorted(v.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.table = [v.bytes.get(i, b"") for i in range(max(v.bytes) + 1)]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # tokens as 32-bit integers
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, units: set[str]) -> None:
         """Puts the tokens of units into the cache."""
@@ -316,11 +316,11 @@ class Codec:
             plan.append((u, len(parts)))
             pieces.extend([p.encode("utf-8") for p in parts])
         flat, lens = self.transducers.run(pieces)
-        flat, ends = flat.tolist(), np.cumsum(lens).tolist()
+        raw, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(lens)).tolist()
         k = at = 0
         for u, n in plan:
             k += n
-            cache[u] = tuple(flat[at : ends[k - 1]]) if n else ()
+            cache[u] = raw[at : ends[k - 1]] if n else b""
             at = ends[k - 1] if n else at
 
     def blocks(self, text: str) -> Iterator[list[str]]:
@@ -362,7 +362,7 @@ class Codec:
             self._learn(need)
             get = self.cache.__getitem__
             for i, p in plans:
-                out[i].append(np.array([p], np.int32) if isinstance(p, int) else np.fromiter(chain.from_iterable(map(get, p)), np.int32))
+                out[i].append(np.array([p], np.int32) if isinstance(p, int) else np.frombuffer(b"".join(map(get, p)), np.int32))
             for u in [u for u in need if len(u) > 64]:
                 self.cache.pop(u, None)
             plans.clear()
