@@ -77,3 +77,41 @@ def test_a_long_way_takes_no_job_for_each_step(spark):
     found = []
     assert jobs(spark, lambda: found.extend(relations.levels_and_rings(way.union(ring)).collect())) < 60
     assert {r["node"]: (r["level"], r["cycle"]) for r in found} == {x: (x, None) if x < 5_000 else (None, 5_000) for x in range(10_000)}
+
+
+def distances(edges: set[tuple]) -> dict[tuple, int]:
+    after, found = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for a in after:
+        now, n = {a}, 0
+        while now:
+            n += 1
+            now = {y for x in now for y in after.get(x, ()) if (a, y) not in found}
+            found |= {(a, y): n for y in now}
+    return found
+
+
+def test_closure_takes_steps_of_the_logarithm_of_the_distance(spark):
+    """The driver keeps every job and plan; 24 steps over all that is known had 11,579 tasks at 1,200,000 parts. A ring of 40 steps, with a tail."""
+    edges = {(i, (i + 1) % 40) for i in range(40)} | {(39, 100), (100, 101), (50, 50)}
+    df = spark.createDataFrame(sorted(edges), "source long, target long")
+    want, found = distances(edges), []
+    assert max(want.values()) == 41 and want[50, 50] == 1 and want[3, 3] == 40
+    assert jobs(spark, lambda: found.append(relations.closure(df))) < 90
+    assert found[0]._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # one table, however many steps
+    assert sorted(map(tuple, found[0].collect())) == sorted((a, b, n) for (a, b), n in want.items())
+
+
+@pytest.mark.parametrize("wide", [0, 1, 10**6])
+def test_closure_by_ways_and_by_edges(spark, monkeypatch, wide):
+    """Joined with single edges where there are many ways, with whole ways elsewhere, up to any number of steps."""
+    monkeypatch.setattr(relations, "WIDE", wide)
+    dice = random.Random(13)
+    edges = {(x, x + dice.randrange(1, 7)) for x in range(40) for _ in range(3)} | {(30, 4), (12, 11), (44, 44)} | {(200 + i, 201 + i) for i in range(14)} | {(60 + 10 * i + j, 70 + 10 * i + k) for i in range(5) for j in range(4) for k in range(4)}
+    want = distances(edges)
+    assert max(want.values()) > 12
+    df = spark.createDataFrame([*sorted(edges), *sorted(edges)[:9], (None, 1), (1, None)], "source int, target int")
+    for most in (None, 1, 3, 7) if wide == 1 else (None,):
+        got = relations.closure(df, most=most).collect()
+        assert sorted(map(tuple, got)) == sorted((a, b, n) for (a, b), n in want.items() if most is None or n <= most)
